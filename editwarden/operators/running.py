@@ -27,7 +27,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS):
 
     The count runs on the key columns alone. At most rows / limit keys can be hot."""
     if not keys:
-        return (df, None) if df.limit(limit + 1).count() <= limit else (None, df)
+        return (df, None) if df.count() <= limit else (None, df)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = sizes.where(F.col("_rows") > limit).select(F.struct(*keys).alias("_hot"))
     found = hot.limit(BROADCAST_KEYS + 1).collect()
