@@ -31,7 +31,7 @@ def _plain(value):
     if isinstance(value, bool):
         return f"b{int(value)}"
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value + 0.0:.9g}"
+        return "nan" if math.isnan(value) else repr(value + 0.0)
     if isinstance(value, datetime.datetime):
         return value.isoformat(timespec="microseconds")
     return str(value)
@@ -72,7 +72,7 @@ def main(argv):
     from editwarden.session import build_session
     sf, prefixes = argv[0], argv[1:]
     spark = build_session(
-        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                               "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     queries, sqls = all_checks()

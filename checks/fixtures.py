@@ -178,7 +178,7 @@ def evaluations(spark, sf) -> DataFrame:
     e = edits(spark, sf)
     return e.groupBy("changeset_id").agg(
         F.max("vandalism").alias("y_true"),
-        F.round(F.avg("predicted_prob"), 6).alias("y_prob_main"),
+        F.round(F.avg("predicted_prob"), 9).alias("y_prob_main"),
         F.max("predicted_prob").alias("y_prob_hyper"),
     )
 
@@ -247,7 +247,7 @@ IDS = "id_list AS (SELECT o_orderkey AS changeset_id FROM orders WHERE o_orderst
 
 EVALUATIONS = """
 evaluations AS (
-  SELECT changeset_id, max(vandalism) AS y_true, round(avg(predicted_prob), 6) AS y_prob_main,
+  SELECT changeset_id, max(vandalism) AS y_true, round(avg(predicted_prob), 9) AS y_prob_main,
     max(predicted_prob) AS y_prob_hyper FROM edits GROUP BY 1)
 """
 

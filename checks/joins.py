@@ -76,15 +76,15 @@ def _(spark, sf):
 
 
 @check("J6_meta_scores", with_(EDITS, EVALUATIONS, SPLITS) + """
-SELECT changeset_id, y_true, y_prob_main, y_prob_hyper, round((y_prob_main + y_prob_hyper) / 2, 6) AS y_prob_meta,
+SELECT changeset_id, y_true, y_prob_main, y_prob_hyper, (y_prob_main + y_prob_hyper) / 2 AS y_prob_meta,
   (y_prob_main >= 0.5)::INTEGER AS y_pred_main, (y_prob_hyper >= 0.5)::INTEGER AS y_pred_hyper,
-  (round((y_prob_main + y_prob_hyper) / 2, 6) >= 0.5)::INTEGER AS y_pred_meta
+  ((y_prob_main + y_prob_hyper) / 2 >= 0.5)::INTEGER AS y_pred_meta
 FROM evaluations JOIN split_ids USING (changeset_id) WHERE split = 'test_meta'""")
 def _(spark, sf):
     e = evaluations(spark, sf)
     held = split_ids(spark, sf).where("split = 'test_meta'")
     meta = e.join(held, "changeset_id").select(
-        "changeset_id", F.round((F.col("y_prob_main") + F.col("y_prob_hyper")) / 2, 6).alias("y_prob_meta"))
+        "changeset_id", ((F.col("y_prob_main") + F.col("y_prob_hyper")) / 2).alias("y_prob_meta"))
     return J.meta_scores(e, e, meta)
 
 

@@ -1 +1,262 @@
+"""Encoders E1-E5, clusters and models M1-M12, feature assembly F19, feature removal D14."""
 
+from pyspark.sql import functions as F
+
+from checks.features import ADDED, HAD, HAS, MODIFIED, N_TAGS, REMOVED, SAME
+from checks.fixtures import CHANGESETS, EDITS, edits, evaluations, full_changesets, table, with_
+from checks.joins import placed
+from checks.registry import check
+from editwarden.functions import places
+from editwarden.functions.tags import KEY_TAGS
+from editwarden.operators import clusters, encoders, models
+from editwarden.operators.aggregates import importance_report
+from editwarden.operators.metrics import evaluate
+from editwarden.operators.rows import flag
+from editwarden.operators.sampling import meta_split
+from editwarden.plans.features import FeatureSettings, build_features, changeset_features
+from editwarden.plans.training import TrainSettings, ablate, stack_run, train_run
+
+E = with_(EDITS)
+# The nations of the given tables.
+NATIONS = [f"NATION_{i}" for i in range(25)]
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+TREES = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3}
+SETTINGS = FeatureSettings(key="ck")
+
+
+def _in(name):
+    _, s, n, w, e = next(b for b in places.CONTINENT_BOXES if b[0] == name)
+    return f"(xmax >= {w}::DOUBLE AND xmin <= {e}::DOUBLE AND ymax >= {s}::DOUBLE AND ymin <= {n}::DOUBLE)"
+
+
+CONTINENT = {name: _in(name) for name in places.CONTINENTS if name != places.OTHER}
+CONTINENT[places.OTHER] = "NOT (" + " OR ".join(CONTINENT.values()) + ")"
+COUNTRY_COLUMNS = ", ".join(f"list_contains(countries, '{n}')::INTEGER AS \"country_{n}\"" for n in NATIONS)
+CONTINENT_COLUMNS = ", ".join(f"({c})::INTEGER AS \"continent_{n}\"" for n, c in CONTINENT.items())
+CATEGORY_VALUES = {
+    "osm_type": ("node", "relation", "way"), "contribution_type": ("CREATION", "DELETION", "GEOMETRY", "TAG"),
+    "geometry_type": ("LineString", "Point", "Polygon"), "time_of_day": ("afternoon", "evening", "morning", "night"),
+}
+TIME_OF_DAY = """CASE WHEN hour(changeset_ts) BETWEEN 5 AND 11 THEN 'morning' WHEN hour(changeset_ts) BETWEEN 12 AND 16
+  THEN 'afternoon' WHEN hour(changeset_ts) BETWEEN 17 AND 20 THEN 'evening' ELSE 'night' END"""
+CATEGORY_SQL = {"osm_type": "osm_type", "contribution_type": "contrib_type", "geometry_type": "geometry_type", "time_of_day": TIME_OF_DAY}
+CATEGORY_COLUMNS = ", ".join(
+    f"({CATEGORY_SQL[c]} = '{v}')::INTEGER AS \"{c}_{v}\"" for c, values in CATEGORY_VALUES.items() for v in values)
+
+
+@check("E1_multilabel", E + f"SELECT ck, {COUNTRY_COLUMNS} FROM edits")
+def _(spark, sf):
+    df = edits(spark, sf, place=True).select("ck", "countries")
+    return encoders.multilabel(df, "countries", encoders.fit_vocabulary(df, "countries", multi=True), "country")
+
+
+@check("E1_continents", E + f"SELECT ck, {CONTINENT_COLUMNS} FROM edits")
+def _(spark, sf):
+    df = placed(spark, sf).select("ck", "continents")
+    return encoders.multilabel(df, "continents", encoders.fit_vocabulary(df, "continents", multi=True), "continent")
+
+
+@check("E2_onehot", E + """
+SELECT ck, coalesce(t = 'node', false)::INTEGER AS osm_type_node, coalesce(t = 'relation', false)::INTEGER AS osm_type_relation,
+  coalesce(t = 'way', false)::INTEGER AS osm_type_way FROM (SELECT ck, CASE WHEN h % 3 > 0 THEN osm_type END AS t FROM edits)""")
+def _(spark, sf):
+    df = edits(spark, sf).select("ck", F.when(F.col("h") % 3 > 0, F.col("osm_type")).alias("osm_type"))
+    return encoders.onehot(df, "osm_type", encoders.fit_vocabulary(df, "osm_type"))
+
+
+@check("E3_onehot_editor", "SELECT o_orderkey AS changeset_id, " + ", ".join(
+    f"(o_orderpriority = '{p}')::INTEGER AS \"created_by_{p}\"" for p in PRIORITIES) + " FROM orders")
+def _(spark, sf):
+    df = table(spark, sf, "orders").select(F.col("o_orderkey").alias("changeset_id"), F.col("o_orderpriority").alias("created_by"))
+    return encoders.onehot(df, "created_by", encoders.fit_vocabulary(df, "created_by"))
+
+
+@check("E3_onehot_sparse", """
+SELECT changeset_id, i AS position, (SELECT count(DISTINCT o_custkey) FROM orders) AS width FROM (
+  SELECT o_orderkey AS changeset_id, o_custkey FROM orders) JOIN (
+  SELECT o_custkey, row_number() OVER (ORDER BY md5('42|' || o_custkey), o_custkey) - 1 AS i FROM (SELECT DISTINCT o_custkey FROM orders)) USING (o_custkey)""")
+def _(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    df = table(spark, sf, "orders").select(F.col("o_orderkey").alias("changeset_id"), F.col("o_custkey").alias("user"))
+    found = encoders.onehot_sparse(df, "user").select("changeset_id", vector_to_array("user_vec").alias("v"))
+    # the vector keeps one more place for values it has not seen
+    return found.select(
+        "changeset_id", (F.array_position("v", F.lit(1.0)) - 1).alias("position"), (F.size("v") - 1).cast("bigint").alias("width"))
+
+
+def full_edits(spark, sf):
+    """Edits with all columns a feature table needs; history figures are taken from the hash."""
+    h = F.col("h")
+    return edits(spark, sf, place=True, comment=True).withColumns({
+        "element_n_users_cum": h % 11, "element_n_versions": h % 13, "n_edits": h % 50, "user_n_changesets_cum": h % 17,
+        "user_n_edits_cum": h % 23, "user_n_edit_days_cum": h % 19,
+        "element_previous_edit_valid": F.col("previous_text"), "user_previous_edit_timestamp": F.col("previous_text"),
+        "element_time_since_previous_edit": F.col("interval"), "user_time_since_previous_edit": F.col("interval"),
+    })
+
+
+HISTORY_SQL = """h % 11 AS element_n_users_cum, h % 13 AS element_n_versions, h % 50 AS n_edits, h % 17 AS user_n_changesets_cum,
+  h % 23 AS user_n_edits_cum, h % 19 AS user_n_edit_days_cum"""
+NUMBERS_SQL = f"""area_delta, length_delta, area, length, geometry_valid::INTEGER AS geometry_valid,
+  round((xmax - xmin) * (ymax - ymin), 6) AS bounding_box_size, round(xmax, 6) AS xmax, round(xmin, 6) AS xmin, round(ymax, 6) AS ymax, round(ymin, 6) AS ymin,
+  (isodow(changeset_ts) - 1)::INTEGER AS day_of_week, (isodow(changeset_ts) >= 6)::INTEGER AS is_weekend,
+  {ADDED}::INTEGER AS tags_added, {REMOVED}::INTEGER AS tags_removed, {MODIFIED}::INTEGER AS tags_modified,
+  ({ADDED} + {REMOVED} + {MODIFIED})::INTEGER AS tags_changed, {N_TAGS}::INTEGER AS total_tags, osm_version,
+  round(xmax - xmin, 6) AS bbox_x_range, round(ymax - ymin, 6) AS bbox_y_range, round(centroid_x, 6) AS centroid_x, round(centroid_y, 6) AS centroid_y,
+  len(countries)::INTEGER AS country_count,
+  round(CASE WHEN area > 0 THEN least(ln(1 + {N_TAGS} / area::DOUBLE), 10) ELSE 0 END, 6) AS tag_density,
+  round(least(greatest(CASE WHEN area - area_delta > 0 THEN area_delta::DOUBLE / (area - area_delta) ELSE area_delta::DOUBLE END, -10), 10), 6) AS relative_area_change,
+  length(coalesce(comment, ''))::INTEGER AS changeset_comment_length, (coalesce(source, 'survey') <> 'survey')::INTEGER AS source_reliability,
+  changeset_id, (h % 2 = 0)::INTEGER AS building, (h % 5 <> 0 AND h % 3 = 0)::INTEGER AS highway, (h % 7 = 0)::INTEGER AS landuse, vandalism, """ + ", ".join(
+    f"({HAS[t]} AND NOT {HAD[t]})::INTEGER AS {t}_added, ({HAD[t]} AND NOT {HAS[t]})::INTEGER AS {t}_removed, "
+    f"({HAD[t]} AND {HAS[t]} AND NOT {SAME[t]})::INTEGER AS {t}_modified, "
+    f"(({HAS[t]} <> {HAD[t]}) OR ({HAS[t]} AND {HAD[t]} AND NOT {SAME[t]}))::INTEGER AS {t}_changed" for t in KEY_TAGS)
+ROUNDED = ("bounding_box_size", "xmax", "xmin", "ymax", "ymin", "bbox_x_range", "bbox_y_range", "centroid_x", "centroid_y", "tag_density", "relative_area_change")
+PREVIOUS_SQL = "(CASE WHEN h % 17 = 0 OR h % 19 = 0 THEN -1 ELSE epoch(date_trunc('minute', valid_from)) END)::DOUBLE"
+INTERVAL_SQL = "((h % 3) * 2592000 + (h % 28) * 86400 + (h % 1000))::DOUBLE"
+CONTINENT_TEXT = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in CONTINENT.items()) + ")"
+
+
+@check("F19_build_features", with_(EDITS, CHANGESETS) + f"""
+SELECT ck AS contribution_key, {HISTORY_SQL}, {NUMBERS_SQL}, geometry_type, {TIME_OF_DAY} AS time_of_day, valid_from AS date_created, osm_type, osm_id,
+  contrib_type AS contribution_type, '' AS members, l_linestatus AS status, grid_cell_id, array_to_string(countries, ',') AS countries,
+  {CONTINENT_TEXT} AS continents, coalesce(source, 'unknown') AS source_used, (h % 16)::INTEGER AS level, h % 100000 AS code
+FROM edits JOIN changesets0 c USING (changeset_id)""")
+def _(spark, sf):
+    df = build_features(full_edits(spark, sf), SETTINGS)
+    df = df.drop(*[f"{w}_{c}" for w in ("user", "element") for c in ("previous_edit_timestamp", "time_since_previous_edit")])
+    texts = {c: F.concat_ws(",", c) for c in ("members", "countries", "continents")}
+    return encoders.unnest_xzcode(df).withColumns(texts | {c: F.round(c, 6) for c in ROUNDED})
+
+
+@check("E4_encode_edits", with_(EDITS, CHANGESETS) + f"""
+SELECT ck, {HISTORY_SQL}, {NUMBERS_SQL}, (h % 16)::INTEGER AS level, {COUNTRY_COLUMNS}, {CONTINENT_COLUMNS}, {CATEGORY_COLUMNS},
+  {PREVIOUS_SQL} AS user_previous_edit_timestamp, {PREVIOUS_SQL} AS element_previous_edit_timestamp,
+  {INTERVAL_SQL} AS user_time_since_previous_edit, {INTERVAL_SQL} AS element_time_since_previous_edit
+FROM edits JOIN changesets0 c USING (changeset_id)""")
+def _(spark, sf):
+    df, _ = encoders.encode_edits(build_features(full_edits(spark, sf), SETTINGS), keep=["contribution_key"])
+    return df.withColumnRenamed("_keep_contribution_key", "ck").withColumns({c: F.round(c, 6) for c in ROUNDED})
+
+
+@check("E5_encode_changesets", with_(EDITS, CHANGESETS) + """
+SELECT changeset_id, user_id, num_changes, label, epoch(closed_at)::DOUBLE AS closed_at, epoch(account_created)::DOUBLE AS account_created,
+  round(coalesce(min_lon, 0), 6) AS min_lon, round(coalesce(max_lon, 0), 6) AS max_lon, round(coalesce(min_lat, 0), 6) AS min_lat, round(coalesce(max_lat, 0), 6) AS max_lat,
+  round((coalesce(min_lon, 0) + coalesce(max_lon, 0)) / 2, 6) AS centroid_x, round((coalesce(min_lat, 0) + coalesce(max_lat, 0)) / 2, 6) AS centroid_y,
+  length(coalesce(comment, ''))::INTEGER AS changeset_comment_length, """ + ", ".join(
+    f"(created_by = '{p}')::INTEGER AS \"created_by_{p}\"" for p in PRIORITIES) + " FROM changesets")
+def _(spark, sf):
+    df = changeset_features(full_changesets(spark, sf).drop("source"))
+    numbers = ("min_lon", "max_lon", "min_lat", "max_lat", "centroid_x", "centroid_y")
+    return encoders.encode_changesets(df)[0].withColumns({c: F.round(c, 6) for c in numbers})
+
+
+# Eight points on the centroid plane.
+CENTERS = [
+    (0, -120.0, 40.0), (1, -60.0, -20.0), (2, 0.0, 50.0), (3, 20.0, 0.0), (4, 80.0, 20.0), (5, 110.0, 35.0), (6, 140.0, -30.0), (7, -10.0, -70.0),
+]
+
+
+@check("M1_fit_clusters")
+def _(spark, sf):
+    centers = clusters.fit_clusters(edits(spark, sf), 20)
+    return spark.createDataFrame(centers, "id int, x double, y double")
+
+
+@check("M2_assign_clusters", E + "SELECT ck, list_min([" + ", ".join(
+    f"{{'d': (centroid_x - {x}::DOUBLE) * (centroid_x - {x}::DOUBLE) + (centroid_y - {y}::DOUBLE) * (centroid_y - {y}::DOUBLE), 'id': {i}}}"
+    for i, x, y in CENTERS) + "]).id AS cluster_label FROM edits")
+def _(spark, sf):
+    return clusters.assign_clusters(edits(spark, sf), CENTERS).select("ck", "cluster_label")
+
+
+FEATURES = ["area", "length", "area_delta", "length_delta", "osm_version", "centroid_x", "centroid_y"]
+
+
+def labelled(spark, sf):
+    """Edits with a label that the size of the element tells, but for one edit in twenty."""
+    large = (F.col("l_quantity") > 25).cast("int")
+    return edits(spark, sf).select(
+        "ck", "changeset_id", *FEATURES, F.when(F.col("h") % 20 == 0, 1 - large).otherwise(large).alias("label"))
+
+
+def split_rows(spark, sf):
+    return meta_split(labelled(spark, sf), "ck", 0.4, 0.25, 0.0)
+
+
+@check("M3_fit_and_M4_score")
+def _(spark, sf):
+    rows = split_rows(spark, sf)
+    model = models.fit_model(rows, FEATURES, TREES | {"scale_pos_weight": 1.5}, split="split")
+    scored = flag(models.score(rows, model))
+    return evaluate(scored.select("split", F.col("label").alias("y_true"), "y_prob"))
+
+
+@check("M5_training_curve")
+def _(spark, sf):
+    rows = split_rows(spark, sf)
+    model = models.fit_model(rows, FEATURES, TREES, split="split")
+    return models.training_curve(model, rows.where("split = 'val'"))
+
+
+@check("M6_random_search")
+def _(spark, sf):
+    grid = {"learning_rate": [0.1, 0.3], "max_depth": [2, 3], "n_estimators": [3, 4], "scale_pos_weight": [1, 2]}
+    return models.random_search(labelled(spark, sf), FEATURES, "ck", grid=grid, n=3, folds=2)[1]
+
+
+@check("M7_grid_search")
+def _(spark, sf):
+    grid = {"n_estimators": [3], "max_depth": [2, 3]}
+    df = evaluations(spark, sf).withColumn("label", F.col("y_true").cast("int"))
+    return models.grid_search(df, ["y_prob_main", "y_prob_hyper"], "changeset_id", grid=grid, folds=2)[1]
+
+
+@check("M8_cross_validate")
+def _(spark, sf):
+    return models.cross_validate(labelled(spark, sf), FEATURES, TREES | {"n_estimators": 3}, "ck", k=3)
+
+
+def stacked(spark, sf):
+    e = evaluations(spark, sf)
+    labels = e.select("changeset_id", F.col("y_true").cast("int").alias("label"))
+    main = meta_split(labels, "changeset_id", 0.5, 0.2, 0.45).select(
+        "changeset_id", "split", F.col("label").alias("y_true")).join(e.select("changeset_id", "y_prob_main"), "changeset_id")
+    return stack_run(edits(spark, sf).select("changeset_id", "predicted_prob"), labels, main, TREES)
+
+
+@check("M9_fit_hyper_M10_fit_meta")
+def _(spark, sf):
+    return stacked(spark, sf).comparison
+
+
+@check("M10_fit_meta_trees")
+def _(spark, sf):
+    e = evaluations(spark, sf).withColumn("y_true", F.col("y_true").cast("int"))
+    model = models.fit_meta(e, "trees", TREES)
+    return evaluate(models.score(e, model), ())
+
+
+@check("M11_importances")
+def _(spark, sf):
+    model = models.fit_model(split_rows(spark, sf), FEATURES, TREES, split="split")
+    return importance_report(models.importances(model, FEATURES, spark))
+
+
+def small_training(spark, sf):
+    df = full_edits(spark, sf)
+    large = (F.col("l_quantity") > 25).cast("int")
+    df = df.withColumn("vandalism", F.when(F.col("h") % 20 == 0, 1 - large).otherwise(large))
+    n = df.count()
+    settings = TrainSettings(test=n // 4, val=n // 10, ratio=0.2, clusters=10, params=TREES, features=SETTINGS)
+    return df, train_run(df, settings)
+
+
+@check("M12_train_run")
+def _(spark, sf):
+    return small_training(spark, sf)[1].metrics
+
+
+@check("D14_ablate")
+def _(spark, sf):
+    return ablate(split_rows(spark, sf), FEATURES, TREES | {"n_estimators": 3}, 2)

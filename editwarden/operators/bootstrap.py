@@ -37,8 +37,8 @@ def resampled_counts(df: DataFrame, key: str, iterations: int, seed=SEED, poisso
     """(iteration, y_true, y_pred, y_prob, weight) with weights added up per distinct combination."""
     what = ("y_true", "y_pred", "y_prob")
     if poisson:
-        rounds = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))
-        rows = df.select(key, *what).withColumn("iteration", rounds.cast("bigint"))
+        rounds = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint")))
+        rows = df.select(key, *what).withColumn("iteration", rounds)
         u = hex_to_long(F.md5(F.concat_ws("|", F.lit(str(seed)), "iteration", F.col(key).cast("string"))), 1, DIGITS) / F.lit(16.0 ** DIGITS)
         rows = rows.withColumn("weight", _poisson_one(u)).where("weight > 0")
         return rows.groupBy("iteration", *what).agg(F.sum("weight").alias("weight"))

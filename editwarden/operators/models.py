@@ -71,8 +71,9 @@ def _weighted(df: DataFrame, label: str, params: Mapping) -> DataFrame:
 
 
 def _trees(params: Mapping, label: str, validate: bool = False) -> GBTClassifier:
-    trees = GBTClassifier(labelCol=label, featuresCol="_features", weightCol="_weight", seed=SEED, **tree_settings(params))
-    return trees.setValidationIndicatorCol("_validate").setValidationTol(0.001) if validate else trees
+    stop = {"validationIndicatorCol": "_validate", "validationTol": 0.001} if validate else {}
+    return GBTClassifier(
+        labelCol=label, featuresCol="_features", weightCol="_weight", seed=SEED, **stop, **tree_settings(params))
 
 
 def fit_model(

@@ -45,8 +45,16 @@ def read_ids(spark: SparkSession, path: str, column: str = "changeset_id") -> Da
 
 
 def read_changesets_xml(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
-    """Changesets of an id range from a history file; the box is null unless it is a valid one."""
-    rows = spark.read.format("xml").option("rowTag", "changeset").schema(CHANGESET_XML).load(path)
+    """Changesets of an id range from a history file; the box is null unless it is a valid one.
+
+    The start of a record is the line separator of a text scan, so a file of any size is split
+    over many tasks; each record is then parsed by itself."""
+    start, end = "<changeset ", "</changeset>"
+    text = F.col("value")
+    record = F.when(text.contains(end), F.concat(F.substring_index(text, end, 1), F.lit(end))).otherwise(
+        F.concat(F.substring_index(text, "/>", 1), F.lit("/>")))
+    rows = spark.read.option("lineSep", start).text(path).where(text.rlike(r"^\s*[A-Za-z_]+="))
+    rows = rows.select(F.from_xml(F.concat(F.lit(start), record), CHANGESET_XML).alias("_r")).select("_r.*")
     rows = rows.where(F.col("_id").between(low, high))
     box = [F.col(c) for c in ("_min_lat", "_max_lat", "_min_lon", "_max_lon")]
     valid = (box[0] >= -90) & (box[1] <= 90) & (box[2] >= -180) & (box[3] <= 180) & (box[0] <= box[1]) & (box[2] <= box[3])
