@@ -47,13 +47,13 @@ CATEGORY_COLUMNS = ", ".join(
 @check("E1_multilabel", E + f"SELECT ck, {COUNTRY_COLUMNS} FROM edits")
 def _(spark, sf):
     df = edits(spark, sf, place=True).select("ck", "countries")
-    return encoders.multilabel(df, "countries", encoders.fit_vocabulary(df, "countries", multi=True), "country")
+    return encoders.multilabel(df, "countries", encoders.fit_vocabulary(df, "countries"), "country")
 
 
 @check("E1_continents", E + f"SELECT ck, {CONTINENT_COLUMNS} FROM edits")
 def _(spark, sf):
     df = placed(spark, sf).select("ck", "continents")
-    return encoders.multilabel(df, "continents", encoders.fit_vocabulary(df, "continents", multi=True), "continent")
+    return encoders.multilabel(df, "continents", encoders.fit_vocabulary(df, "continents"), "continent")
 
 
 @check("E2_onehot", E + """

@@ -45,14 +45,20 @@ def reverted_changeset(comment: Column) -> Column:
 
 
 def osmchange_counts(xml: Column) -> dict[str, Column]:
-    """Elements and actions counted in an osmChange document; 0 when there is none."""
-    def count(path: str) -> Column:
-        return F.coalesce(F.xpath_int(xml, F.lit(f"count(/osmChange/{path})")), F.lit(0))
+    """Elements and actions counted in an osmChange document; 0 when there is none. Parsed once."""
+    children = ", ".join(f"{e}: ARRAY<STRUCT<_id: STRING>>" for e in ELEMENTS)
+    document = F.from_xml(xml, ", ".join(f"{a} ARRAY<STRUCT<{children}>>" for a in ACTIONS))
 
-    counts = {f"no_{e}s": count(f"*[self::create or self::modify or self::delete]/{e}") for e in ELEMENTS}
+    def count(action: str, element: str) -> Column:
+        blocks = F.coalesce(document[action], F.array())
+        return F.aggregate(blocks, F.lit(0), lambda n, block: n + F.coalesce(F.size(block[element]), F.lit(0)))
+
+    def total(pairs) -> Column:
+        return sum((count(a, e) for a, e in pairs), F.lit(0))
+
+    counts = {f"no_{e}s": total((a, e) for a in ACTIONS) for e in ELEMENTS}
     names = {"create": "no_creates", "modify": "no_modifications", "delete": "no_deletions"}
-    counts |= {names[a]: count(f"{a}/*[self::node or self::way or self::relation]") for a in ACTIONS}
-    return counts
+    return counts | {names[a]: total((a, e) for e in ELEMENTS) for a in ACTIONS}
 
 
 def user_info(xml: Column) -> dict[str, Column]:

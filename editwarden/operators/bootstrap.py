@@ -40,7 +40,8 @@ def resampled_counts(df: DataFrame, key: str, iterations: int, seed=SEED, poisso
         rounds = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint")))
         rows = df.select(key, *what).withColumn("iteration", rounds)
         u = hex_to_long(F.md5(F.concat_ws("|", F.lit(str(seed)), "iteration", F.col(key).cast("string"))), 1, DIGITS) / F.lit(16.0 ** DIGITS)
-        rows = rows.withColumn("weight", _poisson_one(u)).where("weight > 0")
+        # rows drawn 0 times add nothing to the sums, so they need no filter
+        rows = rows.withColumn("weight", _poisson_one(u))
         return rows.groupBy("iteration", *what).agg(F.sum("weight").alias("weight"))
     rows = settle(numbered(df.select(key, *what), key, seed).select("row", *what))
     n = rows.count()

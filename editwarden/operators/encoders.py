@@ -19,13 +19,31 @@ MULTI = {"countries": "country", "continents": "continent"}
 MAX_COLUMNS = 5_000
 
 
-def fit_vocabulary(df: DataFrame, column: str, multi: bool = False) -> list[str]:
-    """Sorted different values. They become columns, so their number is checked before it is collected."""
-    values = df.select((F.explode(column) if multi else F.col(column)).alias("v")).where("v IS NOT NULL").distinct()
-    found = values.limit(MAX_COLUMNS + 1).collect()
-    if len(found) > MAX_COLUMNS:
-        raise ValueError(f"{column} has more than {MAX_COLUMNS} values; use onehot_sparse")
-    return sorted(row["v"] for row in found)
+def fit_vocabularies(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted different values of text columns and of lists of text, found in one pass.
+
+    They become columns, so their number is checked before they are collected."""
+    kinds = dict(df.dtypes)
+
+    def entries(column):
+        values = F.col(column) if kinds[column].startswith("array") else F.array(column)
+        return F.transform(F.coalesce(values, F.array()), lambda v: F.struct(F.lit(column).alias("c"), v.alias("v")))
+
+    pairs = df.select(F.explode_outer(F.concat(*[entries(c) for c in columns])).alias("_e")).select("_e.*")
+    # partial aggregation leaves one row per task and value
+    values = pairs.where("v IS NOT NULL").distinct()
+    found = values.limit(MAX_COLUMNS * len(columns) + 1).collect()
+    vocabularies = {c: sorted(row["v"] for row in found if row["c"] == c) for c in columns}
+    for column, words in vocabularies.items():
+        if len(words) > MAX_COLUMNS:
+            raise ValueError(f"{column} has more than {MAX_COLUMNS} values; use onehot_sparse")
+    if len(found) > MAX_COLUMNS * len(columns):
+        raise ValueError(f"more than {MAX_COLUMNS} values in one of {list(columns)}; use onehot_sparse")
+    return vocabularies
+
+
+def fit_vocabulary(df: DataFrame, column: str) -> list[str]:
+    return fit_vocabularies(df, [column])[column]
 
 
 def multilabel(df: DataFrame, column: str, vocabulary: Sequence[str], prefix: str) -> DataFrame:
@@ -63,10 +81,10 @@ class EditEncoder:
 
     @classmethod
     def fit(cls, features: DataFrame, temporal: bool = False) -> EditEncoder:
+        found = fit_vocabularies(features, [c for c in (*MULTI, *CATEGORIES) if c in features.columns])
         return cls(
-            multi={c: fit_vocabulary(features, c, multi=True) for c in MULTI if c in features.columns},
-            categories={c: fit_vocabulary(features, c) for c in CATEGORIES if c in features.columns},
-            temporal=temporal)
+            multi={c: v for c, v in found.items() if c in MULTI},
+            categories={c: v for c, v in found.items() if c in CATEGORIES}, temporal=temporal)
 
     def transform(self, features: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Numeric table. ``keep`` lists columns to carry along although the encoder drops them."""

@@ -71,8 +71,11 @@ def audit_labels(computed: DataFrame, labels: DataFrame, key: str = KEY) -> Data
 
 
 def by_region(df: DataFrame, regions: str, name: str = "region") -> DataFrame:
-    """One row per (row, region it lies in)."""
-    return df.withColumn(name, F.explode(regions)).drop(*([regions] if regions != name else []))
+    """One row per (row, region it lies in); rows without a region are left out.
+
+    The outer explode keeps Spark from computing the list a second time in an inferred filter."""
+    rows = df.withColumn(name, F.explode_outer(regions)).where(F.col(name).isNotNull())
+    return rows.drop(*([regions] if regions != name else []))
 
 
 def diff_tables(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -99,7 +102,8 @@ def diff_tables(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
         F.lit("<row>").alias("column"), F.when(F.col("_a"), "present").alias("value_a"),
         F.when(F.col("_b"), "present").alias("value_b"))))
     keys = [F.coalesce(f"{k}_a", f"{k}_b").alias(k) for k in key]
-    return both.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("_c")).select(*key, "_c.*")
+    found = both.select(*keys, F.explode_outer(F.array_compact(F.array(*cells))).alias("_c"))
+    return found.where("_c IS NOT NULL").select(*key, "_c.*")
 
 
 def diff_schema(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ def geographic_split(df: DataFrame, regions_of: str, groups: Mapping[str, Sequen
     ]))
     if exclusive:
         return df.withColumn("split", F.get(hits, F.lit(0))).where("split IS NOT NULL")
-    return df.withColumn("split", F.explode(hits))
+    return df.withColumn("split", F.explode_outer(hits)).where("split IS NOT NULL")
 
 
 def check_regions(df: DataFrame, regions_of: str, groups: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:

@@ -19,6 +19,8 @@ RUNTIME_SETTINGS = {
     # split skewed join keys even if a later step then needs another shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # the JVM does not compile larger methods; Spark then splits wide projections into small ones
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
