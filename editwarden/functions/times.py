@@ -59,8 +59,8 @@ def month_label(ts: Column) -> Column:
 
 
 def month_from_name(name: Column) -> Column:
-    """``YYYY-MM`` found in a file name, else null."""
-    found = F.regexp_extract(name, r"(\d{4}-\d{2})", 1)
+    """``YYYY-MM`` standing alone in a file name, else null; digits of a longer word do not count."""
+    found = F.regexp_extract(name, r"(?<![0-9A-Za-z])(\d{4}-(?:0[1-9]|1[0-2]))(?![0-9A-Za-z])", 1)
     return F.when(found != "", found)
 
 

@@ -86,16 +86,16 @@ def rows_within(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name:
     micros = epoch_micros(F.col(ts))
     per_time = df.groupBy(*keys, micros.alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
     moves = F.array(
-        F.struct(F.col("_at").alias("when"), F.lit(1).alias("enters"), F.col("_n").alias("n")),
-        F.struct((F.col("_at") + F.lit(seconds * 1_000_000 + 1)).alias("when"), F.lit(0).alias("enters"), (-F.col("_n")).alias("n")),
+        F.struct(F.col("_at").alias("_when"), F.lit(1).alias("_enters"), F.col("_n").alias("_count")),
+        F.struct((F.col("_at") + F.lit(seconds * 1_000_000 + 1)).alias("_when"), F.lit(0).alias("_enters"), (-F.col("_n")).alias("_count")),
     )
     events = per_time.select(*keys, F.explode(moves).alias("_e")).select(*keys, "_e.*")
-    counts = running(events, keys, ["when", "enters"], sums={name: F.col("n")}, limit=limit)
-    counts = counts.where("enters = 1").select(*[F.col(k).alias(f"_k_{k}") for k in keys], "when", name)
-    same = micros == F.col("when")
+    counts = running(events, keys, ["_when", "_enters"], sums={name: F.col("_count")}, limit=limit)
+    counts = counts.where("_enters = 1").select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_when", name)
+    same = micros == F.col("_when")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return df.join(counts, same, "left").drop("when", *[f"_k_{k}" for k in keys])
+    return df.join(counts, same, "left").drop("_when", *[f"_k_{k}" for k in keys])
 
 
 def user_rate(df: DataFrame, days: int, user=USER, ts=TIME, limit=HOT_ROWS) -> DataFrame:
