@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from editwarden.functions.hashing import hex_to_long
 from editwarden.functions.tags import KEY_TAGS
 from editwarden.functions.times import in_hours, in_seconds
+from editwarden.sources.readers import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,14 +18,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _tag_map(number: Column, step: int) -> Column:
+    # some key is always present, so the text is never empty
     entries = [
-        F.when(
-            (number + i) % step != 0,
-            F.struct(F.lit(tag).alias("key"), F.concat(F.lit("v"), number % (i + 2)).alias("value")),
-        )
-        for i, tag in enumerate(KEY_TAGS)
+        F.when((number + i) % step != 0, F.concat(F.lit(f"{tag}=v"), number % (i + 2))) for i, tag in enumerate(KEY_TAGS)
     ]
-    return F.map_from_entries(F.array_compact(F.array(*entries)))
+    return F.str_to_map(F.concat_ws(",", *entries), F.lit(","), F.lit("="))
 
 
 def _interval(h: Column) -> Column:
@@ -38,7 +36,7 @@ def _interval(h: Column) -> Column:
 
 def edits(spark, sf, *, user=False, place=False, comment=False) -> DataFrame:
     """One row per line item. ``user``, ``place`` and ``comment`` add the columns that need joins."""
-    l = table(spark, sf, "lineitem")
+    l = spread(table(spark, sf, "lineitem"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     ck = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents)
     h = F.col("h")

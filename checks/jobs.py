@@ -307,6 +307,9 @@ def _(spark, sf):
 
 def flagship(spark, sf):
     from editwarden.functions import places
+    from editwarden.functions.texts import percentage_text
     rows = narrow(spark, sf).withColumn("cell", places.grid_cell(F.col("centroid_x"), F.col("centroid_y")))
-    cells = rows.groupBy("month").agg(F.countDistinct("cell").alias("cells"))
-    return monthly_summary(rows).join(cells, "month")
+    total, bad = F.count(F.lit(1)), F.sum(F.col("y_pred").cast("bigint"))
+    return rows.groupBy("month").agg(
+        total.alias("total_entries"), bad.alias("vandalism_count"), percentage_text(bad, total).alias("vandalism_percentage"),
+        F.countDistinct("cell").alias("cells"))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from editwarden.functions import places, texts
 from editwarden.functions.times import month_label
-from editwarden.operators.running import HOT_ROWS, running, split_hot
+from editwarden.operators.running import running, split_hot
 
+# Largest group whose distinct values one task may hold for exact quantiles.
+QUANTILE_ROWS = 250_000
 PROFILE_QUANTILES = {"quantile_25": 0.25, "median_prediction": 0.5, "quantile_75": 0.75}
 
 
@@ -30,7 +32,7 @@ def split_shapes(df: DataFrame, features: Sequence[str], split: str = "split") -
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float], limit: int | None = HOT_ROWS,
+    df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float], limit: int | None = QUANTILE_ROWS,
 ) -> DataFrame:
     """Exact quantiles (linear between neighbours) per group.
 
@@ -62,7 +64,7 @@ def exact_quantiles(
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def score_profile(df: DataFrame, by: str = "changeset_id", score: str = "predicted_prob", limit: int | None = HOT_ROWS) -> DataFrame:
+def score_profile(df: DataFrame, by: str = "changeset_id", score: str = "predicted_prob", limit: int | None = QUANTILE_ROWS) -> DataFrame:
     """Fourteen figures about the scores of each changeset; 0 where a figure is undefined."""
     s = F.col(score)
     high = (s > 0.5).cast("int")
@@ -198,7 +200,7 @@ def label_coverage(labels: DataFrame, edits: DataFrame, key: str = "changeset_id
         F.count_if(lost & ~F.col("_label")).alias("unmatched_false"))
 
 
-def box_stats(tables: dict[str, DataFrame], metrics: Sequence[str], limit: int | None = HOT_ROWS) -> DataFrame:
+def box_stats(tables: dict[str, DataFrame], metrics: Sequence[str], limit: int | None = QUANTILE_ROWS) -> DataFrame:
     """Minimum, quartiles and maximum per metric and model."""
     rows = None
     for model, df in tables.items():

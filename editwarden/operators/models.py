@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editwarden.operators.metrics import areas
+from editwarden.operators.running import HOT_ROWS
 from editwarden.operators.sampling import SEED, assign_folds
+from editwarden.session import settle
 
 # The ranges that the searches draw from.
 SEARCH_GRID = {
@@ -95,7 +97,7 @@ def score(df: DataFrame, model: PipelineModel, out: str = "y_prob") -> DataFrame
     return scored.withColumn(out, vector_to_array("probability")[1]).drop(*added)
 
 
-def training_curve(model: PipelineModel, df: DataFrame, label: str = "label", limit: int | None = None) -> DataFrame:
+def training_curve(model: PipelineModel, df: DataFrame, label: str = "label", limit: int | None = HOT_ROWS) -> DataFrame:
     """Log loss, error, accuracy and AUC after each round, from one pass over the rows."""
     trees = model.stages[-1]
     rows = model.stages[0].transform(df).select("_features", F.col(label).alias("y_true"))
@@ -143,6 +145,8 @@ def search(
     Settings with equal class weight go through one cross validation."""
     rows = assign_folds(df, key, folds, label).withColumn("fold", F.col("fold").cast("int"))
     rows = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep").transform(rows)
+    # every setting and fold reads these rows
+    rows = settle(rows.select("_features", label, "fold"))
     results = []
     for weight in sorted({s.get("scale_pos_weight", 1) for s in settings}):
         chosen = [s for s in settings if s.get("scale_pos_weight", 1) == weight]
@@ -171,7 +175,7 @@ def grid_search(df, features, key, label="label", grid=META_GRID, folds=5, paral
 
 def cross_validate(df: DataFrame, features: Sequence[str], params: Mapping, key: str, label: str = "label", k: int = 5) -> DataFrame:
     """Average precision of each fold, the others training."""
-    rows = assign_folds(df, key, k, label)
+    rows = settle(assign_folds(df.select(key, label, *features), key, k, label))
     held = None
     for i in range(k):
         model = fit_model(rows.where(F.col("fold") != i), features, params, label)

@@ -20,6 +20,9 @@ from editwarden.session import settle
 HOT_ROWS = 2_000_000
 # Most hot keys that are broadcast; with more of them the split is an ordinary join.
 BROADCAST_KEYS = 100_000
+# Rows aimed at per chunk of a hot key, and the most chunks.
+CHUNK_ROWS = 1_000_000
+MAX_CHUNKS = 20_000
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS):
@@ -114,6 +117,7 @@ def _by_chunk(df, keys, order, *, sums, distinct, steps, totals, previous, follo
         flags.append(f"_new_{name}")
         sums[name] = F.col(f"_new_{name}")
     chunks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    chunks = max(chunks, min(-(-df.count() // CHUNK_ROWS), MAX_CHUNKS))
     rows = rows.repartitionByRange(chunks, *keys, *order)
     rows = rows.withColumn("_chunk", F.spark_partition_id()).withColumn("_key", F.struct(F.lit(0), *keys))
     # the placement comes from sampled bounds, so it is frozen before it is used twice

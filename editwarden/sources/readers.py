@@ -25,6 +25,15 @@ def read_edits(
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to all cores if it has fewer splits than half of them.
+
+    A parquet file with one row group is one split, whatever comes after it. Scans with many
+    splits, as large tables have, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def with_file_month(df: DataFrame, name: str = "file_month") -> DataFrame:
     """Month found in the name of the file a row came from."""
     return df.withColumn(name, month_from_name(F.col("_metadata.file_name")))
