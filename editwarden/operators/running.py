@@ -88,10 +88,11 @@ def _by_window(df, keys, order, *, sums, distinct, steps, totals, previous, foll
         rows = rows.withColumn(flags[name], first.cast("bigint"))
     along = Window.partitionBy(*keys).orderBy(*order)
     for name, value in steps.items():
+        # the flags inside the struct keep this window above theirs, so that it shares the last sort
+        before = F.lag(F.struct(F.col(value).alias("_value"), *flags.values())).over(along)
         flags[name] = f"_new_{name}"
-        new = F.row_number().over(along) == 1
-        changed = ~F.col(value).eqNullSafe(F.lag(value).over(along))
-        rows = rows.withColumn(flags[name], (new | changed).cast("bigint"))
+        changed = before.isNull() | ~F.col(value).eqNullSafe(before["_value"])
+        rows = rows.withColumn(flags[name], changed.cast("bigint"))
     so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys)
     added = {name: F.sum(value).over(so_far) for name, value in sums.items()}
