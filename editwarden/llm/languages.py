@@ -162,7 +162,8 @@ def train(docs: DataFrame, seed: int = 6) -> LanguageModel | None:
         return None
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) / 1e6
     shares = docs.sparkSession.createDataFrame([(v, min(1.0, PER_LANGUAGE / n)) for v, n in known.items()], "lang string, share double")
-    some = usable.join(shares, "lang").where(draw < F.col("share")).where(has_letter()).select(
+    # the driver holds one row per language already, so this side is as small as that
+    some = usable.join(F.broadcast(shares), "lang").where(draw < F.col("share")).where(has_letter()).select(
         "doc_id", "text", "lang", (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(5)) == 0).alias("calibrates"))
     got = some.mapInArrow(_counts, "doc_id long, lang string, calibrates boolean, counts binary").toArrow().sort_by("doc_id")
     rows = []
