@@ -5,7 +5,7 @@ a class into the node of its minwise shingle; two sets with Jaccard similarity s
 probability s, so 10 trees miss a link at 0.8 with probability 0.2 ** 10 = 1e-7. Nodes up to SMALL
 are compared exhaustively. A larger node is first compared with one pivot (its smallest class). If
 the pivot links all members, every pair of them is connected and the node is finished; otherwise its members branch
-by CHILDREN further minwise shingles each, and only pairs that are not yet under one pivot go on. What is
+by CHILDREN further minwise shingles each (others in each tree, or all trees would miss the same links), and only pairs that are not yet under one pivot go on. What is
 still large after LEVELS branchings is compared exhaustively in blocks, so no link is dropped for size.
 Links are confirmed on the full shingle sets, in integers.
 
@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editwarden.llm.frames import parts, ready, settle, stored
+from editwarden.llm.frames import ready, settle, stored
 from editwarden.llm.texts import U64, batch_bytes, lowered, mix, sequence_hashes, span_hashes, word_bounds
 
 TREES = 10
 SMALL = 24
 CHILDREN = 2
 LEVELS = 3
-SIGNATURE = TREES + CHILDREN * LEVELS + 16  # minwise values kept per class
+SIGNATURE = TREES + TREES * CHILDREN  # minwise values kept per class: a root for each tree, and a pool that branches draw from
 HASH_BYTES = 6  # of a shingle when sets are compared
 
 
@@ -54,7 +54,7 @@ def _seeds(count):
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sig): set size, 128-bit digest of the set, minwise values."""
+    """(doc_id, n_shingles, d1, d2, sig): set size, 128-bit digest of the set, 32 bits of each minwise value."""
     seeds = _seeds(SIGNATURE)
 
     def work(batches):
@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             full = np.flatnonzero(sizes)
             d1, d2 = np.zeros(len(sets), dtype=U64), np.zeros(len(sets), dtype=U64)
-            sig = np.zeros((len(full), SIGNATURE), dtype=U64)
+            sig = np.zeros((len(full), SIGNATURE), dtype=np.uint32)
             if len(full):
                 flat = np.concatenate([sets[i] for i in full])
                 at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
@@ -71,15 +71,15 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 for k, seed in enumerate(seeds):
                     values = flat * seed
                     values ^= values >> U64(32)
-                    sig[:, k] = np.minimum.reduceat(values * seed, at)
+                    sig[:, k] = np.minimum.reduceat(values * seed, at) >> U64(4)
             ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, SIGNATURE, 0))]).astype(np.int32)
             yield pa.record_batch([
                 batch.column("doc_id"), pa.array(sizes), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.reshape(-1).view(np.int64)))],
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.reshape(-1).view(np.int32)))],
                 names=["doc_id", "n_shingles", "d1", "d2", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        work, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>")
+        work, "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -144,7 +144,7 @@ def _sized(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Small and large nodes; nodes whose members are all connected already are finished."""
     sizes = nodes.groupBy("key").agg(
         F.count("*").alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("doc_id").alias("pivot")
-    ).where("l1 <> l2").select("key", "size", "pivot")
+    ).where("l1 <> l2").select("key", "size", "pivot")  # a key belongs to one tree
     rows = nodes.join(sizes, "key")
     return rows.where(F.col("size") <= SMALL), rows.where(F.col("size") > SMALL)
 
@@ -180,10 +180,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sig = stored(signatures(docs, shingle), "signatures")
     filled = sig.where("n_shingles > 0")
     members = filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("first"))
-    classes = filled.join(members.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    classes = stored(filled.join(members.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "classes")
 
     nodes = classes.select("doc_id", F.col("doc_id").alias("label"), F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "v")).select(
-        F.xxhash64("tree", "v").alias("key"), "doc_id", "label")
+        F.xxhash64("tree", "v").alias("key"), "tree", "doc_id", "label")
     small, large = _sized(nodes)
     found = [settle(_pairs_within(small).distinct())]
     large = settle(large)
@@ -204,15 +204,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             linked = settle(confirmed(plausible(star, classes, percent), sets, percent))
             stars.append(linked)
             labelled = large.join(linked.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), F.lit(True).alias("hit")), ["pivot", "doc_id"], "left").select(
-                "key", "doc_id", "size", F.when(F.col("hit") | (F.col("doc_id") == F.col("pivot")), F.col("pivot")).otherwise(F.col("label")).alias("label"))
+                "key", "tree", "doc_id", "size", F.when(F.col("hit") | (F.col("doc_id") == F.col("pivot")), F.col("pivot")).otherwise(F.col("label")).alias("label"))
             if level == LEVELS:
                 open_nodes = labelled.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("key")
                 found.append(settle(_blocks(labelled.join(open_nodes, "key")).distinct()))
                 break
-            values = F.slice("sig", TREES + 1 + CHILDREN * level, CHILDREN)
-            children = labelled.join(classes.select("doc_id", values.alias("values")), "doc_id").select(
-                F.col("key").alias("parent"), "doc_id", "label", F.posexplode("values").alias("child", "v")).select(
-                F.xxhash64("parent", "child", "v").alias("key"), "doc_id", "label")
+            pair = TREES + CHILDREN * F.pmod(F.col("tree") + 3 * level, F.lit(TREES))
+            children = labelled.join(classes.select("doc_id", "sig"), "doc_id").select(
+                F.col("key").alias("parent"), "tree", "doc_id", "label",
+                F.posexplode(F.array(*[F.get("sig", pair + c) for c in range(CHILDREN)])).alias("child", "v")).select(
+                F.xxhash64("parent", "child", "v").alias("key"), "tree", "doc_id", "label")
             small, large = _sized(settle(children))
             found.append(settle(_pairs_within(small).distinct()))
             large = settle(large)
