@@ -126,8 +126,8 @@ class ArchiveReader:
         tail_at = max(0, size - END_SIZE - 0xFFFF)
         tail = self.read(tail_at, size - tail_at)
         at = tail.rfind(END)
-        while at >= 0 and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-            at = tail.rfind(END, 0, at)  # the signature may occur in the comment
+        while at >= 0 and (at + END_SIZE > len(tail) or at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
+            at = tail.rfind(END, 0, at + 3)  # the signature may occur in the comment
         if at < 0:
             raise ValueError("no end of central directory")
         count, length, start = struct.unpack_from("<HII", tail, at + 10)
