@@ -293,4 +293,4 @@ def test_pieces_cover_the_item():
     for many in range(24, 300):
         item = "x" * many
         cut = pieces(item)
-        assert len(cut) == budget(item) + 1 and "".join(p for _, p in cut) == item and min(len(p) for _, p in cut) >= 12
+        assert len(cut) == budget(item) + 1 and "".join(p for _, p in cut) == item and min(len(p) for _, p in cut) >= 10
