@@ -9,10 +9,12 @@ are the whole UTF-8 texts; matches never cross documents.
 2. Leading tokens first: an anchor whose GRAM bytes occur in no other document cannot match and leaves. Blocks of documents exchange
    packed hashes for this; a hash collision only keeps an anchor too much.
 3. In a block equal contexts are combined: later documents lose them at once, one context goes on.
-4. The others are ranged over buckets by sampled splitters of the suffix at the anchor (its bytes, then the bytes before it). In
-   its bucket, each window of a context is sorted by multikey quicksort, eight bytes a time, and runs of equal windows give the earliest document.
-5. Across boundaries: the first and the last leading token of a bucket may go on in the next one. Their windows are compared
-   with those of the other buckets by one more grouping, so a token of a third of all documents spreads over buckets.
+4. The others are ranged over buckets by sampled splitters of the suffix at the anchor (its bytes, then the bytes before it, backwards).
+   In its bucket, each window of a context is sorted by multikey quicksort, eight bytes a time, and runs of equal windows give the
+   earliest document. A token of a third of all documents spreads over buckets.
+5. Across boundaries: suffixes in two buckets share only what they share with the outermost suffix of their bucket. Contexts with a
+   window in that part are ranged once more, by the bytes before the anchor first; windows that also reach a boundary of
+   this second order (they lie in text shared by very many documents) are compared by one more grouping, one row per bucket and window.
 
 Null and empty texts have no bytes and lose none. Rows of one doc_id must hold one text and lose the same bytes. Rows
 without doc_id do not appear. Other columns are ignored.
@@ -20,8 +22,6 @@ without doc_id do not appear. Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -33,8 +33,8 @@ from editwarden.llm.frames import parts, ready
 from editwarden.llm.texts import U64, batch_bytes, merged, mix, pack, unpack
 
 LENGTH = 50
-GRAM = 16
-PIECE = 1 << 20  # windows handled at once
+GRAM = 24
+PIECE = 1 << 19  # windows handled at once
 _PLACE_BITS = 24
 
 
@@ -54,9 +54,10 @@ def _anchors_of_piece(data, firsts, lasts, length):
     """Contexts of windows that start in [firsts, lasts): (anchor, first window, last window, key) as positions in ``data``."""
     n = len(data)
     words = leading_words(data)
-    after = np.zeros(n, dtype=U64)
-    after[:max(0, n - 8)] = words[8:]
-    hashes = mix(words ^ (mix(after, 31) * U64(0x9E3779B97F4A7C15)), 32)
+    hashes = np.zeros(n, dtype=U64)
+    for back in range(GRAM - 8, -1, -8):
+        hashes[:max(0, n - back)] ^= words[back:]
+        hashes = mix(hashes, 31 + back)
     low = (hashes >> U64(_PLACE_BITS) << U64(_PLACE_BITS)) | np.arange(n, dtype=U64)
     wide, span = length - GRAM + 1, 1
     while 2 * span <= wide:
@@ -135,8 +136,10 @@ class _Slice:
         self.row, self.anchor, self.first, self.last, self.key = anchors(self.data, self.offsets, length)
 
 
-_SHIPPED = "block int, right binary, left binary, doc_id long, start long, n int, spans binary"
+# a context: the bytes from the anchor on, those before it backwards, its places in one document, the bytes shared with a boundary
+_SHIPPED = "block int, right binary, left binary, doc_id long, starts binary, reach int, n int, spans binary"
 _FOUND = "block int, window binary, doc_id long, start long, n int, spans binary"
+WINDOWS_AT_ONCE = 400_000
 
 
 def _span_row(block, docs, starts, ends):
@@ -162,12 +165,13 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM} bytes")
     buckets = parts(ready(docs.sparkSession))
+    key_buckets = max(1, buckets // 2)
     blocks = buckets * BLOCKS_PER_PARTITION
     dealt = in_blocks(docs)
 
     def anchor_keys(key, table):
         found = [_Slice(part, length).key for part in table_batches(table)]
-        return packed_keys(key[0].as_py(), np.unique(np.concatenate(found)) if found else np.zeros(0, U64), buckets)
+        return packed_keys(key[0].as_py(), np.unique(np.concatenate(found)) if found else np.zeros(0, U64), key_buckets)
 
     known = shared_keys(dealt.groupBy("block").applyInArrow(anchor_keys, PACKED))
 
@@ -179,8 +183,14 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame
         order = np.lexsort((owner, keys))
         hit = (keys[order][1:] == keys[order][:-1]) & (owner[order][1:] != owner[order][:-1])
         local = np.unique(keys[order][1:][hit])
-        seen, rows = {}, []
+        seen: dict[bytes, tuple] = {}
         gone = ([], [], [])
+
+        def lose(doc, starts, many):
+            gone[0].extend([doc] * len(starts))
+            gone[1].extend(starts)
+            gone[2].extend(p + many for p in starts)
+
         for s in slices:
             take = np.flatnonzero(is_in(s.key, known) | is_in(s.key, local))
             begin = s.offsets[s.row[take]]
@@ -189,91 +199,31 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame
                                           s.anchor[take].tolist(), begin.tolist(), s.key[take].tolist()):
                 text = raw[p:q]
                 old = seen.get(text)
-                row = (doc, p - b, a - p, k)
-                if old is None:
-                    seen[text] = row
-                elif doc < old[0]:
-                    gone[0].append(old[0]), gone[1].append(old[1]), gone[2].append(old[1] + q - p)
-                    seen[text] = row
+                if old is None or doc < old[0]:
+                    if old is not None:
+                        lose(old[0], old[3], q - p)
+                    seen[text] = (doc, a - p, k, [p - b])
                 elif doc > old[0]:
-                    gone[0].append(doc), gone[1].append(p - b), gone[2].append(p - b + q - p)
+                    lose(doc, [p - b], q - p)
                 else:
-                    # the same document again: it must lose what an earlier document elsewhere has, too
-                    rows.append((text, row))
+                    old[3].append(p - b)
         del slices, keys, owner
-        rows += seen.items()
-        del seen
         each: dict[int, int] = {}
-        for text, row in rows:
-            each[row[3]] = each.get(row[3], 0) + 1
-        elsewhere = is_in(np.array([r[3] for _, r in rows], dtype=U64), known)
-        out = [(text[row[2]:], text[row[2] - 1::-1] if row[2] else b"", row[0], row[1], None, None)
-               for (text, row), e in zip(rows, elsewhere.tolist()) if e or each[row[3]] > 1]
+        for row in seen.values():
+            each[row[2]] = each.get(row[2], 0) + 1
+        elsewhere = is_in(np.array([r[2] for r in seen.values()], dtype=U64), known)
+        out = [(text[at:], text[at - 1::-1] if at else b"", doc, np.array(starts, dtype=np.int64).tobytes(), None, None)
+               for (text, (doc, at, k, starts)), e in zip(seen.items(), elsewhere.tolist()) if e or each[k] > 1]
         if gone[0]:
             n, spans = _span_row(block, *(np.array(g, dtype=np.int64) for g in gone))
-            out.append((hashlib.md5(str(block).encode()).digest(), None, None, None, n, spans))
-        columns = list(zip(*out)) if out else [()] * 6
-        return pa.table([pa.array([block] * len(columns[0]), pa.int32())] + [pa.array(c, t) for c, t in zip(
-            columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-            names=["block", "right", "left", "doc_id", "start", "n", "spans"])
-
-    shipped = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(contexts, _SHIPPED).repartitionByRange("right", "left")
-
-    def bucket(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        del batches
-        passed = table.filter(pa.compute.is_valid(table.column("spans")))
-        if passed.num_rows:
-            yield _found(passed.column("block").to_pylist(), n=passed.column("n").to_pylist(), spans=passed.column("spans").to_pylist())
-        table = table.filter(pa.compute.is_null(table.column("spans")))
-        if not table.num_rows:
-            return
-        right, left = table.column("right").to_pylist(), table.column("left").to_pylist()
-        doc, start, block = (table.column(c).to_numpy() for c in ("doc_id", "start", "block"))
-        del table
-        best: dict[tuple, int] = {}
-        for i, pair in enumerate(zip(right, left)):
-            j = best.setdefault(pair, i)
-            if doc[i] < doc[j]:
-                best[pair] = i
-        gone = [(i, 0, len(r) + len(v)) for i, (r, v) in enumerate(zip(right, left)) if doc[best[r, v]] < doc[i]]
-        tokens: dict[bytes, int] = {}
-        for r, _ in best:
-            tokens[r[:GRAM]] = tokens.get(r[:GRAM], 0) + 1
-        edge = (min(tokens), max(tokens))
-        kept = [(i, r, v) for i, (r, v) in enumerate(zip(right, left)) if doc[best[r, v]] == doc[i]]
-        # several documents or contexts of one leading token are sorted window by window
-        some = [(i, v[::-1] + r) for i, r, v in kept if tokens[r[:GRAM]] > 1]
-        if some:
-            flat = np.frombuffer(b"".join(t for _, t in some), dtype=np.uint8)
-            sizes = np.array([len(t) for _, t in some])
-            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            many = sizes - length + 1
-            of = np.repeat(np.arange(len(some)), many)
-            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            owner = doc[np.array([i for i, _ in some])][of]
-            members, first = equal_runs(leading_words(np.append(flat, np.zeros(8, np.uint8))), begins[of] + place, length)
-            if len(members):
-                least = np.repeat(np.minimum.reduceat(owner[members], first), np.diff(np.append(first, len(members))))
-                late = members[owner[members] > least]
-                gone += [(some[o][0], p, p + length) for o, p in zip(of[late].tolist(), place[late].tolist())]
-        if gone:
-            rows, low, high = (np.array(c, dtype=np.int64) for c in zip(*gone))
-            low, high = low + start[rows], high + start[rows]
-            out = []
-            for b in np.unique(block[rows]):
-                mine = block[rows] == b
-                out.append((int(b), *_span_row(b, doc[rows[mine]], low[mine], high[mine])))
-            yield _found([o[0] for o in out], n=[o[1] for o in out], spans=[o[2] for o in out])
-        at_edge = [(i, v[::-1] + r) for i, r, v in kept if r[:GRAM] in edge]
-        for a in range(0, len(at_edge), 1000):
-            rows = [(int(block[i]), t[p:p + length], int(doc[i]), int(start[i]) + p) for i, t in at_edge[a:a + 1000] for p in range(len(t) - length + 1)]
-            yield _found(*zip(*rows))
-
-    found = shipped.mapInArrow(bucket, _FOUND).repartition(buckets, "block")
+            out.append((None, None, None, None, n, spans))
+        return _shipped(block, out)
+
+    # rows of spans only pass through: they are dealt evenly
+    any_place = F.md5(F.col("block").cast("string")).cast("binary")
+    shipped = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(contexts, _SHIPPED)
+    edges = shipped.repartitionByRange(F.coalesce("right", any_place), "left").mapInArrow(lambda b: _bucket(b, length, False), _SHIPPED)
+    found = edges.repartitionByRange(F.coalesce("left", any_place), "right").mapInArrow(lambda b: _bucket(b, length, True), _FOUND).repartition(buckets, "block")
 
     def windows_only(batches):
         for batch in batches:
@@ -316,6 +266,116 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame
         remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, kept binary")
 
 
+def _bucket(batches, length, second):
+    """One bucket of contexts in the first order (by what follows the anchor) or in the second (by what goes before it).
+
+    Yields packed spans and, of the contexts with a window that may also be in another bucket, the context (first order) or
+    the window (second order)."""
+    give = _found if second else _passed
+    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+    if table is None:
+        return
+    passed = table.filter(pa.compute.is_valid(table.column("spans")))
+    if passed.num_rows:
+        yield give(passed.column("block").to_pylist(), n=passed.column("n").to_pylist(), spans=passed.column("spans").to_pylist())
+    table = table.filter(pa.compute.is_null(table.column("spans")))
+    if not table.num_rows:
+        return
+    right, left = table.column("right").to_pylist(), table.column("left").to_pylist()
+    doc, block = table.column("doc_id").to_numpy(), table.column("block").to_numpy()
+    starts = [np.frombuffer(v, dtype=np.int64) for v in table.column("starts").to_pylist()]
+    reach = table.column("reach").to_pylist()
+    del table, passed, batches
+    best: dict[tuple, int] = {}
+    for i, pair in enumerate(zip(right, left)):
+        j = best.setdefault(pair, i)
+        if doc[i] < doc[j]:
+            best[pair] = i
+    least_doc = {pair: doc[i] for pair, i in best.items()}
+    gone = [(i, 0, len(r) + len(v)) for i, (r, v) in enumerate(zip(right, left)) if least_doc[r, v] < doc[i]]
+    kept = sorted((i for i, pair in enumerate(zip(right, left)) if least_doc[pair] == doc[i]), key=lambda i: right[i][:GRAM])
+    del best, least_doc
+    late_windows = set()
+    group: list[int] = []
+    many = 0
+    for k, i in enumerate(kept):
+        # all contexts of a leading token together; several tokens at once
+        group.append(i)
+        many += len(right[i]) + len(left[i]) - length + 1
+        last = k + 1 == len(kept) or right[kept[k + 1]][:GRAM] != right[i][:GRAM]
+        if last and (many >= WINDOWS_AT_ONCE or k + 1 == len(kept)):
+            for i, p in _late(group, right, left, doc, length):
+                gone.append((i, p, p + length))
+                late_windows.add((i, p))
+            group, many = [], 0
+    if gone:
+        rows, low, high = (np.array(c, dtype=np.int64) for c in zip(*gone))
+        counts = np.array([len(s) for s in starts])[rows]
+        shift = np.concatenate([starts[i] for i in rows.tolist()])
+        rows, low, high = np.repeat(rows, counts), np.repeat(low, counts) + shift, np.repeat(high, counts) + shift
+        out = []
+        for b in np.unique(block[rows]):
+            mine = block[rows] == b
+            out.append((int(b), *_span_row(b, doc[rows[mine]], low[mine], high[mine])))
+        yield give([o[0] for o in out], n=[o[1] for o in out], spans=[o[2] for o in out])
+    main = left if second else right
+    ends = (min(main), max(main))
+    out = []
+    for i in kept:
+        shared = max(_common(main[i], end) for end in ends)
+        before = len(left[i])
+        if not second:
+            # the first window has the fewest bytes after the anchor
+            if length - before <= shared:
+                out.append((right[i], left[i], int(doc[i]), starts[i].tobytes(), shared, int(block[i])))
+            continue
+        text = left[i][::-1] + right[i]
+        for p in range(len(text) - length + 1):
+            if length - (before - p) <= reach[i] and before - p <= shared and (i, p) not in late_windows:
+                out += [(int(block[i]), text[p:p + length], int(doc[i]), int(s) + p) for s in starts[i]]
+    for k in range(0, len(out), 10_000):
+        part = list(zip(*out[k:k + 10_000]))
+        yield _found(*part) if second else _passed(part[5], *part[:5])
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    if a[:GRAM] != b[:GRAM]:
+        a, b = a[:GRAM], b[:GRAM]
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def _late(group, right, left, doc, length):
+    """(context, place) of the windows that an earlier document of the group has, too."""
+    if len(group) < 2:
+        return
+    texts = [left[i][::-1] + right[i] for i in group]
+    sizes = np.array([len(t) for t in texts])
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    many = sizes - length + 1
+    of = np.repeat(np.arange(len(group)), many)
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    owner = doc[np.array(group)][of]
+    flat = np.frombuffer(b"".join(texts) + bytes(8), dtype=np.uint8)
+    members, first = equal_runs(leading_words(flat), begins[of] + place, length)
+    if len(members):
+        least = np.repeat(np.minimum.reduceat(owner[members], first), np.diff(np.append(first, len(members))))
+        for m in members[owner[members] > least].tolist():
+            yield group[of[m]], int(place[m])
+
+
+def _shipped(block, rows):
+    columns = list(zip(*rows)) if rows else [()] * 6
+    return _passed([block] * len(columns[0]), *columns[:4], None, *columns[4:], table=True)
+
+
+def _passed(block, right=None, left=None, doc_id=None, starts=None, reach=None, n=None, spans=None, table=False):
+    columns = ((block, pa.int32()), (right, pa.binary()), (left, pa.binary()), (doc_id, pa.int64()), (starts, pa.binary()), (reach, pa.int32()), (n, pa.int32()), (spans, pa.binary()))
+    made = pa.record_batch([pa.nulls(len(block), t) if c is None else pa.array(list(c), t) for c, t in columns],
+                           names=["block", "right", "left", "doc_id", "starts", "reach", "n", "spans"])
+    return pa.Table.from_batches([made]) if table else made
+
+
 def _found(block, window=None, doc_id=None, start=None, n=None, spans=None):
     many = len(block)
     columns = ((block, pa.int32()), (window, pa.binary()), (doc_id, pa.int64()), (start, pa.int64()), (n, pa.int32()), (spans, pa.binary()))
