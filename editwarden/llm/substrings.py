@@ -106,7 +106,7 @@ def without_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFram
     """(doc_id, n_words, n_removed, text, spans): the kept words joined by one space, and the removed runs of words."""
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD} words")
-    buckets = parts(ready(docs.sparkSession))
+    buckets = max(1, parts(ready(docs.sparkSession)) // 2)  # blocks times buckets is the number of packed rows
     dealt = in_blocks(docs)
 
     def anchor_keys(key, table):
