@@ -223,6 +223,8 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame
     any_place = F.md5(F.col("block").cast("string")).cast("binary")
     shipped = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(contexts, _SHIPPED)
     edges = shipped.repartitionByRange(F.coalesce("right", any_place), "left").mapInArrow(lambda b: _bucket(b, length, False), _SHIPPED)
+    # a shuffle of these few rows, kept apart from the next one by a step, so that sampling splitters does not run the buckets twice
+    edges = edges.repartition(buckets, F.xxhash64("block", "doc_id")).mapInArrow(lambda b: b, _SHIPPED)
     found = edges.repartitionByRange(F.coalesce("left", any_place), "right").mapInArrow(lambda b: _bucket(b, length, True), _FOUND).repartition(buckets, "block")
 
     def windows_only(batches):
