@@ -3,9 +3,10 @@
 Documents with the same shingle set are one class from the start. Each of TREES independent trees puts
 a class into the node of its minwise shingle; two sets with Jaccard similarity s meet in one tree with
 probability s, so 10 trees miss a link at 0.8 with probability 0.2 ** 10 = 1e-7. Nodes up to SMALL
-are compared exhaustively. A larger node is first compared with one pivot (its smallest class). If
-the pivot links all members, every pair of them is connected and the node is finished; otherwise its members branch
-by CHILDREN further minwise shingles each (others in each tree, or all trees would miss the same links), and only pairs that are not yet under one pivot go on. What is
+are compared exhaustively. A larger node is first compared with one pivot (its smallest class). Then all
+links found so far, of all trees, make components; a node whose members are of one component is finished, as each pair of them is
+connected. The members of others branch by CHILDREN further minwise shingles each (others in each tree, or all trees
+would miss the same links), and only pairs of different components go on. What is
 still large after LEVELS branchings is compared exhaustively in blocks, so no link is dropped for size.
 Links are confirmed on the full shingle sets, in integers.
 
@@ -185,50 +186,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     nodes = classes.select("doc_id", F.col("doc_id").alias("label"), F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "v")).select(
         F.xxhash64("tree", "v").alias("key"), "tree", "doc_id", "label")
     small, large = _sized(nodes)
-    found = [settle(_pairs_within(small).distinct())]
-    large = settle(large)
-    stars = []
-    level = 0
-    sets = None
-
-    def sets_of(pairs):
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        return full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle)
-
-    if not large.isEmpty():
-        # the classes of large nodes are compared again at each level, so their sets are written once
-        members_of_large = large.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-        sets = stored(sets_of(members_of_large), "sets")
-        while True:
-            star = large.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-            linked = settle(confirmed(plausible(star, classes, percent), sets, percent))
-            stars.append(linked)
-            labelled = large.join(linked.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), F.lit(True).alias("hit")), ["pivot", "doc_id"], "left").select(
-                "key", "tree", "doc_id", "size", F.when(F.col("hit") | (F.col("doc_id") == F.col("pivot")), F.col("pivot")).otherwise(F.col("label")).alias("label"))
-            if level == LEVELS:
-                open_nodes = labelled.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("key")
-                found.append(settle(_blocks(labelled.join(open_nodes, "key")).distinct()))
-                break
-            pair = TREES + CHILDREN * F.pmod(F.col("tree") + 3 * level, F.lit(TREES))
-            children = labelled.join(classes.select("doc_id", "sig"), "doc_id").select(
-                F.col("key").alias("parent"), "tree", "doc_id", "label",
-                F.posexplode(F.array(*[F.get("sig", pair + c) for c in range(CHILDREN)])).alias("child", "v")).select(
-                F.xxhash64("parent", "child", "v").alias("key"), "tree", "doc_id", "label")
-            small, large = _sized(settle(children))
-            found.append(settle(_pairs_within(small).distinct()))
-            large = settle(large)
-            if large.isEmpty():
-                break
-            level += 1
-
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    pairs = settle(plausible(pairs.distinct(), classes, percent))
-    links = confirmed(pairs, stored(sets_of(pairs), "sets"), percent)
-    for star in stars:
-        links = links.union(star)
-    links = settle(links.distinct())
+    pairs, large = settle(_pairs_within(small).distinct()), settle(large)
+    links, sets = None, None
+    for level in range(LEVELS + 2):
+        star = large.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+        pairs = settle(plausible(pairs.union(star).distinct(), classes, percent))
+        if sets is None:
+            # members of large nodes are compared at each level: one pass over the texts writes the sets of all
+            ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(large.select("doc_id")).distinct()
+            sets = stored(full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
+        new = confirmed(pairs, sets, percent)
+        links = settle(new if links is None else links.union(new).distinct())
+        if level > LEVELS or large.isEmpty():
+            break
+        labels = components(links).withColumnRenamed("component_id", "found")
+        labelled = large.drop("label").join(labels, "doc_id", "left").withColumn("label", F.coalesce("found", "doc_id")).drop("found")
+        unfinished = labelled.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("key")
+        labelled = settle(labelled.join(unfinished, "key"))
+        if labelled.isEmpty():
+            break
+        if level == LEVELS:
+            pairs, large = settle(_blocks(labelled).distinct()), labelled.limit(0)
+            continue
+        pair = TREES + CHILDREN * F.pmod(F.col("tree") + 3 * level, F.lit(TREES))
+        children = labelled.join(classes.select("doc_id", "sig"), "doc_id").select(
+            F.col("key").alias("parent"), "tree", "doc_id", "label",
+            F.posexplode(F.array(*[F.get("sig", pair + c) for c in range(CHILDREN)])).alias("child", "v")).select(
+            F.xxhash64("parent", "child", "v").alias("key"), "tree", "doc_id", "label")
+        small, large = _sized(settle(children))
+        pairs, large = settle(_pairs_within(small).distinct()), settle(large)
     labels = components(links)
     degree = links.select(F.col("a").alias("first")).union(links.select(F.col("b").alias("first"))).groupBy("first").agg(F.count("*").alias("n_links"))
     named = members.join(labels.withColumnRenamed("doc_id", "first"), "first", "left").join(degree, "first", "left").select(
