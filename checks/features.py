@@ -111,7 +111,7 @@ def _(spark, sf):
 @check("F10_countries", E + "SELECT ck, len(countries)::BIGINT AS country_count, array_to_string(countries, ',') AS countries FROM edits")
 def _(spark, sf):
     return edits(spark, sf, place=True).select(
-        "ck", F.size("countries").cast("bigint").alias("country_count"), F.concat_ws(",", "countries").alias("countries"))
+        "ck", F.size("country_iso_a3").cast("bigint").alias("country_count"), F.concat_ws(",", "country_iso_a3").alias("countries"))
 
 
 @check("F11_tag_density", E + f"""

@@ -98,7 +98,7 @@ def edits(spark, sf, *, user=False, place=False, comment=False) -> DataFrame:
         seller = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
         seller = seller.select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("seller_name"))
         l = l.join(home, "user_id").join(seller, "l_suppkey")
-        l = l.withColumn("countries", F.sort_array(F.array_distinct(F.array("home_name", "seller_name"))))
+        l = l.withColumn("country_iso_a3", F.sort_array(F.array_distinct(F.array("home_name", "seller_name"))))
     if comment:
         c = changesets(spark, sf).select(F.col("changeset_id").alias("l_orderkey"), "comment", "source")
         l = l.join(c, "l_orderkey")

@@ -46,7 +46,7 @@ CATEGORY_COLUMNS = ", ".join(
 
 @check("E1_multilabel", E + f"SELECT ck, {COUNTRY_COLUMNS} FROM edits")
 def _(spark, sf):
-    df = edits(spark, sf, place=True).select("ck", "countries")
+    df = edits(spark, sf, place=True).select("ck", F.col("country_iso_a3").alias("countries"))
     return encoders.multilabel(df, "countries", encoders.fit_vocabulary(df, "countries"), "country")
 
 
@@ -71,17 +71,23 @@ def _(spark, sf):
     return encoders.onehot(df, "created_by", encoders.fit_vocabulary(df, "created_by"))
 
 
+def place_of(vector):
+    """The place of the one in a one-hot vector, without making it dense."""
+    return F.get_json_object(F.to_json(F.struct(F.col(vector).alias("v"))), "$.v.indices[0]").cast("bigint")
+
+
+def width_of(vector):
+    return F.get_json_object(F.to_json(F.struct(F.col(vector).alias("v"))), "$.v.size").cast("bigint")
+
+
 @check("E3_onehot_sparse", """
 SELECT changeset_id, i AS position, (SELECT count(DISTINCT o_custkey) FROM orders) AS width FROM (
   SELECT o_orderkey AS changeset_id, o_custkey FROM orders) JOIN (
   SELECT o_custkey, row_number() OVER (ORDER BY md5('42|' || o_custkey), o_custkey) - 1 AS i FROM (SELECT DISTINCT o_custkey FROM orders)) USING (o_custkey)""")
 def _(spark, sf):
-    from pyspark.ml.functions import vector_to_array
     df = table(spark, sf, "orders").select(F.col("o_orderkey").alias("changeset_id"), F.col("o_custkey").alias("user"))
-    found = encoders.onehot_sparse(df, "user").select("changeset_id", vector_to_array("user_vec").alias("v"))
     # the vector keeps one more place for values it has not seen
-    return found.select(
-        "changeset_id", (F.array_position("v", F.lit(1.0)) - 1).alias("position"), (F.size("v") - 1).cast("bigint").alias("width"))
+    return encoders.onehot_sparse(df, "user").select("changeset_id", place_of("user_vec").alias("position"), (width_of("user_vec") - 1).alias("width"))
 
 
 def full_edits(spark, sf):
@@ -143,12 +149,12 @@ def _(spark, sf):
 SELECT changeset_id, user_id, num_changes, label, epoch(closed_at)::DOUBLE AS closed_at, epoch(account_created)::DOUBLE AS account_created,
   round(coalesce(min_lon, 0), 6) AS min_lon, round(coalesce(max_lon, 0), 6) AS max_lon, round(coalesce(min_lat, 0), 6) AS min_lat, round(coalesce(max_lat, 0), 6) AS max_lat,
   round((coalesce(min_lon, 0) + coalesce(max_lon, 0)) / 2, 6) AS centroid_x, round((coalesce(min_lat, 0) + coalesce(max_lat, 0)) / 2, 6) AS centroid_y,
-  length(coalesce(comment, ''))::INTEGER AS changeset_comment_length, """ + ", ".join(
-    f"(created_by = '{p}')::INTEGER AS \"created_by_{p}\"" for p in PRIORITIES) + " FROM changesets")
+  length(coalesce(comment, ''))::INTEGER AS changeset_comment_length, editor FROM changesets JOIN (
+  SELECT created_by, row_number() OVER (ORDER BY md5('42|' || created_by), created_by) - 1 AS editor FROM (SELECT DISTINCT created_by FROM changesets)) USING (created_by)""")
 def _(spark, sf):
     df = changeset_features(full_changesets(spark, sf).drop("source"))
     numbers = ("min_lon", "max_lon", "min_lat", "max_lat", "centroid_x", "centroid_y")
-    return encoders.encode_changesets(df)[0].withColumns({c: F.round(c, 6) for c in numbers})
+    return encoders.encode_changesets(df)[0].withColumns({c: F.round(c, 6) for c in numbers} | {"editor": place_of("created_by_vec")}).drop("created_by_vec")
 
 
 # Eight points on the centroid plane.

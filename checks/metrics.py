@@ -116,7 +116,7 @@ def _(spark, sf):
 SELECT region, "TP" + "TN" + "FP" + "FN" AS total, "TP" + "TN" AS correct, "FP" + "FN" AS incorrect, "TN", "FP", "FN", "TP", {RATES}, auc_roc, auc_pr
 FROM (SELECT region, {CELLS} FROM parts GROUP BY 1) JOIN areas USING (region)""")
 def _(spark, sf):
-    df = edits(spark, sf, place=True).select("countries", F.col("vandalism").alias("y_true"), F.col("predicted_prob").alias("y_prob"))
+    df = edits(spark, sf, place=True).select(F.col("country_iso_a3").alias("countries"), F.col("vandalism").alias("y_true"), F.col("predicted_prob").alias("y_prob"))
     return rounded(V.regional_report(flag(df), "countries"), *V.METRICS, "auc_roc", "auc_pr")
 
 

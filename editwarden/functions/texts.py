@@ -17,11 +17,9 @@ def yes_no(value: Column) -> Column:
 
 def checked_label(value: Column) -> Column:
     """0 or 1 from a boolean or a 0/1 number; anything else stops the job."""
-    number = value.cast("int")
+    number = value.cast("double")
     message = F.concat(F.lit("not a 0/1 label: "), F.coalesce(value.cast("string"), F.lit("null")))
-    return F.when(number.isin(0, 1) & (number == value.cast("double").cast("int")), number).otherwise(
-        F.raise_error(message).cast("int")
-    )
+    return F.when(number.isin(0.0, 1.0), number.cast("int")).otherwise(F.raise_error(message).cast("int"))
 
 
 def decimal_comma(text: Column) -> Column:

@@ -12,17 +12,15 @@ from pyspark.sql import functions as F
 from editwarden.functions import times
 from editwarden.operators.rows import CHANGESET_DROPS, EDIT_DROPS, snake_columns, unnest_xzcode
 from editwarden.operators.sampling import numbered
+from editwarden.session import settle
 
 CATEGORIES = ("osm_type", "contribution_type", "geometry_type", "time_of_day")
 MULTI = {"countries": "country", "continents": "continent"}
-# Widest vocabulary that becomes columns; ``onehot_sparse`` takes any size.
-MAX_COLUMNS = 5_000
-
 
 def fit_vocabularies(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Sorted different values of text columns and of lists of text, found in one pass.
 
-    They become columns, so their number is checked before they are collected."""
+    They become columns: for codes (types, countries, continents). Free text goes through ``SparseVocabulary``."""
     kinds = dict(df.dtypes)
 
     def entries(column):
@@ -32,14 +30,8 @@ def fit_vocabularies(df: DataFrame, columns: Sequence[str]) -> dict[str, list[st
     pairs = df.select(F.explode_outer(F.concat(*[entries(c) for c in columns])).alias("_e")).select("_e.*")
     # partial aggregation leaves one row per task and value
     values = pairs.where("v IS NOT NULL").distinct()
-    found = values.limit(MAX_COLUMNS * len(columns) + 1).collect()
-    vocabularies = {c: sorted(row["v"] for row in found if row["c"] == c) for c in columns}
-    for column, words in vocabularies.items():
-        if len(words) > MAX_COLUMNS:
-            raise ValueError(f"{column} has more than {MAX_COLUMNS} values; use onehot_sparse")
-    if len(found) > MAX_COLUMNS * len(columns):
-        raise ValueError(f"more than {MAX_COLUMNS} values in one of {list(columns)}; use onehot_sparse")
-    return vocabularies
+    found = values.collect()
+    return {c: sorted(row["v"] for row in found if row["c"] == c) for c in columns}
 
 
 def fit_vocabulary(df: DataFrame, column: str) -> list[str]:
@@ -60,15 +52,41 @@ def onehot(df: DataFrame, column: str, vocabulary: Sequence[str]) -> DataFrame:
         *[F.coalesce(F.col(column) == v, F.lit(False)).cast("int").alias(f"{column}_{v}") for v in vocabulary])
 
 
-def onehot_sparse(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
+@dataclass
+class SparseVocabulary:
+    """The values of a text column, numbered in a table, whatever their number; kept so that scoring uses the same ones."""
+
+    column: str
+    table: DataFrame  # (value, number)
+    size: int
+
+    @classmethod
+    def fit(cls, df: DataFrame, column: str) -> SparseVocabulary:
+        values = df.select(F.col(f"`{column}`").alias("value")).where("value IS NOT NULL").distinct()
+        table = settle(numbered(values, "value", name="number"))
+        return cls(column, table, table.count())
+
+    def save(self, path: str) -> None:
+        self.table.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, column: str, path: str) -> SparseVocabulary:
+        table = spark.read.parquet(path)
+        return cls(column, table, table.count())
+
+    def transform(self, df: DataFrame, out: str | None = None) -> DataFrame:
+        """Add the one-hot vector; its last place is for null and for values that were not there at the fit."""
+        rows = df.join(self.table.select(F.col("value").alias("_v"), F.col("number").cast("double").alias("_i")), F.col(f"`{self.column}`") == F.col("_v"), "left")
+        rows = rows.drop("_v").withColumn("_i", F.coalesce("_i", F.lit(float(self.size))))
+        # the encoder only needs to see the largest number
+        top = df.sparkSession.createDataFrame([(float(self.size),)], "_i double")
+        encoder = OneHotEncoder(inputCol="_i", outputCol=out or f"{self.column}_vec", dropLast=False)
+        return encoder.fit(top).transform(rows).drop("_i")
+
+
+def onehot_sparse(df: DataFrame, column: str, out: str | None = None, vocabulary: SparseVocabulary | None = None) -> DataFrame:
     """One-hot vector for a vocabulary of any size: values are numbered in a table and joined."""
-    out = out or f"{column}_vec"
-    vocabulary = numbered(df.select(F.col(column).alias("_v")).where("_v IS NOT NULL").distinct(), "_v", name="_i")
-    rows = df.join(vocabulary, F.col(column) == F.col("_v"), "left").drop("_v")
-    encoder = OneHotEncoder(inputCol="_i", outputCol=out, dropLast=False, handleInvalid="keep")
-    indexed = rows.withColumn("_i", F.coalesce(F.col("_i").cast("double"), F.lit(float("nan"))))
-    model = encoder.fit(vocabulary.select(F.col("_i").cast("double")))
-    return model.transform(indexed).drop("_i")
+    return (vocabulary or SparseVocabulary.fit(df, column)).transform(df, out)
 
 
 @dataclass
@@ -126,10 +144,10 @@ def _plain_history(df: DataFrame) -> DataFrame:
     return df.withColumns(columns) if columns else df
 
 
-def encode_changesets(features: DataFrame, editors: Sequence[str] | None = None, label: str = "label"):
-    """(encoded table, editors): times as epoch seconds, editor one-hot, text dropped."""
+def encode_changesets(features: DataFrame, editors: SparseVocabulary | None = None):
+    """(encoded table, editors): times as epoch seconds, the editor as the one-hot vector ``created_by_vec``, text dropped."""
     rows = features.drop(*CHANGESET_DROPS)
     stamps = {c: times.epoch_seconds(F.col(c)) for c in ("closed_at", "account_created") if c in rows.columns}
     rows = rows.withColumns(stamps)
-    editors = fit_vocabulary(rows, "created_by") if editors is None else editors
-    return onehot(rows, "created_by", editors), list(editors)
+    editors = editors or SparseVocabulary.fit(rows, "created_by")
+    return editors.transform(rows).drop("created_by"), editors

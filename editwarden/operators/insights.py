@@ -35,13 +35,12 @@ def grid_cells(df: DataFrame, sizes: Sequence[float], x="centroid_x", y="centroi
 def rare_tags(df: DataFrame, n: int, key: str = "ck", tags: str = "tags") -> DataFrame:
     """Number of rare tag keys (used in fewer than ``n`` edits) per edit that has one.
 
-    Keys are counted with partial aggregation. Very frequent ones, which cannot be rare, are
-    filtered out by a small broadcast before the join; the join decides about the others."""
+    Keys are counted with partial aggregation. A frequent key has no row on the other side, so its
+    rows end in the join; skewed partitions are split there."""
     used = df.select(key, F.explode(F.map_keys(tags)).alias("_tag"))
     counts = settle(used.groupBy("_tag").agg(F.count(F.lit(1)).alias("_n")))
-    hot = counts.where(F.col("_n") > max(n, HOT_ROWS)).orderBy(F.desc("_n")).select("_tag").limit(BROADCAST_KEYS)
     rare = counts.where(F.col("_n") < n).select("_tag")
-    found = used.join(F.broadcast(hot), "_tag", "left_anti").join(rare, "_tag")
+    found = used.join(rare, "_tag")
     return found.groupBy(key).agg(F.count(F.lit(1)).alias("rare_tags"))
 
 
@@ -61,7 +60,7 @@ def neighbour_z(df: DataFrame, size: float, column: str = "area_delta", x="centr
     return rows.join(per, F.col("_cell") == F.col("_c")).withColumn(f"{column}_z", z).drop("_cell", "_c", "_mean", "_dev")
 
 
-def new_region(df: DataFrame, user="user_id", regions="countries", ts="valid_from", key="ck") -> DataFrame:
+def new_region(df: DataFrame, user="user_id", regions="country_iso_a3", ts="valid_from", key="ck") -> DataFrame:
     """1 if the edit is the user's first in one of its regions."""
     pairs = df.select(user, F.explode(regions).alias("_region"), F.struct(ts, key).alias("_place"))
     firsts = pairs.groupBy(user, "_region").agg(F.min("_place").alias("_place"))

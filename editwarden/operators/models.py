@@ -12,7 +12,7 @@ from itertools import product
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from editwarden.operators.metrics import areas
 from editwarden.operators.running import HOT_ROWS
 from editwarden.operators.sampling import SEED, assign_folds
-from editwarden.session import settle
+from editwarden.session import scratch_path, settle
 
 # The ranges that the searches draw from.
 SEARCH_GRID = {
@@ -46,7 +46,8 @@ META_GRID = {
     "reg_alpha": [0, 0.01, 0.1],
     "reg_lambda": [1, 1.5, 2],
 }
-NO_COUNTERPART = ("lambda", "alpha", "reg_lambda", "reg_alpha", "eval_metric")
+# gamma is a loss reduction summed over a node; MLlib only knows a gain per row (min_info_gain here), so it cannot stand for it
+NO_COUNTERPART = ("lambda", "alpha", "reg_lambda", "reg_alpha", "gamma", "eval_metric")
 PROFILE_FEATURES = (
     "num_contributions", "mean_prediction", "median_prediction", "std_prediction", "min_prediction", "max_prediction",
     "quantile_25", "quantile_75", "skewness_prediction", "kurtosis_prediction", "proportion_vandalism",
@@ -57,7 +58,7 @@ PROFILE_FEATURES = (
 def tree_settings(params: Mapping) -> dict:
     """MLlib settings for parameters under their usual boosting names."""
     names = {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
-             "subsample": "subsamplingRate", "gamma": "minInfoGain", "min_child_weight": "minInstancesPerNode"}
+             "subsample": "subsamplingRate", "min_info_gain": "minInfoGain", "min_child_weight": "minInstancesPerNode"}
     out = {names[k]: v for k, v in params.items() if k in names}
     if "colsample_bytree" in params:
         out["featureSubsetStrategy"] = "all" if params["colsample_bytree"] >= 1 else str(params["colsample_bytree"])
@@ -67,6 +68,15 @@ def tree_settings(params: Mapping) -> dict:
     return out
 
 
+def _inputs(features: Sequence[str]) -> list:
+    """Stages that put the columns into one vector. They are numbered first: names may hold dots and spaces."""
+    quoted = ["`" + f.replace("`", "``") + "`" for f in features]
+    numbers = [f"_f{i}" for i in range(len(features))]
+    named = ", ".join(f"{q} AS {n}" for q, n in zip(quoted, numbers))
+    return [SQLTransformer(statement=f"SELECT *, {named} FROM __THIS__"),
+            VectorAssembler(inputCols=numbers, outputCol="_features", handleInvalid="keep")]
+
+
 def _weighted(df: DataFrame, label: str, params: Mapping) -> DataFrame:
     weight = float(params.get("scale_pos_weight", 1))
     return df.withColumn("_weight", F.when(F.col(label) == 1, F.lit(weight)).otherwise(F.lit(1.0)))
@@ -86,8 +96,7 @@ def fit_model(
     rows = _weighted(df, label, params)
     if split:
         rows = rows.where(F.col(split).isin("train", "val")).withColumn("_validate", F.col(split) == "val")
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    return Pipeline(stages=[assembler, _trees(params, label, validate=bool(split))]).fit(rows)
+    return Pipeline(stages=[*_inputs(features), _trees(params, label, validate=bool(split))]).fit(rows)
 
 
 def score(df: DataFrame, model: PipelineModel, out: str = "y_prob") -> DataFrame:
@@ -100,7 +109,7 @@ def score(df: DataFrame, model: PipelineModel, out: str = "y_prob") -> DataFrame
 def training_curve(model: PipelineModel, df: DataFrame, label: str = "label", limit: int | None = HOT_ROWS) -> DataFrame:
     """Log loss, error, accuracy and AUC after each round, from one pass over the rows."""
     trees = model.stages[-1]
-    rows = model.stages[0].transform(df).select("_features", F.col(label).alias("y_true"))
+    rows = PipelineModel(model.stages[:-1]).transform(df).select("_features", F.col(label).alias("y_true"))
     names = []
     for i, tree in enumerate(trees.trees):
         tree.setFeaturesCol("_features").setPredictionCol(f"_t{i}")
@@ -110,7 +119,8 @@ def training_curve(model: PipelineModel, df: DataFrame, label: str = "label", li
     for i, (name, weight) in enumerate(zip(names, trees.treeWeights)):
         margin = margin + F.col(name) * F.lit(float(weight))
         steps.append(F.struct(F.lit(i).alias("round"), (1 / (1 + F.exp(-2 * margin))).alias("y_prob")))
-    long = rows.select("y_true", F.explode(F.array(*steps)).alias("_s")).select("y_true", "_s.*")
+    # two aggregates read these rows; the trees are walked once
+    long = settle(rows.select("y_true", F.explode(F.array(*steps)).alias("_s")).select("y_true", "_s.*"))
     p = F.least(F.greatest(F.col("y_prob"), F.lit(1e-15)), F.lit(1 - 1e-15))
     loss = -F.when(F.col("y_true") == 1, F.log(p)).otherwise(F.log(1 - p))
     wrong = ((F.col("y_prob") >= 0.5).cast("int") != F.col("y_true")).cast("double")
@@ -120,15 +130,16 @@ def training_curve(model: PipelineModel, df: DataFrame, label: str = "label", li
 
 
 def draw_parameters(grid: Mapping[str, Sequence] = SEARCH_GRID, n: int = 50, seed: int = SEED) -> list[dict]:
-    """``n`` different random settings of a grid."""
+    """``n`` random settings of a grid that differ in what the trees can use."""
+    used = [k for k in grid if k not in NO_COUNTERPART]
     size = 1
-    for values in grid.values():
-        size *= len(values)
+    for k in used:
+        size *= len(grid[k])
     chance = random.Random(seed)
     drawn: dict[tuple, dict] = {}
     while len(drawn) < min(n, size):
         one = {k: chance.choice(list(v)) for k, v in grid.items()}
-        drawn[tuple(one.values())] = one
+        drawn.setdefault(tuple(one[k] for k in used), one)
     return list(drawn.values())
 
 
@@ -142,9 +153,16 @@ def search(
 ):
     """(best settings, table of settings and mean ROC-AUC) over stratified folds.
 
-    Settings with equal class weight go through one cross validation."""
+    Settings with equal class weight go through one cross validation. Settings that differ only in what the trees
+    cannot use are fitted once."""
+    distinct: dict[str, Mapping] = {}
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for one in settings:
+            distinct.setdefault(json.dumps([tree_settings(one), one.get("scale_pos_weight", 1)], sort_keys=True), one)
+    settings = list(distinct.values())
     rows = assign_folds(df, key, folds, label).withColumn("fold", F.col("fold").cast("int"))
-    rows = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep").transform(rows)
+    rows = PipelineModel(_inputs(features)).transform(rows)
     # every setting and fold reads these rows
     rows = settle(rows.select("_features", label, "fold"))
     results = []
@@ -152,7 +170,7 @@ def search(
         chosen = [s for s in settings if s.get("scale_pos_weight", 1) == weight]
         trees = _trees({}, label)
         maps = [{getattr(trees, k): v for k, v in tree_settings(s).items()} for s in chosen]
-        evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+        evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
         validator = CrossValidator(
             estimator=trees, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, foldCol="fold",
             parallelism=parallelism)
@@ -185,24 +203,18 @@ def cross_validate(df: DataFrame, features: Sequence[str], params: Mapping, key:
 
 
 def importances(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
-    """Per feature: share of gain (``gain``, ``total_gain``) and number of splits (``weight``)."""
-    trees = model.stages[-1]
-    gain = trees.featureImportances.toArray()
-    splits = [0] * len(features)
-    for tree in trees.trees:
-        for number in _split_features(tree):
-            splits[number] += 1
-    rows = [(f, float(gain[i]), float(gain[i]), float(splits[i])) for i, f in enumerate(features)]
-    return spark.createDataFrame(rows, "feature string, gain double, total_gain double, weight double")
-
-
-def _split_features(tree):
-    pending = [tree._java_obj.rootNode()]
-    while pending:
-        node = pending.pop()
-        if "InternalNode" in node.getClass().getName():
-            yield node.split().featureIndex()
-            pending += [node.leftChild(), node.rightChild()]
+    """Per feature: number of splits (``weight``), their gain and the rows they divide, average and total.
+
+    The splits are read from the saved node table."""
+    path = scratch_path(spark, "trees")
+    model.stages[-1].write().save(path)
+    node = spark.read.parquet(os.path.join(path, "data")).select("nodeData.*").where("leftChild >= 0")
+    splits = node.groupBy(F.col("split.featureIndex").alias("_i")).agg(
+        F.avg("gain").alias("gain"), F.sum("gain").alias("total_gain"), F.count(F.lit(1)).cast("double").alias("weight"),
+        F.avg("rawCount").cast("double").alias("cover"), F.sum("rawCount").cast("double").alias("total_cover"))
+    names = spark.createDataFrame(list(enumerate(features)), "_i int, feature string")
+    found = names.join(splits, "_i", "left")
+    return found.select("feature", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("gain", "total_gain", "weight", "cover", "total_cover")])
 
 
 def fit_hyper(profiles: DataFrame, params: Mapping, label: str = "label", split: str = "split") -> PipelineModel:

@@ -37,14 +37,17 @@ def remaining(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:
 
 def upsert_summary(old: DataFrame, new: DataFrame, mode: str = "replace") -> DataFrame:
     """Month summary after a run: months are replaced, or counts are added and percentages renewed."""
-    old, new = old.select(*SUMMARY), new.select(*SUMMARY)
+    stamps = ["updated_at"] if "updated_at" in new.columns else []
+    if stamps and "updated_at" not in old.columns:
+        old = old.withColumn("updated_at", F.lit(None).cast("timestamp"))
+    old, new = old.select(*SUMMARY, *stamps), new.select(*SUMMARY, *stamps)
     if mode == "replace":
         return old.join(new.select("month"), "month", "left_anti").unionByName(new)
     if mode != "add":
         raise ValueError(f"unknown mode {mode}")
     total, bad = F.sum("total_entries"), F.sum("vandalism_count")
     return old.unionByName(new).groupBy("month").agg(
-        total.alias("total_entries"), bad.alias("vandalism_count"), percentage_text(bad, total).alias("vandalism_percentage"))
+        total.alias("total_entries"), bad.alias("vandalism_count"), percentage_text(bad, total).alias("vandalism_percentage"), *[F.max(s).alias(s) for s in stamps])
 
 
 def describe_schema(df: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ class FeatureSettings:
     changeset_tags: str = "changeset.tags"
     changeset_id: str = "changeset.id"
     grid_size: float = 0.1
+    countries: str = "country_iso_a3"
 
 
 def geometric() -> dict[str, Column]:
@@ -74,7 +75,7 @@ def content_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*keep, *_named(content()))
 
 
-def spatial(grid_size: float = 0.1) -> dict[str, Column]:
+def spatial(grid_size: float = 0.1, countries: str = "country_iso_a3") -> dict[str, Column]:
     x, y = F.col("centroid.x"), F.col("centroid.y")
     box = [F.col(c) for c in ("xmin", "xmax", "ymin", "ymax")]
     return {
@@ -83,8 +84,8 @@ def spatial(grid_size: float = 0.1) -> dict[str, Column]:
         "grid_cell_id": places.grid_cell(x, y, grid_size),
         "centroid_x": x,
         "centroid_y": y,
-        "country_count": F.size("countries"),
-        "countries": F.col("countries"),
+        "country_count": F.size(F.coalesce(F.col(countries), F.array().cast("array<string>"))),
+        "countries": F.col(countries),
         "xzcode": F.col("xzcode"),
         "continents": places.continents(*box),
     }
@@ -140,7 +141,7 @@ def build_features(df: DataFrame, settings: FeatureSettings = FeatureSettings(),
     columns |= tags.tag_diff(F.col("tags_before"), F.col("tags"))
     columns |= tags.key_tag_flags(F.col("tags_before"), F.col("tags"))
     columns |= content()
-    columns |= spatial(settings.grid_size)
+    columns |= spatial(settings.grid_size, settings.countries)
     columns |= derived()
     columns |= changeset_columns(settings)
     # a map feature and a key tag flag never share a name

@@ -35,14 +35,14 @@ class Scorer:
 
     def save(self, path: str, spark) -> None:
         save_model(
-            self.model, path, spark, columns=self.columns, multi=self.encoder.multi, categories=self.encoder.categories,
+            self.model, path, spark, columns=self.columns, multi=self.encoder.multi, categories=self.encoder.categories, temporal=self.encoder.temporal,
             centers=self.centers, threshold=self.threshold, settings=vars(self.settings))
 
     @classmethod
     def load(cls, path: str, spark) -> Scorer:
         model, facts = load_model(path, spark)
         return cls(
-            model, facts["columns"], EditEncoder(facts["multi"], facts["categories"]), [tuple(c) for c in facts["centers"]],
+            model, facts["columns"], EditEncoder(facts["multi"], facts["categories"], facts.get("temporal", False)), [tuple(c) for c in facts["centers"]],
             facts["threshold"], FeatureSettings(**facts["settings"]))
 
 
@@ -63,11 +63,14 @@ def score_edits(edits: DataFrame, scorer: Scorer) -> DataFrame:
 def score_months(edits: DataFrame, scorer: Scorer, out: str) -> tuple[DataFrame, DataFrame]:
     """Score all months in one job: (flagged edits, month summary), both also written under ``out``.
 
-    The scores are written once; flagged edits and summary read them from there."""
+    The scores are written once, by month; flagged edits and summary read them from there. The months of this run replace
+    those of earlier runs in all three, also when nothing is flagged any more; other months stay."""
     spark = edits.sparkSession
-    write_table(score_edits(edits, scorer), os.path.join(out, "scores"))
-    scores = spark.read.parquet(os.path.join(out, "scores"))
-    write_flagged(scores.where("y_pred = 1").select(*FLAGGED_COLUMNS, "month"), os.path.join(out, "flagged"))
+    months = [r["month"] for r in edits.select(month_label(F.col("valid_from")).alias("month")).distinct().collect()]
+    scored = score_edits(edits, scorer)
+    write_table(scored, os.path.join(out, "scores"), ["month"])
+    scores = spark.read.schema(scored.schema).parquet(os.path.join(out, "scores")).where(F.col("month").isin(months))
+    write_flagged(scores.where("y_pred = 1").select(*FLAGGED_COLUMNS, "month"), os.path.join(out, "flagged"), covered=months)
     merge_summary(monthly_summary(scores), os.path.join(out, "summary"))
     return spark.read.parquet(os.path.join(out, "flagged")), spark.read.parquet(os.path.join(out, "summary"))
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from editwarden.functions.texts import checked_label
 from editwarden.operators.aggregates import score_profile
 from editwarden.operators.clusters import N_CLUSTERS, assign_clusters, fit_clusters
 from editwarden.operators.encoders import EditEncoder
@@ -20,7 +21,7 @@ from editwarden.operators.rows import flag
 from editwarden.operators.sampling import geographic_split, realistic_split, temporal_split
 from editwarden.plans.features import FeatureSettings, build_features, numeric_columns
 from editwarden.plans.scoring import Scorer
-from editwarden.session import settle
+from editwarden.session import scratch_path, settle
 
 # Settings of the trees used when none are searched for.
 BEST_PARAMETERS = {
@@ -74,13 +75,16 @@ class TrainResult:
 def train_run(edits: DataFrame, settings: TrainSettings = TrainSettings()) -> TrainResult:
     """Features, split, encoding, clusters, trees, threshold and evaluation.
 
-    The encoded table is settled once, because the tree learner reads it many times."""
-    label = settings.features.label
+    The label must be 0 or 1. The encoder sees training rows only. The encoded table is written once as
+    parquet, because the tree learner reads some of its columns many times."""
+    label, spark = settings.features.label, edits.sparkSession
     features = build_features(edits, settings.features)
+    features = features.withColumn(label, checked_label(F.col(label)))
     rows = split_features(features, settings)
-    encoder = EditEncoder.fit(features)
-    encoded = settle(encoder.transform(
-        rows.withColumn(label, F.col(label).cast("int")).withColumnRenamed("split", "_keep_split"), keep=["contribution_key"]))
+    encoder = EditEncoder.fit(rows.where("split = 'train'"))
+    path = scratch_path(spark, "encoded")
+    encoder.transform(rows.withColumnRenamed("split", "_keep_split"), keep=["contribution_key"]).write.parquet(path)
+    encoded = spark.read.parquet(path)
     train = encoded.where(F.col("_keep_split") == "train")
     centers = fit_clusters(train, settings.clusters)
     encoded = assign_clusters(encoded, centers)
