@@ -216,6 +216,19 @@ def test_repeated_runs_of_lines(spark):
     assert all(r.n_chars == len(r.text) for r in rows.values() if r.text is not None)
 
 
+def test_long_runs_of_few_lines(spark):
+    """One or two lines repeat if they hold 20 words, whatever stands around them; with fewer words they stay."""
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    one, short, a, b = words("one", 20), words("short", 19), words("a", 12), "b  b\tb b b b b b "
+    tail = "\n".join(["x y"] * 2)
+    rows = [(1, f"{one}\nhead 1\n{a}\n \n{b}\nfoot 1\n{short}"), (2, one), (3, short), (4, f"head 4\n{one}\nfoot 4"), (5, f"{a}\n{b}"), (6, b), (7, f"new 7\n{a}\nnew 8\n{b}"),
+            (8, f"{tail}\n{one}\n{tail}"), (9, f"{one}\n{one}"), (10, "o" * 500), (11, "o" * 500), (12, "\u00fc " * 19 + "\u00fc"), (13, "\u00fc " * 19 + "\u00fc"), (14, " " * 60 + short)]
+    got = {r.doc_id: r.text for r in without_repeated_runs(frame(spark, rows)).collect()}
+    expected = {**dict(rows), 2: "", 4: "head 4\nfoot 4", 5: "", 8: f"{tail}\n{tail}", 9: "", 13: ""}
+    assert got == expected
+    assert {r.doc_id for r in line_dedup(frame(spark, rows)).collect()} == set(expected) - {2, 5, 9, 13}
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     for out in (without_repeated_strings(docs), without_repeated_passages(docs), near_duplicates(docs), without_repeated_runs(docs), line_dedup(docs), without_near_duplicates(docs)):
