@@ -10,6 +10,10 @@ would miss the same links), and only pairs of different components go on. What i
 still large after LEVELS branchings is compared exhaustively in blocks, so no link is dropped for size.
 Links are confirmed on the full shingle sets, in integers.
 
+Pairs that a settled component leaves out are links all the same: for n_links, the members of large roots are compared
+exhaustively within their component, BLOCK by BLOCK, and only sums leave a block. That takes the square of a group's
+size in comparisons, not in rows; the pipeline does not ask for it.
+
 Null or empty texts have no shingles, link with nothing and stay. Ties and repeated rows: the smallest
 doc_id stands for a class. Other columns of the input are ignored, whatever their names.
 """
@@ -28,6 +32,8 @@ TREES = 10
 SMALL = 24
 CHILDREN = 2
 LEVELS = 3
+BLOCK = 512  # members of a component that are compared at once when links are counted
+VOCABULARY = 4096  # shingles of a block that are held as columns at once
 SIGNATURE = TREES + TREES * CHILDREN  # minwise values kept per class: a root for each tree, and a pool that branches draw from
 HASH_BYTES = 6  # of a shingle when sets are compared
 
@@ -159,6 +165,53 @@ def _blocks(nodes: DataFrame) -> DataFrame:
     return a.join(b, ["key", "other"]).where("a < b AND la <> lb").select("a", "b")
 
 
+def _shared(x, y):
+    """The sizes of the intersections of each set of x with each set of y."""
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    rx, ry = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
+    both = np.intersect1d(fx, fy)
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    for k in range(0, len(both), VOCABULARY):
+        some = both[k:k + VOCABULARY]
+        sides = []
+        for flat, rows, many in ((fx, rx, len(x)), (fy, ry, len(y))):
+            at = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+            hit = some[at] == flat
+            side = np.zeros((many, len(some)), dtype=np.float32)
+            side[rows[hit], at[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def counted(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(first, n): links of each of ``members`` (doc_id, component_id) to other members of its component, all pairs compared."""
+    many = members.groupBy("component_id").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    rows = members.join(many, "component_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).join(sets, "doc_id")
+    packs = stored(rows.groupBy("component_id", "block", "blocks").agg(F.sort_array(F.collect_list(F.struct("doc_id", "elements"))).alias("m")), "packs")
+    a = packs.select("component_id", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("m.elements").alias("x"))
+    b = packs.select("component_id", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("m.elements").alias("y"))
+
+    def work(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                component, i, j = (batch.column(k)[row].as_py() for k in range(3))
+                x, y = ([_elements(v) for v in batch.column(k)[row].as_py()] for k in (3, 4))
+                both = _shared(x, y)
+                sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+                linked = 100 * both >= percent * (sizes - both)
+                if i == j:
+                    np.fill_diagonal(linked, False)
+                sums = [linked.sum(axis=1)] + ([linked.sum(axis=0)] if i != j else [])
+                yield pa.record_batch([pa.array([component] * len(sums), pa.int64()), pa.array([i, j][:len(sums)], pa.int64()),
+                                       pa.array([s.tolist() for s in sums], pa.list_(pa.int64()))], names=["component_id", "block", "sums"])
+
+    sums = a.join(b, ["component_id", "i", "j"]).select("component_id", "i", "j", "x", "y").mapInArrow(
+        work, "component_id long, block long, sums array<long>").groupBy("component_id", "block").agg(F.collect_list("sums").alias("sums"))
+    total = F.aggregate("sums", F.transform(F.col("m.doc_id"), lambda d: F.lit(0).cast("long")), lambda s, v: F.zip_with(s, v, lambda p, q: p + q))
+    return packs.join(sums, ["component_id", "block"]).select(F.explode(F.arrays_zip(F.col("m.doc_id").alias("first"), total.alias("n"))).alias("r")).select("r.first", "r.n")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, component_id): smallest doc_id reachable over the links (a, b), for documents with a link."""
     edges = settle(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -175,8 +228,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("doc_id"), F.col("label").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_links): n_links counts confirmed links of the document's class to other texts."""
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, n_links): n_links counts all links of the document's class to other classes.
+
+    Without ``count_links`` there is no n_links."""
     spark = ready(docs.sparkSession)
     sig = stored(signatures(docs, shingle), "signatures")
     filled = sig.where("n_shingles > 0")
@@ -187,6 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         F.xxhash64("tree", "v").alias("key"), "tree", "doc_id", "label")
     small, large = _sized(nodes)
     pairs, large = settle(_pairs_within(small).distinct()), settle(large)
+    hot = settle(large.select("doc_id").distinct())
     links, sets = None, None
     for level in range(LEVELS + 2):
         star = large.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
@@ -216,15 +272,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         small, large = _sized(settle(children))
         pairs, large = settle(_pairs_within(small).distinct()), settle(large)
     labels = components(links)
-    degree = links.select(F.col("a").alias("first")).union(links.select(F.col("b").alias("first"))).groupBy("first").agg(F.count("*").alias("n_links"))
-    named = members.join(labels.withColumnRenamed("doc_id", "first"), "first", "left").join(degree, "first", "left").select(
-        "d1", "d2", "n_shingles", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = members.join(labels.withColumnRenamed("doc_id", "first"), "first", "left")
+    if count_links:
+        ends = links.select(F.col("a").alias("first"), F.col("b").alias("other")).union(links.select(F.col("b").alias("first"), F.col("a").alias("other")))
+        if hot.isEmpty():
+            each = ends.select("first", F.lit(1).cast("long").alias("n"))
+        else:
+            # a pair of two members of large roots is counted in the blocks, any other met in a small root
+            mark = lambda name: hot.select(F.col("doc_id").alias(name), F.lit(True).alias(f"hot_{name}"))
+            outside = ends.join(mark("first"), "first", "left").join(mark("other"), "other", "left").where("hot_first IS NULL OR hot_other IS NULL")
+            each = outside.select("first", F.lit(1).cast("long").alias("n")).union(counted(labels.join(hot, "doc_id"), sets, percent).select("first", "n"))
+        named = named.join(each.groupBy("first").agg(F.sum("n").alias("n_links")), "first", "left")
+    else:
+        named = named.withColumn("n_links", F.lit(None).cast("long"))
+    named = named.select("d1", "d2", "n_shingles", F.coalesce("component_id", "first").alias("component_id"), "n_links")
     out = sig.join(named, ["d1", "d2", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "n_links")
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "n_links")
+    return out if count_links else out.drop("n_links")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group stays; all columns of the input are kept. Rows without a doc_id stay."""
-    gone = near_duplicates(docs, shingle, percent).where("NOT kept").select("doc_id")
+    gone = near_duplicates(docs, shingle, percent, count_links=False).where("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -173,6 +173,27 @@ def test_near_duplicates_of_one_large_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == classes(rows, 4)
 
 
+def test_links_in_large_groups_are_counted(spark, monkeypatch):
+    """Hundreds of near copies of one text: n_links of each by brute force over the classes, also over several blocks."""
+    from editwarden.llm import near
+    monkeypatch.setattr(near.counted, "__defaults__", (40,))
+    random.seed(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(150):
+        words = list(base)
+        for place in random.sample(range(120), random.randint(1, 3)):
+            words[place] = f"other{d}x{place}"
+        rows.append((d, " ".join(words)))
+    rows += [(200 + d, rows[d][1]) for d in range(5)] + [(300, "alone in here with a few words"), (301, None)]
+    texts = sorted({t for _, t in rows if t})
+    sets = [{tuple(t.split()[i:i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    links = {t: sum(100 * len(p & q) >= 80 * len(p | q) for q in sets) - 1 for t, p in zip(texts, sets)}
+    assert max(links.values()) > 100
+    got = {r.doc_id: r.n_links for r in near_duplicates(frame(spark, rows), shingle=4).collect()}
+    assert got == {d: links[t] if t else 0 for d, t in rows}
+
+
 def test_one_of_each_group_stays_with_its_columns(spark):
     docs = frame(spark, corpus(3, words=120))
     out = without_near_duplicates(docs)
