@@ -13,6 +13,7 @@ from editwarden.llm.lines import without_repeated_runs
 from editwarden.llm.mixing import mix_sources
 from editwarden.llm.near import near_duplicates
 from editwarden.llm.quality import judged, judged_sql
+from editwarden.llm.resampling import resampled, resampled_sql
 from editwarden.llm.substrings import without_repeated_passages
 from editwarden.llm.suffixes import without_repeated_strings
 
@@ -86,3 +87,8 @@ def _(spark, sf):
 @query("op5_license_scan", licences_sql())
 def _(spark, sf):
     return licences(table(spark, sf, "documents"))
+
+
+@query("op12_importance_resampling", resampled_sql())
+def _(spark, sf):
+    return resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

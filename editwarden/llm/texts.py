@@ -69,14 +69,14 @@ def lowered(data):
     return _LOWER[data]
 
 
-def word_bounds(data, offsets):
-    """(starts, ends, words per document) of runs of bytes other than ASCII white space.
+def word_bounds(data, offsets, apart=_SPACE):
+    """(starts, ends, words per document) of runs of bytes that are not in ``apart`` (a table of 256 flags).
 
-    Words never cross a document's end."""
+    Without ``apart``, words stand between ASCII white space. Words never cross a document's end."""
     n, docs = len(data), len(offsets) - 1
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(docs, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
