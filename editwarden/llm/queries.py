@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from editwarden.llm.additive import quality
 from editwarden.llm.archives import archived
 from editwarden.llm.frames import table
 from editwarden.llm.languages import held_out, identified, train
@@ -92,3 +93,8 @@ def _(spark, sf):
 @query("op12_importance_resampling", resampled_sql())
 def _(spark, sf):
     return resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op11_quality_classifier")
+def _(spark, sf):
+    return quality(table(spark, sf, "documents"), table(spark, sf, "labels"))

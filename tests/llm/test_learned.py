@@ -9,6 +9,8 @@ import zlib
 import numpy as np
 import xxhash
 
+from editwarden.llm import additive
+from editwarden.llm.additive import FEATURES, fit, measures, quality, scored, train
 from editwarden.llm.resampling import BUCKETS, Spans, features, gains, interned, resampled
 from editwarden.llm.texts import batch_bytes
 
@@ -105,3 +107,77 @@ def test_resampling_prefers_texts_like_the_target(spark):
 
 def test_gains_without_features():
     assert gains(np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)).tolist() == [0] * BUCKETS
+
+
+# --- quality by an additive model
+
+def plain_measures(text):
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+    low = [w.lower() for w in words]
+    each, size = max(len(words), 1), max(len(raw), 1)
+    count = lambda chars: sum(raw.count(bytes([c])) for c in chars)
+    letters = count(range(65, 91)) + count(range(97, 123))
+    windows = [tuple(low[i:i + 5]) for i in range(len(low) - 4)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+    lines = [line for line in raw.split(b"\n") if line.strip(b" \t\v\f\r")]
+    return [
+        math.log1p(len(words)), sum(map(len, words)) / each, count(range(65, 91)) / max(letters, 1), count(b"#*$%&|<>") / each, count(b"!?") / each,
+        count(b".,;:") / each, count(b"0123456789") / size, count(b"|") / each, count(range(128, 256)) / size, count(b" \t\n\v\f\r") / size,
+        sum(a == b for a, b in zip(low, low[1:])) / each, len(set(low)) / each, max(map(low.count, low), default=0) / each, len(covered) / each,
+        (len(lines) - len(set(lines))) / max(len(lines), 1), len(words) / max(len(lines), 1),
+        sum(len(w) <= 2 for w in words) / each, sum(len(w) >= 12 for w in words) / each]
+
+
+def test_measures_equal_a_plain_count():
+    import pyarrow as pa
+    texts = ["", None, "One two, TWO one! two two\n\n  \nOne two\nOne two", "ünï ça | 12 3 | # *", " ".join(["a b c d e"] * 7), "x", "\n", "same same " * 30 + "averyveryverylongword"]
+    got = measures(*batch_bytes(pa.array(texts, pa.string())))
+    assert got.shape == (len(texts), len(FEATURES))
+    assert np.allclose(got, [plain_measures(t) for t in texts])
+
+
+def test_additive_model_is_a_sum_of_tables():
+    random = np.random.default_rng(3)
+    x = random.integers(0, 6, (3000, 3)).astype(float)
+    y = ((x[:, 0] >= 3) ^ (x[:, 1] >= 3)).astype(int)  # an interaction alone
+    model = fit(x, y, np.ones(len(y)), np.arange(len(y)) % 5 == 0)
+    assert ((model.score(x) >= 0.5) == y).mean() > 0.98 and (0, 1) in model.pairs
+    for row in x[:50]:
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges)]
+        total = model.start + sum(t[b] for t, b in zip(model.tables, bins))
+        total += sum(g[model.coarse[a][bins[a]], model.coarse[b][bins[b]]] for (a, b), g in zip(model.pairs, model.grids))
+        assert abs(1 / (1 + math.exp(-total)) - model.score(row[None])[0]) < 1e-12
+
+
+def test_quality_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01/"
+    docs, labels = spark.read.parquet(sf + "documents.parquet"), spark.read.parquet(sf + "labels.parquet")
+    rows = quality(docs.repartition(5), labels).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.quality for r in rows) >= 0.97 * len(rows)
+    assert sum(r.predicted for r in rows if r.quality == 1) >= 0.99 * sum(r.quality for r in rows)
+    again = {r.doc_id: r.score for r in quality(docs, labels.repartition(3)).collect()}
+    assert all(abs(again[r.doc_id] - r.score) < 1e-12 for r in rows)
+    # labels of held-out rows are not looked at
+    from pyspark.sql import functions as F
+    turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    other = {r.doc_id: r.score for r in quality(docs, turned).collect()}
+    assert other == again
+
+
+def test_quality_of_odd_tables(spark, monkeypatch):
+    monkeypatch.setattr(additive, "AT_ONCE", 300)
+    random.seed(8)
+    good = [(i, " ".join(random.choices(["plain", "words", "in", "a", "row"], k=random.randrange(1, 60)))) for i in range(200)]
+    junk = [(i + 200, " ".join(random.choices(["$$$", "###x", "|"], k=random.randrange(1, 60)))) for i in range(100)]
+    extra = [(300, None), (301, ""), (None, "plain words"), (None, "$$$ |"), (7, "plain words"), (302, "|" * 20_000), (303, "w " * 20_000)]
+    docs = documents(spark, good + junk + extra)
+    rows = [(d, int(d < 200), 0) for d, _ in good + junk] + [(5, None, 0), (6, 1, 1), (6, 1, 0), (None, 0, 0), (9999, 0, 0), (8, 7, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    out = quality(docs, labels).collect()
+    assert len(out) == len(good + junk + extra) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+    assert sum(r.predicted == (r.doc_id < 200) for r in out if r.doc_id is not None and r.doc_id < 300) >= 295
+    assert quality(docs.limit(0), labels).count() == 0
+    assert {r.score for r in quality(docs, labels.limit(0)).collect()} == {0.5}
+    assert min(r.score for r in quality(docs, labels.where("quality = 1")).collect()) > 0.99
+    assert max(r.score for r in scored(docs, train(docs, labels.where("quality = 0"))).collect()) < 0.01
