@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from editwarden.llm.additive import quality
 from editwarden.llm.archives import archived
+from editwarden.llm.collocations import collocations, collocations_sql
 from editwarden.llm.frames import table
 from editwarden.llm.languages import held_out, identified, train
 from editwarden.llm.leaks import leaked
@@ -98,3 +99,8 @@ def _(spark, sf):
 @query("op11_quality_classifier")
 def _(spark, sf):
     return quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op13_collocations", collocations_sql())
+def _(spark, sf):
+    return collocations(table(spark, sf, "documents"))

@@ -98,6 +98,12 @@ class Spans:
             out[i] = xxhash.xxh64_intdigest(self.raw(i))
         return out
 
+    def xxhash64_of(self, chosen):
+        """xxhash64 of the chosen spans."""
+        part = object.__new__(Spans)
+        part.data, part.words, part.starts, part.sizes = self.data, self.words, self.starts[chosen], self.sizes[chosen]
+        return part.xxhash64()
+
     def crc32(self, chosen):
         """crc32 of the chosen spans."""
         out = np.full(len(chosen), 0xFFFFFFFF, dtype=np.uint32)

@@ -5,12 +5,15 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import xxhash
 
 from editwarden.llm import additive
+from editwarden.llm import collocations as phrases
 from editwarden.llm.additive import FEATURES, fit, measures, quality, scored, train
+from editwarden.llm.collocations import BiIndex, collocations
 from editwarden.llm.resampling import BUCKETS, Spans, features, gains, interned, resampled
 from editwarden.llm.texts import batch_bytes
 
@@ -181,3 +184,80 @@ def test_quality_of_odd_tables(spark, monkeypatch):
     assert {r.score for r in quality(docs, labels.limit(0)).collect()} == {0.5}
     assert min(r.score for r in quality(docs, labels.where("quality = 1")).collect()) > 0.99
     assert max(r.score for r in scored(docs, train(docs, labels.where("quality = 0"))).collect()) < 0.01
+
+
+# --- collocations
+
+def plain_phrases(rows, longest):
+    counts = Counter()
+    for text, lang in rows:
+        low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", low):
+            words = re.findall("[^\x20\x09]+", piece)
+            for n in range(1, longest + 1):
+                for i in range(len(words) - n + 1):
+                    counts[lang or "und", tuple(words[i:i + n])] += 1
+    return counts
+
+
+def plain_collocations(rows, longest, least, first):
+    f = plain_phrases(rows, longest)
+    candidates = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    found = {}
+    for (lang, w), a in candidates.items():
+        if any(100 * b >= 80 * a and len(v) > len(w) and other == lang and any(v[i:i + len(w)] == w for i in range(len(v))) for (other, v), b in candidates.items()):
+            continue
+        score, k = min((2_000_000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k) for k in range(1, len(w)))
+        found.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    out = []
+    for lang, many in found.items():
+        n = sum(a for (other, w), a in f.items() if other == lang and len(w) == 1)
+        out += [(lang, rank + 1, p.decode(), -a, x, y, n, -s) for rank, (s, a, p, x, y) in enumerate(sorted(many)[:first])]
+    return sorted(out)
+
+
+def phrase_rows(seed=5):
+    random.seed(seed)
+    words = ["a", "A", "b", "c", "d", "é", "ß", "日本", "x-y", "n" * 40] + [f"r{i}" for i in range(200)]
+    texts = []
+    for _ in range(120):
+        pieces = [" ".join(random.choices(words, weights=[9] * 10 + [0.2] * 200, k=random.randrange(0, 30))) + random.choice([".", ", ", "\n", " \t", "!?", ""]) for _ in range(6)]
+        texts.append("".join(pieces) + random.choice(["", " new york city hall", " New\tYork  city"]))
+    texts += ["same words again and again " * 40] * 3 + [None, "", " \t ", ".;", "one", "a" * 5000 + " b"]
+    return texts, [random.choice(["en", "de", None, "und"]) for _ in texts]
+
+
+def test_bidirectional_extension_counts_all_ngrams():
+    random.seed(4)
+    sequence = [0]
+    for _ in range(60):
+        sequence += random.choices([1, 2, 3, 4, 7], k=random.randrange(0, 9)) + [0]
+    index = BiIndex(np.array(sequence), 4)
+    for n, grams in enumerate(index.enumerate(4), 2):
+        expected = Counter(tuple(sequence[i:i + n]) for i in range(len(sequence) - n + 1) if 0 not in sequence[i:i + n])
+        assert {tuple(w): s for w, s in zip(grams.words.tolist(), grams.sizes.tolist())} == expected and len(grams.sizes) == len(expected)
+        # intervals of one length are disjoint in both directions
+        for starts in (grams.ahead, grams.back):
+            order = np.argsort(starts)
+            assert (starts[order][1:] >= (starts + grams.sizes)[order][:-1]).all()
+    # right first gives the same as left first
+    other = index.left(index.right(index.left(index.single)))
+    assert {tuple(w): s for w, s in zip(other.words.tolist(), other.sizes.tolist())} == {tuple(w): s for w, s in zip(grams.words.tolist(), grams.sizes.tolist())}
+
+
+def test_collocations_equal_brute_force(spark, monkeypatch):
+    texts, langs = phrase_rows()
+    docs = documents(spark, [(None if i % 17 == 0 else i, t) for i, t in enumerate(texts)], langs)
+    for shard, longest, least, first in ((2000, 4, 5, 2000), (8 << 20, 4, 3, 7), (500, 3, 1, 50), (3000, 2, 10, 2000)):
+        monkeypatch.setattr(phrases, "SHARD_BYTES", shard)
+        got = sorted(tuple(r) for r in collocations(docs, longest, least, first).collect())
+        assert got == plain_collocations(list(zip(texts, langs)), longest, least, first)
+    assert collocations(docs.limit(0)).count() == 0
+    assert collocations(docs.where("text IS NULL")).count() == 0
+
+
+def test_collisions_of_hashes_change_nothing(spark, monkeypatch):
+    texts, langs = phrase_rows(6)
+    monkeypatch.setattr(phrases.Shard, "pair_keys", lambda self, a, b: self.keys[a - 1] % np.uint64(5))
+    got = sorted(tuple(r) for r in collocations(documents(spark, list(enumerate(texts)), langs), 4, 8, 100).collect())
+    assert got == plain_collocations(list(zip(texts, langs)), 4, 8, 100)
