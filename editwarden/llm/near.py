@@ -3,19 +3,19 @@
 Documents with the same shingle set are one class from the start. Each of TREES independent trees puts
 a class into the node of its minwise shingle; two sets with Jaccard similarity s meet in one tree with
 probability s, so 10 trees miss a link at 0.8 with probability 0.2 ** 10 = 1e-7. Nodes up to SMALL
-are compared exhaustively. A larger node is first compared with one pivot (its smallest class). Then all
-links found so far, of all trees, make components; a node whose members are of one component is finished, as each pair of them is
-connected. The members of others branch by CHILDREN further minwise shingles each (others in each tree, or all trees
-would miss the same links), and only pairs of different components go on. What is
-still large after LEVELS branchings is compared exhaustively in blocks, so no link is dropped for size.
-Links are confirmed on the full shingle sets, in integers.
+are compared exhaustively. A larger node is first compared with one pivot (its smallest class). Then its members
+branch by CHILDREN further minwise shingles each, drawn anew for each tree and level, and nodes whose members are
+known to be connected already are finished, as no pair of them can change a component. What is still large and not connected after
+LEVELS branchings is compared exhaustively in blocks, so no link is dropped for size. A pair at 0.8 whose nodes stay large through all
+levels is missed with probability 0.247 ** 10 = 1e-6. Links are confirmed on the full shingle sets, in integers.
 
-Pairs that a settled component leaves out are links all the same: for n_links, the members of large roots are compared
-exhaustively within their component, BLOCK by BLOCK, and only sums leave a block. That takes the square of a group's
-size in comparisons, not in rows; the pipeline does not ask for it.
+Each level is three written tables (nodes, pairs, links); links of a task are reduced to a spanning forest before they are
+written. Between levels labels follow two steps along the links, which leaves work over but no link out; only before the exhaustive
+end and for the result are components followed until nothing changes.
 
 Null or empty texts have no shingles, link with nothing and stay. Ties and repeated rows: the smallest
-doc_id stands for a class. Other columns of the input are ignored, whatever their names.
+doc_id stands for a class. Rows without doc_id link with nothing, have no component_id and are kept. Other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,16 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editwarden.llm.frames import ready, settle, stored
+from editwarden.llm.frames import ready, stored
 from editwarden.llm.texts import U64, batch_bytes, lowered, mix, sequence_hashes, span_hashes, word_bounds
 
 TREES = 10
 SMALL = 24
 CHILDREN = 2
 LEVELS = 3
-BLOCK = 512  # members of a component that are compared at once when links are counted
-VOCABULARY = 4096  # shingles of a block that are held as columns at once
-SIGNATURE = TREES + TREES * CHILDREN  # minwise values kept per class: a root for each tree, and a pool that branches draw from
+SIGNATURE = 3 * TREES  # minwise values kept per class: a root for each tree, all of them to see whether a pair can link
+BRANCHES = TREES * LEVELS * CHILDREN  # further ones of the members of large nodes: each tree and level has its own
 HASH_BYTES = 6  # of a shingle when sets are compared
 
 
@@ -60,6 +59,16 @@ def _seeds(count):
     return [mix(np.arange(1, 2, dtype=U64), 1000 + k)[0] | U64(1) for k in range(count)]
 
 
+def _minwise(flat, at, seeds):
+    """32 bits of the minwise values of sets that begin at ``at`` in ``flat``, a column for each seed."""
+    out = np.zeros((len(at), len(seeds)), dtype=np.uint32)
+    for k, seed in enumerate(seeds):
+        values = flat * seed
+        values ^= values >> U64(32)
+        out[:, k] = np.minimum.reduceat(values * seed, at) >> U64(4)
+    return out
+
+
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, sig): set size, 128-bit digest of the set, 32 bits of each minwise value."""
     seeds = _seeds(SIGNATURE)
@@ -75,10 +84,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 flat = np.concatenate([sets[i] for i in full])
                 at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
                 d1[full], d2[full] = np.add.reduceat(mix(flat, 21), at), np.add.reduceat(mix(flat, 22), at)
-                for k, seed in enumerate(seeds):
-                    values = flat * seed
-                    values ^= values >> U64(32)
-                    sig[:, k] = np.minimum.reduceat(values * seed, at) >> U64(4)
+                sig = _minwise(flat, at, seeds)
             ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, SIGNATURE, 0))]).astype(np.int32)
             yield pa.record_batch([
                 batch.column("doc_id"), pa.array(sizes), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
@@ -90,14 +96,24 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, elements): the sorted distinct shingles of each document, HASH_BYTES each, as one value."""
+    """(doc_id, elements, branches): the sorted distinct shingles of each document, HASH_BYTES each, as one value, and its further minwise values.
+
+    The documents have shingles."""
+    seeds = _seeds(SIGNATURE + BRANCHES)[SIGNATURE:]
+
     def work(batches):
         for batch in batches:
-            values = [np.sort(s >> U64(64 - 8 * HASH_BYTES)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
-                      for s in shingle_sets(*batch_bytes(batch.column("text")), shingle)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(values, pa.binary())], names=["doc_id", "elements"])
+            if not batch.num_rows:
+                continue
+            sets = list(shingle_sets(*batch_bytes(batch.column("text")), shingle))
+            values = [np.sort(s >> U64(64 - 8 * HASH_BYTES)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes() for s in sets]
+            ends = np.cumsum([len(s) for s in sets])
+            branches = _minwise(np.concatenate(sets), np.concatenate([[0], ends[:-1]]), seeds)
+            rows = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BRANCHES)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(values, pa.binary()), pa.ListArray.from_arrays(rows, pa.array(branches.reshape(-1).view(np.int32)))],
+                                  names=["doc_id", "elements", "branches"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, elements binary")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, elements binary, branches array<int>")
 
 
 def _elements(blob):
@@ -106,12 +122,31 @@ def _elements(blob):
     return out.view(U64).reshape(-1)
 
 
+def _forest(a, b):
+    """(member, root) of the members of linked groups that are not the smallest of their group."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label[x], label[y])
+        after = label.copy()
+        np.minimum.at(after, label[x], least)
+        np.minimum.at(after, label[y], least)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    moved = label != np.arange(len(names))
+    return names[moved], names[label[moved]]
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Links (a, b) that connect what the pairs connect whose full sets have 100 * intersection >= percent * union."""
     def work(batches):
         held = (None, None)
+        links = [np.zeros((2, 0), dtype=np.int64)]
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             keep = np.zeros(len(a), dtype=bool)
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
                 if held[0] != a[i]:
@@ -119,180 +154,122 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 mine, other = held[1], _elements(y.as_buffer())
                 both = len(mine) + len(other) - len(np.unique(np.concatenate([mine, other])))
                 keep[i] = 100 * both >= percent * (len(mine) + len(other) - both)
-            kept = pa.array(keep)
-            yield pa.record_batch([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
+            links.append(np.stack([a[keep], b[keep]]))
+        member, root = _forest(*np.concatenate(links, axis=1))
+        yield pa.record_batch([pa.array(root), pa.array(member)], names=["a", "b"])
 
     x = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs that cannot link: set sizes too different, or fewer than a quarter of the minwise values alike.
+def _can_link(p, q, percent):
+    """Whether two members (doc_id, label, n_shingles, sig) can link: other labels, sizes alike, more than a quarter of the minwise values alike.
 
     Of SIGNATURE values a pair at 0.8 shares a quarter or less with probability below 1e-12."""
-    short = classes.select("doc_id", "n_shingles", "sig")
-    a = short.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-    b = short.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-    alike = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return pairs.join(a, "a").join(b, "b").where(sizes & (4 * alike > SIGNATURE)).select("a", "b")
-
-
-def _pairs_within(nodes: DataFrame) -> DataFrame:
-    """All pairs of different labels in the small nodes (key, doc_id, label)."""
-    groups = nodes.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc_id", "label"))).alias("m"))
-    left = groups.select("m", F.posexplode("m").alias("i", "p"))
-    both = left.select("p", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("q"))
-    return both.where("p.label <> q.label").select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
-
-
-def _sized(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small and large nodes; nodes whose members are all connected already are finished."""
-    sizes = nodes.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("doc_id").alias("pivot")
+    alike = F.aggregate(F.zip_with(p["sig"], q["sig"], lambda v, w: (v == w).cast("int")), F.lit(0), lambda s, v: s + v)
+    sizes = 100 * F.least(p["n_shingles"], q["n_shingles"]) >= percent * F.greatest(p["n_shingles"], q["n_shingles"])
+    return (p["label"] != q["label"]) & sizes & (4 * alike > SIGNATURE)
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows (key, tree, m) of nodes whose members are not known to be connected, with the node's size and pivot."""
+    sizes = rows.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("m.label").alias("l1"), F.max("m.label").alias("l2"), F.min("m").alias("pivot")
     ).where("l1 <> l2").select("key", "size", "pivot")  # a key belongs to one tree
-    rows = nodes.join(sizes, "key")
-    return rows.where(F.col("size") <= SMALL), rows.where(F.col("size") > SMALL)
+    return rows.join(sizes, "key")
+
 
+def _pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that can link: all pairs of small nodes, and each member of a large node with its pivot."""
+    groups = nodes.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    left = groups.select("ms", F.posexplode("ms").alias("i", "p"))
+    both = left.select("p", F.explode(F.slice("ms", F.col("i") + 2, SMALL)).alias("q"))
+    star = nodes.where(F.col("size") > SMALL).select(F.col("pivot").alias("p"), F.col("m").alias("q"))
+    return both.union(star).where(_can_link(F.col("p"), F.col("q"), percent)).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
 
-def _blocks(nodes: DataFrame) -> DataFrame:
+
+def _blocks(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of the nodes that stay large, in blocks of about SMALL members: the exhaustive end."""
     rows = nodes.withColumn("blocks", F.ceil(F.col("size") / SMALL).cast("long")).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    a = rows.select("key", "block", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    b = rows.select("key", F.col("block").alias("other"), F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    return a.join(b, ["key", "other"]).where("a < b AND la <> lb").select("a", "b")
-
-
-def _shared(x, y):
-    """The sizes of the intersections of each set of x with each set of y."""
-    fx, fy = np.concatenate(x), np.concatenate(y)
-    rx, ry = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
-    both = np.intersect1d(fx, fy)
-    out = np.zeros((len(x), len(y)), dtype=np.float32)
-    for k in range(0, len(both), VOCABULARY):
-        some = both[k:k + VOCABULARY]
-        sides = []
-        for flat, rows, many in ((fx, rx, len(x)), (fy, ry, len(y))):
-            at = np.minimum(np.searchsorted(some, flat), len(some) - 1)
-            hit = some[at] == flat
-            side = np.zeros((many, len(some)), dtype=np.float32)
-            side[rows[hit], at[hit]] = 1
-            sides.append(side)
-        out += sides[0] @ sides[1].T
-    return out.astype(np.int64)
-
-
-def counted(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(first, n): links of each of ``members`` (doc_id, component_id) to other members of its component, all pairs compared."""
-    many = members.groupBy("component_id").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    rows = members.join(many, "component_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).join(sets, "doc_id")
-    packs = stored(rows.groupBy("component_id", "block", "blocks").agg(F.sort_array(F.collect_list(F.struct("doc_id", "elements"))).alias("m")), "packs")
-    a = packs.select("component_id", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("m.elements").alias("x"))
-    b = packs.select("component_id", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("m.elements").alias("y"))
+        "block", F.pmod(F.xxhash64("m.doc_id"), F.col("blocks")))
+    a = rows.select("key", "block", F.col("m").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    b = rows.select("key", F.col("block").alias("other"), F.col("m").alias("q"))
+    both = a.join(b, ["key", "other"]).where(F.col("p.doc_id") < F.col("q.doc_id")).where(_can_link(F.col("p"), F.col("q"), percent))
+    return both.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
 
-    def work(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                component, i, j = (batch.column(k)[row].as_py() for k in range(3))
-                x, y = ([_elements(v) for v in batch.column(k)[row].as_py()] for k in (3, 4))
-                both = _shared(x, y)
-                sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
-                linked = 100 * both >= percent * (sizes - both)
-                if i == j:
-                    np.fill_diagonal(linked, False)
-                sums = [linked.sum(axis=1)] + ([linked.sum(axis=0)] if i != j else [])
-                yield pa.record_batch([pa.array([component] * len(sums), pa.int64()), pa.array([i, j][:len(sums)], pa.int64()),
-                                       pa.array([s.tolist() for s in sums], pa.list_(pa.int64()))], names=["component_id", "block", "sums"])
-
-    sums = a.join(b, ["component_id", "i", "j"]).select("component_id", "i", "j", "x", "y").mapInArrow(
-        work, "component_id long, block long, sums array<long>").groupBy("component_id", "block").agg(F.collect_list("sums").alias("sums"))
-    total = F.aggregate("sums", F.transform(F.col("m.doc_id"), lambda d: F.lit(0).cast("long")), lambda s, v: F.zip_with(s, v, lambda p, q: p + q))
-    return packs.join(sums, ["component_id", "block"]).select(F.explode(F.arrays_zip(F.col("m.doc_id").alias("first"), total.alias("n"))).alias("r")).select("r.first", "r.n")
+
+def _followed(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, label, next): the least label of the neighbours, then the label of that label: paths halve in each step."""
+    near = edges.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+    low = labels.join(near, "a").select("a", "label", F.least("label", "near").alias("low"))
+    jump = labels.select(F.col("a").alias("low"), F.col("label").alias("far"))
+    return low.join(jump, "low", "left").select("a", "label", F.least("low", "far").alias("next"))
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def _first_labels(edges: DataFrame) -> DataFrame:
+    labels = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
+    return _followed(edges, labels).select("a", F.col("next").alias("label"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, component_id): smallest doc_id reachable over the links (a, b), for documents with a link."""
-    edges = settle(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    edges = stored(_both_ways(links), "edges")
+    labels = _first_labels(edges)
     while True:
-        # the label of a neighbour, then the label of that label: paths halve in each round
-        near = edges.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, "a").select("a", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("a").alias("low"), F.col("label").alias("far"))
-        following = settle(low.join(jump, "low", "left").select("a", "label", F.least("low", "far").alias("next")))
-        changed = not following.where("label <> next").isEmpty()
+        following = stored(_followed(edges, labels), "labels")
         labels = following.select("a", F.col("next").alias("label"))
-        if not changed:
+        if following.where("label <> next").isEmpty():
             return labels.select(F.col("a").alias("doc_id"), F.col("label").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_links): n_links counts all links of the document's class to other classes.
-
-    Without ``count_links`` there is no n_links."""
-    spark = ready(docs.sparkSession)
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept)."""
+    ready(docs.sparkSession)
     sig = stored(signatures(docs, shingle), "signatures")
-    filled = sig.where("n_shingles > 0")
-    members = filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("first"))
-    classes = stored(filled.join(members.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "classes")
-
-    nodes = classes.select("doc_id", F.col("doc_id").alias("label"), F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "v")).select(
-        F.xxhash64("tree", "v").alias("key"), "tree", "doc_id", "label")
-    small, large = _sized(nodes)
-    pairs, large = settle(_pairs_within(small).distinct()), settle(large)
-    hot = settle(large.select("doc_id").distinct())
+    named = ["d1", "d2", "n_shingles"]
+    classes = stored(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*named).agg(F.min(F.struct("doc_id", "sig")).alias("c")).select(
+        F.col("c.doc_id").alias("doc_id"), *named, F.col("c.sig").alias("sig")), "classes")
+
+    member = F.struct("doc_id", "label", "n_shingles", "sig").alias("m")
+    rows = classes.withColumn("label", F.col("doc_id")).select(member, F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "v")).select(
+        F.xxhash64("tree", "v").alias("key"), "tree", "m")
     links, sets = None, None
-    for level in range(LEVELS + 2):
-        star = large.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-        pairs = settle(plausible(pairs.union(star).distinct(), classes, percent))
+    for level in range(LEVELS + 1):
+        nodes = stored(_sized(rows), "nodes")
+        pairs = stored(_pairs(nodes, percent), "pairs")
+        large = nodes.where(F.col("size") > SMALL)
         if sets is None:
             # members of large nodes are compared at each level: one pass over the texts writes the sets of all
-            ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(large.select("doc_id")).distinct()
+            ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(large.select("m.doc_id")).distinct()
             sets = stored(full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
-        new = confirmed(pairs, sets, percent)
-        links = settle(new if links is None else links.union(new).distinct())
-        if level > LEVELS or large.isEmpty():
+        new = stored(confirmed(pairs, sets, percent), "links")
+        links = new if links is None else links.union(new)
+        if large.isEmpty():
             break
-        labels = components(links).withColumnRenamed("component_id", "found")
-        labelled = large.drop("label").join(labels, "doc_id", "left").withColumn("label", F.coalesce("found", "doc_id")).drop("found")
-        unfinished = labelled.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("key")
-        labelled = settle(labelled.join(unfinished, "key"))
-        if labelled.isEmpty():
+        at_end = level == LEVELS
+        labels = components(links) if at_end else _first_labels(_both_ways(links)).withColumnRenamed("a", "doc_id")
+        labels = labels.toDF("doc_id", "found")
+        members = large.select("key", "tree", "m.doc_id", "m.n_shingles", "m.sig").join(labels, "doc_id", "left").withColumn("label", F.coalesce("found", "doc_id"))
+        if at_end:
+            links = links.union(stored(confirmed(_blocks(_sized(members.select("key", "tree", member)), percent), sets, percent), "links"))
             break
-        if level == LEVELS:
-            pairs, large = settle(_blocks(labelled).distinct()), labelled.limit(0)
-            continue
-        pair = TREES + CHILDREN * F.pmod(F.col("tree") + 3 * level, F.lit(TREES))
-        children = labelled.join(classes.select("doc_id", "sig"), "doc_id").select(
-            F.col("key").alias("parent"), "tree", "doc_id", "label",
-            F.posexplode(F.array(*[F.get("sig", pair + c) for c in range(CHILDREN)])).alias("child", "v")).select(
-            F.xxhash64("parent", "child", "v").alias("key"), "tree", "doc_id", "label")
-        small, large = _sized(settle(children))
-        pairs, large = settle(_pairs_within(small).distinct()), settle(large)
+        place = (F.col("tree") * LEVELS + level) * CHILDREN
+        rows = members.join(sets.select("doc_id", "branches"), "doc_id").select(
+            F.col("key").alias("parent"), "tree", member, F.posexplode(F.array(*[F.get("branches", place + c) for c in range(CHILDREN)])).alias("child", "v")).select(
+            F.xxhash64("parent", "child", "v").alias("key"), "tree", "m")
     labels = components(links)
-    named = members.join(labels.withColumnRenamed("doc_id", "first"), "first", "left")
-    if count_links:
-        ends = links.select(F.col("a").alias("first"), F.col("b").alias("other")).union(links.select(F.col("b").alias("first"), F.col("a").alias("other")))
-        if hot.isEmpty():
-            each = ends.select("first", F.lit(1).cast("long").alias("n"))
-        else:
-            # a pair of two members of large roots is counted in the blocks, any other met in a small root
-            mark = lambda name: hot.select(F.col("doc_id").alias(name), F.lit(True).alias(f"hot_{name}"))
-            outside = ends.join(mark("first"), "first", "left").join(mark("other"), "other", "left").where("hot_first IS NULL OR hot_other IS NULL")
-            each = outside.select("first", F.lit(1).cast("long").alias("n")).union(counted(labels.join(hot, "doc_id"), sets, percent).select("first", "n"))
-        named = named.join(each.groupBy("first").agg(F.sum("n").alias("n_links")), "first", "left")
-    else:
-        named = named.withColumn("n_links", F.lit(None).cast("long"))
-    named = named.select("d1", "d2", "n_shingles", F.coalesce("component_id", "first").alias("component_id"), "n_links")
-    out = sig.join(named, ["d1", "d2", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "n_links")
-    return out if count_links else out.drop("n_links")
+    of_class = classes.select("doc_id", *named).join(labels, "doc_id", "left").select(*named, F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sig.join(of_class, named, "left").select("doc_id", "n_shingles", F.when(
+        F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group stays; all columns of the input are kept. Rows without a doc_id stay."""
-    gone = near_duplicates(docs, shingle, percent, count_links=False).where("NOT kept").select("doc_id")
+    gone = near_duplicates(docs, shingle, percent).where("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

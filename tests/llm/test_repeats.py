@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,25 +174,49 @@ def test_near_duplicates_of_one_large_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == classes(rows, 4)
 
 
-def test_links_in_large_groups_are_counted(spark, monkeypatch):
-    """Hundreds of near copies of one text: n_links of each by brute force over the classes, also over several blocks."""
-    from editwarden.llm import near
-    monkeypatch.setattr(near.counted, "__defaults__", (40,))
+def test_near_duplicates_in_crowded_nodes(spark):
+    """A passage that hundreds of otherwise different texts share makes nodes large: they branch, and links near the threshold are still found."""
     random.seed(12)
-    base = [f"w{i}" for i in range(120)]
+    passage = [f"p{i}" for i in range(90)]
     rows = []
-    for d in range(150):
-        words = list(base)
-        for place in random.sample(range(120), random.randint(1, 3)):
-            words[place] = f"other{d}x{place}"
-        rows.append((d, " ".join(words)))
-    rows += [(200 + d, rows[d][1]) for d in range(5)] + [(300, "alone in here with a few words"), (301, None)]
-    texts = sorted({t for _, t in rows if t})
-    sets = [{tuple(t.split()[i:i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
-    links = {t: sum(100 * len(p & q) >= 80 * len(p | q) for q in sets) - 1 for t, p in zip(texts, sets)}
-    assert max(links.values()) > 100
-    got = {r.doc_id: r.n_links for r in near_duplicates(frame(spark, rows), shingle=4).collect()}
-    assert got == {d: links[t] if t else 0 for d, t in rows}
+    for d in range(0, 300, 2):
+        own = [f"o{d}x{i}" for i in range(70)]
+        other = list(own)
+        for _ in range(random.randint(2, 5)):
+            other[random.randrange(70)] = f"c{random.randrange(10 ** 6)}"
+        rows += [(d, " ".join(passage + own)), (d + 1, " ".join(passage + other))]
+    expected = classes(rows, 4)
+    assert 100 < sum(not kept for _, _, kept in expected.values()) < 150
+    got = near_duplicates(frame(spark, rows), shingle=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == expected
+
+
+def test_near_duplicates_of_a_crowd_without_links(spark, monkeypatch):
+    """Nodes that stay large to the end are compared in blocks."""
+    from editwarden.llm import near
+    monkeypatch.setattr(near, "SMALL", 3)
+    random.seed(13)
+    passage = [f"p{i}" for i in range(200)]
+    rows = [(d, " ".join(passage + [f"o{d}x{i}" for i in range(random.choice([24, 27, 60]))])) for d in range(60)]
+    got = near_duplicates(frame(spark, rows), shingle=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == classes(rows, 4)
+
+
+def test_forest_connects_what_links_connect():
+    from editwarden.llm.near import _forest
+    random.seed(14)
+    links = [(random.randrange(60), random.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)]
+    member, root = _forest(*np.array(links).T)
+    parent = dict(zip(member.tolist(), root.tolist()))
+    groups = {}
+    for x, y in links:
+        a, b = groups.setdefault(x, {x}), groups.setdefault(y, {y})
+        if a is not b:
+            a |= b
+            for z in b:
+                groups[z] = a
+    for x, group in groups.items():
+        assert parent.get(x, x) == min(group)
 
 
 def test_one_of_each_group_stays_with_its_columns(spark):
@@ -258,9 +283,16 @@ def test_empty_tables(spark):
 
 def test_rows_repeated_and_without_id(spark):
     text = " ".join(f"word{i}" for i in range(70))
-    docs = frame(spark, [(5, text), (5, text), (9, text), (None, text)])
-    for out, column in ((without_repeated_strings(docs), "n_removed"), (without_repeated_passages(docs), "n_removed")):
-        assert sorted((r.doc_id, r[column] > 0) for r in out.collect()) == [(5, False), (5, False), (9, True)]
+    docs = frame(spark, [(5, text), (5, text), (9, text), (None, text), (None, None)])
+    for out in (without_repeated_strings(docs), without_repeated_passages(docs)):
+        rows = sorted(((-1 if r.doc_id is None else r.doc_id, r.n_removed > 0) for r in out.collect()))
+        assert rows == [(-1, False), (-1, False), (5, False), (5, False), (9, True)]
+    assert sorted((r.n_bytes, len(r.kept)) for r in without_repeated_strings(docs).where("doc_id IS NULL").collect()) == [(0, 0), (len(text), len(text))]
+    assert sorted((r.n_words, r.text) for r in without_repeated_passages(docs).where("doc_id IS NULL").collect()) == [(0, ""), (70, text)]
+    near = near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near) == [
+        ("5", "5", True), ("5", "5", True), ("9", "5", False), ("None", "None", True), ("None", "None", True)]
     stays = without_near_duplicates(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("d")).collect()
-    assert sorted(r.d for r in stays) == [-1, 5, 5]
-    assert line_dedup(docs).count() == 4
+    assert sorted(r.d for r in stays) == [-1, -1, 5, 5]
+    # a line of 70 words is a run of its own: the later document loses it and goes; rows without a doc_id stay
+    assert line_dedup(docs.where("text IS NOT NULL")).count() == 3
