@@ -9,32 +9,40 @@ are the whole UTF-8 texts; matches never cross documents.
 2. Leading tokens first: an anchor whose GRAM bytes occur in no other document cannot match and leaves. Blocks of documents exchange
    packed hashes for this; a hash collision only keeps an anchor too much.
 3. In a block equal contexts are combined: later documents lose them at once, one context goes on.
-4. The others are ranged over buckets by sampled splitters of the suffix at the anchor (its bytes, then the bytes before it, backwards).
+4. The others are ranged over buckets by splitters of the suffix at the anchor (its bytes, then the bytes before it, backwards), sampled
+   from at most SAMPLE_CONTEXTS contexts of each of about SAMPLE_DOCS documents; the sample decides only how even the buckets are.
    In its bucket, each window of a context is sorted by multikey quicksort, eight bytes a time, and runs of equal windows give the
    earliest document. A token of a third of all documents spreads over buckets.
 5. Across boundaries: suffixes in two buckets share only what they share with the outermost suffix of their bucket. Contexts with a
    window in that part are ranged once more, by the bytes before the anchor first; windows that also reach a boundary of
-   this second order (they lie in text shared by very many documents) are compared by one more grouping, one row per bucket and window.
+   this second order (they lie in text shared by very many documents) are compared by one more grouping of their 128-bit hashes, packed by
+   ranges of the hash.
 
 Null and empty texts have no bytes and lose none. Rows of one doc_id must hold one text and lose the same bytes. Rows
-without doc_id do not appear. Other columns are ignored.
+without doc_id are compared with nothing and keep all bytes. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editwarden.llm.blocks import BLOCKS_PER_PARTITION, KEY_BITS, PACKED, in_blocks, is_in, packed_keys, received, shared_keys, table_batches
+from editwarden.llm.blocks import KEY_BITS, PACKED, in_blocks, is_in, packed_keys, received, shared_keys, table_batches
 from editwarden.llm.frames import parts, ready
 from editwarden.llm.texts import U64, batch_bytes, merged, mix, pack, unpack
 
 LENGTH = 50
 GRAM = 24
 PIECE = 1 << 19  # windows handled at once
+SAMPLE_DOCS = 2000
+SAMPLE_CONTEXTS = 50
 _PLACE_BITS = 24
 
 
@@ -137,8 +145,9 @@ class _Slice:
 
 
 # a context: the bytes from the anchor on, those before it backwards, its places in one document, the bytes shared with a boundary
-_SHIPPED = "block int, right binary, left binary, doc_id long, starts binary, reach int, n int, spans binary"
-_FOUND = "block int, window binary, doc_id long, start long, n int, spans binary"
+_SHIPPED = "block int, right binary, left binary, doc_id long, starts binary, reach int, n int, spans binary, bucket int"
+# packed spans of a block, or packed windows (hash, document, block, start) of a range of hashes
+_FOUND = "block int, n int, spans binary, windows binary"
 WINDOWS_AT_ONCE = 400_000
 
 
@@ -160,13 +169,37 @@ def _spans(table):
     return [np.concatenate(c) for c in zip(*out)]
 
 
+def _splitters(docs: DataFrame, length: int, buckets: int) -> list:
+    """Up to ``buckets`` - 1 suffixes (right, left) that cut a sample of all contexts into even parts."""
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    draw = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1_000_000_007)) / 1_000_000_007
+    some = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (draw < share))
+
+    def work(batches):
+        for batch in batches:
+            for part in table_batches(pa.Table.from_batches([batch])):
+                found = _Slice(part, length)
+                order = np.lexsort((found.key, found.row))
+                row = found.row[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                raw = found.data.tobytes()
+                chosen = order[place < SAMPLE_CONTEXTS].tolist()
+                yield pa.record_batch([pa.array([raw[found.anchor[i]:found.last[i] + length] for i in chosen], pa.binary()),
+                                       pa.array([raw[found.first[i]:found.anchor[i]][::-1] for i in chosen], pa.binary())], names=["right", "left"])
+
+    got = some.mapInArrow(work, "right binary, left binary").toArrow()
+    rows = sorted(set(zip(got.column("right").to_pylist(), got.column("left").to_pylist())))
+    return [rows[len(rows) * k // buckets] for k in range(1, buckets)] if rows else []
+
+
 def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): the removed runs as (first, last) byte and the bytes that are left."""
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM} bytes")
     buckets = parts(ready(docs.sparkSession))
     key_buckets = max(1, buckets // 2)
-    blocks = buckets * BLOCKS_PER_PARTITION
+    ranges = max(16, 4 * isqrt(buckets))
+    splitters = _splitters(docs, length, 2 * buckets)  # a hash deals the buckets to partitions: more of them are dealt more evenly
     dealt = in_blocks(docs)
 
     def anchor_keys(key, table):
@@ -212,39 +245,47 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame
         for row in seen.values():
             each[row[2]] = each.get(row[2], 0) + 1
         elsewhere = is_in(np.array([r[2] for r in seen.values()], dtype=U64), known)
-        out = [(text[at:], text[at - 1::-1] if at else b"", doc, np.array(starts, dtype=np.int64).tobytes(), None, None)
-               for (text, (doc, at, k, starts)), e in zip(seen.items(), elsewhere.tolist()) if e or each[k] > 1]
+        out = []
+        for (text, (doc, at, k, starts)), e in zip(seen.items(), elsewhere.tolist()):
+            if e or each[k] > 1:
+                right, left = text[at:], text[at - 1::-1] if at else b""
+                places = starts[0].to_bytes(8, "little") if len(starts) == 1 else np.array(starts, dtype=np.int64).tobytes()
+                out.append((right, left, doc, places, None, None, bisect_right(splitters, (right, left))))
         if gone[0]:
             n, spans = _span_row(block, *(np.array(g, dtype=np.int64) for g in gone))
-            out.append((None, None, None, None, n, spans))
+            out.append((None, None, None, None, n, spans, block % (2 * buckets)))  # rows of spans only pass through
         return _shipped(block, out)
 
-    # rows of spans only pass through: they are dealt evenly
-    any_place = F.md5(F.col("block").cast("string")).cast("binary")
     shipped = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(contexts, _SHIPPED)
-    edges = shipped.repartitionByRange(F.coalesce("right", any_place), "left").mapInArrow(lambda b: _bucket(b, length, False), _SHIPPED)
+    edges = shipped.repartition(buckets, "bucket").mapInArrow(lambda b: _buckets(b, length), _SHIPPED)
     # a shuffle of these few rows, kept apart from the next one by a step, so that sampling splitters does not run the buckets twice
     edges = edges.repartition(buckets, F.xxhash64("block", "doc_id")).mapInArrow(lambda b: b, _SHIPPED)
-    found = edges.repartitionByRange(F.coalesce("left", any_place), "right").mapInArrow(lambda b: _bucket(b, length, True), _FOUND).repartition(buckets, "block")
+    any_place = F.md5(F.col("block").cast("string")).cast("binary")
+    found = edges.repartitionByRange(F.coalesce("left", any_place), "right").mapInArrow(
+        lambda b: _bucket(pa.Table.from_batches(list(b), schema=_SCHEMA), length, ranges), _FOUND).repartition(buckets, "block")
 
     def windows_only(batches):
         for batch in batches:
-            yield batch.filter(pa.compute.is_valid(batch.column("window"))).select(["window", "doc_id", "start"])
+            yield batch.filter(pa.compute.is_valid(batch.column("windows"))).select(["block", "n", "windows"])
+
+    def later(key, table):
+        """The windows of a range of hashes that an earlier document has, too, as spans of their blocks."""
+        columns = [unpack(w, n, 5) for n, w in zip(table.column("n").to_pylist(), table.column("windows").to_pylist())]
+        h1, h2, doc, block, start = (np.concatenate(c) for c in zip(*columns))
+        doc, block, start = doc.view(np.int64), block.view(np.int64), start.view(np.int64)
+        order = np.lexsort((doc, h2, h1))
+        h1, h2, doc, block, start = h1[order], h2[order], doc[order], block[order], start[order]
+        new = np.ones(len(h1), dtype=bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        late = doc > np.repeat(doc[new], np.diff(np.append(np.flatnonzero(new), len(h1))))
+        return _found([(int(b), *_span_row(b, doc[mine], start[mine], start[mine] + length)) for b in np.unique(block[late]) for mine in [late & (block == b)]])
 
     # read by a Python step on purpose: a filter would be moved before the shuffle, which then could not be shared
-    windows = found.mapInArrow(windows_only, "window binary, doc_id long, start long")
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    across = windows.join(first, "window").where("doc_id > first").select(
-        block.alias("block"), F.lit(None).cast("binary").alias("window"), "doc_id", "start", F.lit(0).alias("n"), F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("across"))
-    both = found.withColumn("across", F.lit(False)).unionByName(across)
+    windows = found.mapInArrow(windows_only, "block int, n int, windows binary")
+    both = found.union(windows.groupBy("block").applyInArrow(later, _FOUND))
 
     def remove(key, table, answers):
         doc, low, high = _spans(answers)
-        more = answers.filter(answers.column("across"))
-        doc = np.concatenate([doc, more.column("doc_id").to_numpy()])
-        low = np.concatenate([low, more.column("start").to_numpy()])
-        high = np.concatenate([high, more.column("start").to_numpy() + length])
         order = np.argsort(doc, kind="stable")
         doc, low, high = doc[order], low[order], high[order]
         out = []
@@ -264,39 +305,51 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), span, pa.binary()))],
                         names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
+    out = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
         remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, kept binary")
+    text = F.coalesce("text", F.lit(""))
+    return out.union(docs.where("doc_id IS NULL").select(
+        F.lit(None).cast("long"), F.octet_length(text).cast("long"), F.lit(0).cast("long"), F.array().cast(out.schema["spans"].dataType), text.cast("binary")))
 
 
-def _bucket(batches, length, second):
-    """One bucket of contexts in the first order (by what follows the anchor) or in the second (by what goes before it).
+def _buckets(batches, length):
+    """The buckets of a partition, one after the other."""
+    table = pa.Table.from_batches(list(batches), schema=_SCHEMA)
+    bucket = table.column("bucket").to_numpy()
+    for b in np.unique(bucket):
+        yield from _bucket(table.filter(pa.array(bucket == b)), length)
+
+
+def _bucket(table, length, ranges=None):
+    """One bucket of contexts in the first order (by what follows the anchor) or, with ``ranges``, in the second (by what goes before it).
 
     Yields packed spans and, of the contexts with a window that may also be in another bucket, the context (first order) or
-    the window (second order)."""
-    give = _found if second else _passed
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None:
-        return
-    passed = table.filter(pa.compute.is_valid(table.column("spans")))
+    the windows, packed by ranges of their hash (second order)."""
+    second = ranges is not None
+    give = _found if second else lambda rows: _passed([r[0] for r in rows], n=[r[1] for r in rows], spans=[r[2] for r in rows], bucket=[0] * len(rows))
+    full = pa.compute.is_valid(table.column("spans"))
+    passed = table.filter(full)
     if passed.num_rows:
-        yield give(passed.column("block").to_pylist(), n=passed.column("n").to_pylist(), spans=passed.column("spans").to_pylist())
-    table = table.filter(pa.compute.is_null(table.column("spans")))
+        yield give([row for row in zip(*(passed.column(c).to_pylist() for c in ("block", "n", "spans")))]).to_batches()[0]
+    table = table.filter(pa.compute.invert(full)).combine_chunks()
     if not table.num_rows:
         return
-    right, left = table.column("right").to_pylist(), table.column("left").to_pylist()
-    doc, block = table.column("doc_id").to_numpy(), table.column("block").to_numpy()
-    starts = [np.frombuffer(v, dtype=np.int64) for v in table.column("starts").to_pylist()]
-    reach = table.column("reach").to_pylist()
-    del table, passed, batches
-    best: dict[tuple, int] = {}
-    for i, pair in enumerate(zip(right, left)):
-        j = best.setdefault(pair, i)
-        if doc[i] < doc[j]:
-            best[pair] = i
-    least_doc = {pair: doc[i] for pair, i in best.items()}
-    gone = [(i, 0, len(r) + len(v)) for i, (r, v) in enumerate(zip(right, left)) if least_doc[r, v] < doc[i]]
-    kept = sorted((i for i, pair in enumerate(zip(right, left)) if least_doc[pair] == doc[i]), key=lambda i: right[i][:GRAM])
-    del best, least_doc
+    # equal contexts: the earliest document keeps one, later documents lose theirs
+    code = pa.compute.binary_join_element_wise(table.column("right"), table.column("left"), b"").combine_chunks().dictionary_encode().indices.to_numpy()
+    _, same = np.unique(code * 4096 + pa.compute.binary_length(table.column("right")).to_numpy(), return_inverse=True)
+    docs = table.column("doc_id").to_numpy()
+    least = np.full(same.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, same, docs)
+    early = docs == least[same]
+    late = np.flatnonzero(~early)
+    sizes = (pa.compute.binary_length(table.column("right")).to_numpy() + pa.compute.binary_length(table.column("left")).to_numpy())[late]
+    block, places = table.column("block").to_numpy(), table.column("starts")
+    gone = [(late, np.zeros(len(late), np.int64), sizes)]
+    mine = np.flatnonzero(early)
+    right, left = (table.column(c).take(pa.array(mine)).to_pylist() for c in ("right", "left"))
+    doc, kept_block, reach = docs[mine].tolist(), block[mine].tolist(), table.column("reach").take(pa.array(mine)).to_pylist()
+    gram = [r[:GRAM] for r in right]
+    kept = sorted(range(len(mine)), key=gram.__getitem__)
     late_windows = set()
     group: list[int] = []
     many = 0
@@ -304,40 +357,62 @@ def _bucket(batches, length, second):
         # all contexts of a leading token together; several tokens at once
         group.append(i)
         many += len(right[i]) + len(left[i]) - length + 1
-        last = k + 1 == len(kept) or right[kept[k + 1]][:GRAM] != right[i][:GRAM]
-        if last and (many >= WINDOWS_AT_ONCE or k + 1 == len(kept)):
-            for i, p in _late(group, right, left, doc, length):
-                gone.append((i, p, p + length))
-                late_windows.add((i, p))
+        if k + 1 == len(kept) or many >= WINDOWS_AT_ONCE and gram[kept[k + 1]] != gram[i]:
+            found = list(_late(group, right, left, doc, length))
+            if found:
+                rows, low = (np.array(c, dtype=np.int64) for c in zip(*found))
+                gone.append((mine[rows], low, low + length))
+                if second:
+                    late_windows.update(found)
             group, many = [], 0
-    if gone:
-        rows, low, high = (np.array(c, dtype=np.int64) for c in zip(*gone))
-        counts = np.array([len(s) for s in starts])[rows]
-        shift = np.concatenate([starts[i] for i in rows.tolist()])
+    rows, low, high = (np.concatenate(c) for c in zip(*gone))
+    if len(rows):
+        raw = places.take(pa.array(rows))
+        counts = pa.compute.binary_length(raw).to_numpy() // 8
+        shift = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.int64)
         rows, low, high = np.repeat(rows, counts), np.repeat(low, counts) + shift, np.repeat(high, counts) + shift
-        out = []
-        for b in np.unique(block[rows]):
-            mine = block[rows] == b
-            out.append((int(b), *_span_row(b, doc[rows[mine]], low[mine], high[mine])))
-        yield give([o[0] for o in out], n=[o[1] for o in out], spans=[o[2] for o in out])
+        order = np.argsort(block[rows], kind="stable")
+        rows, low, high = rows[order], low[order], high[order]
+        cuts = [0, *(np.flatnonzero(np.diff(block[rows])) + 1).tolist(), len(rows)]
+        out = [(int(block[rows[a]]), *_span_row(0, docs[rows[a:b]], low[a:b], high[a:b])) for a, b in zip(cuts, cuts[1:])]
+        yield give(out).to_batches()[0]
     main = left if second else right
     ends = (min(main), max(main))
+    end_grams = {end[:GRAM] for end in ends}
     out = []
     for i in kept:
-        shared = max(_common(main[i], end) for end in ends)
         before = len(left[i])
         if not second:
-            # the first window has the fewest bytes after the anchor
-            if length - before <= shared:
-                out.append((right[i], left[i], int(doc[i]), starts[i].tobytes(), shared, int(block[i])))
+            # the first window has the fewest bytes after the anchor, GRAM at least
+            if gram[i] in end_grams and length - before <= (shared := max(_common(right[i], end) for end in ends)):
+                out.append((right[i], left[i], doc[i], places[mine[i]].as_py(), shared, kept_block[i]))
             continue
+        shared = max(_common(main[i], end) for end in ends)
         text = left[i][::-1] + right[i]
         for p in range(len(text) - length + 1):
             if length - (before - p) <= reach[i] and before - p <= shared and (i, p) not in late_windows:
-                out += [(int(block[i]), text[p:p + length], int(doc[i]), int(s) + p) for s in starts[i]]
-    for k in range(0, len(out), 10_000):
-        part = list(zip(*out[k:k + 10_000]))
-        yield _found(*part) if second else _passed(part[5], *part[:5])
+                out.append((i, p, xxhash.xxh3_128_intdigest(text[p:p + length])))
+    if not second:
+        for k in range(0, len(out), 10_000):
+            part = list(zip(*out[k:k + 10_000]))
+            yield _passed(part[5], *part[:5], bucket=[0] * len(part[5])).to_batches()[0]
+    elif out:
+        yield _packed_windows(out, [np.frombuffer(places[mine[i]].as_py(), dtype=np.int64) for i, _, _ in out], doc, kept_block, ranges).to_batches()[0]
+
+
+def _packed_windows(windows, starts, doc, block, ranges):
+    """Rows (range of hashes, n, packed windows) of boundary windows (context, place, hash)."""
+    counts = [len(s) for s in starts]
+    hashes = np.array([[h >> 64, h & 0xFFFFFFFFFFFFFFFF] for _, _, h in windows], dtype=U64).repeat(counts, axis=0)
+    owner = np.repeat(np.array([doc[i] for i, _, _ in windows], dtype=np.int64), counts)
+    home = np.repeat(np.array([block[i] for i, _, _ in windows], dtype=np.int64), counts)
+    start = np.concatenate(starts) + np.repeat(np.array([p for _, p, _ in windows], dtype=np.int64), counts)
+    order = np.argsort(hashes[:, 0], kind="stable")
+    h1, h2, owner, home, start = hashes[order, 0], hashes[order, 1], owner[order], home[order], start[order]
+    part = ((h1 >> U64(40)) * U64(ranges)) >> U64(24)
+    cuts = np.searchsorted(part, np.arange(ranges + 1, dtype=U64))
+    rows = [(r, int(b - a), None, pack(h1[a:b], h2[a:b], owner[a:b], home[a:b], start[a:b])) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    return _found(rows)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -357,7 +432,7 @@ def _late(group, right, left, doc, length):
     many = sizes - length + 1
     of = np.repeat(np.arange(len(group)), many)
     place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    owner = doc[np.array(group)][of]
+    owner = np.array([doc[i] for i in group])[of]
     flat = np.frombuffer(b"".join(texts) + bytes(8), dtype=np.uint8)
     members, first = equal_runs(leading_words(flat), begins[of] + place, length)
     if len(members):
@@ -366,20 +441,21 @@ def _late(group, right, left, doc, length):
             yield group[of[m]], int(place[m])
 
 
+_SCHEMA = pa.schema([("block", pa.int32()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("starts", pa.binary()),
+                     ("reach", pa.int32()), ("n", pa.int32()), ("spans", pa.binary()), ("bucket", pa.int32())])
+
+
 def _shipped(block, rows):
-    columns = list(zip(*rows)) if rows else [()] * 6
-    return _passed([block] * len(columns[0]), *columns[:4], None, *columns[4:], table=True)
+    columns = list(zip(*rows)) if rows else [()] * 7
+    return _passed([block] * len(columns[0]), *columns[:4], None, *columns[4:])
 
 
-def _passed(block, right=None, left=None, doc_id=None, starts=None, reach=None, n=None, spans=None, table=False):
-    columns = ((block, pa.int32()), (right, pa.binary()), (left, pa.binary()), (doc_id, pa.int64()), (starts, pa.binary()), (reach, pa.int32()), (n, pa.int32()), (spans, pa.binary()))
-    made = pa.record_batch([pa.nulls(len(block), t) if c is None else pa.array(list(c), t) for c, t in columns],
-                           names=["block", "right", "left", "doc_id", "starts", "reach", "n", "spans"])
-    return pa.Table.from_batches([made]) if table else made
+def _passed(block, right=None, left=None, doc_id=None, starts=None, reach=None, n=None, spans=None, bucket=None):
+    columns = (block, right, left, doc_id, starts, reach, n, spans, bucket)
+    return pa.table([pa.nulls(len(block), f.type) if c is None else pa.array(list(c), f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
 
-def _found(block, window=None, doc_id=None, start=None, n=None, spans=None):
-    many = len(block)
-    columns = ((block, pa.int32()), (window, pa.binary()), (doc_id, pa.int64()), (start, pa.int64()), (n, pa.int32()), (spans, pa.binary()))
-    return pa.record_batch([pa.nulls(many, t) if c is None else pa.array(list(c), t) for c, t in columns],
-                           names=["block", "window", "doc_id", "start", "n", "spans"])
+def _found(rows):
+    """Rows (block, n, spans) or (range, n, None, windows)."""
+    columns = list(zip(*((*r, None)[:4] for r in rows))) if rows else [()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "n", "spans", "windows"])
