@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editwarden.llm.blocks import KEY_BITS, PACKED, in_blocks, is_in, later_keys, packed_keys, received, shared_keys, table_batches
-from editwarden.llm.frames import parts, ready
+from editwarden.llm.frames import parts, ready, words
 from editwarden.llm.texts import U64, batch_bytes, sequence_hashes, span_hashes, word_bounds
 
 WINDOW = 50
@@ -137,8 +137,11 @@ def without_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFram
             at += len(starts)
         return pa.concat_tables(out) if out else _RESULT.empty_table()
 
-    return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
+    out = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
         remove, "doc_id long, n_words long, n_removed long, text string, spans array<struct<first:long,last:long>>")
+    mine = words(F.col("text"))
+    return out.union(docs.where("doc_id IS NULL").select(
+        F.lit(None).cast("long"), F.size(mine).cast("long"), F.lit(0).cast("long"), F.array_join(mine, " "), F.array().cast(out.schema["spans"].dataType)))
 
 
 _RESULT = pa.schema([
