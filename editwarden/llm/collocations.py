@@ -210,8 +210,8 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
     dealt = docs.select(shard.alias("shard"), F.coalesce("lang", F.lit("und")).alias("lang"), "text").repartition(tasks, "shard")
     sent = dealt.groupBy("shard").applyInArrow(lambda k, t: _bigrams(k[0].as_py(), t), "key long, shard int, n long").repartition(tasks, "key")
-    frequent = sent.groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least).select("key")
-    answers = sent.join(frequent, "key", "left_semi").select("shard", "key")
+    # a key has at most one row per shard
+    answers = sent.withColumn("f", F.sum("n").over(Window.partitionBy("key"))).where(F.col("f") >= least).select("shard", "key")
 
     def work(key, table, told):
         return _phrases(table, told.column("key").to_numpy(), longest)
