@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.features import ADDED, HAD, HAS, MODIFIED, N_TAGS, REMOVED, SAME
 from checks.fixtures import CHANGESETS, EDITS, edits, evaluations, full_changesets, table, with_
-from checks.joins import placed
+from checks.joins import PLACED, placed
 from checks.registry import check
 from editwarden.functions import places
 from editwarden.functions.tags import KEY_TAGS
@@ -13,7 +13,9 @@ from editwarden.operators.aggregates import importance_report
 from editwarden.operators.metrics import evaluate
 from editwarden.operators.rows import flag
 from editwarden.operators.sampling import meta_split
+from editwarden.session import scratch_path
 from editwarden.plans.features import FeatureSettings, build_features, changeset_features
+from editwarden.plans.region_fits import fit_combinations
 from editwarden.plans.training import TrainSettings, ablate, stack_run, train_run
 
 E = with_(EDITS)
@@ -266,3 +268,30 @@ def _(spark, sf):
 @check("D14_ablate")
 def _(spark, sf):
     return ablate(split_rows(spark, sf), FEATURES, TREES | {"n_estimators": 3}, 2)
+
+
+FOUR = ["Africa", "Asia", "Europe", "North America"]
+GROUPS = "(SELECT [c] AS g FROM names UNION ALL SELECT list_sort([a.c, b.c]) FROM names a JOIN names b ON a.c < b.c)"
+LARGE_SQL = "CASE WHEN h % 20 = 0 THEN (l_quantity <= 25)::INTEGER ELSE (l_quantity > 25)::INTEGER END"
+
+
+@check("V16_region_fits", with_(EDITS, PLACED) + f"""
+, names AS (SELECT unnest({FOUR}) AS c), pick AS {GROUPS},
+triples AS (SELECT t.g AS t, v.g AS v, (SELECT list_sort(list(c)) FROM names WHERE NOT list_contains(t.g, c) AND NOT list_contains(v.g, c)) AS s
+  FROM pick t JOIN pick v ON NOT list_has_any(t.g, v.g)),
+sets AS (SELECT ck, list(continent) AS r, any_value({LARGE_SQL}) AS label FROM placed GROUP BY 1),
+kinds AS (SELECT list_sort(list_distinct(r)) AS r, count(*) AS n, sum(label) AS bad FROM sets GROUP BY 1)
+SELECT array_to_string(t, ',') AS train_regions, array_to_string(v, ',') AS val_regions, array_to_string(s, ',') AS test_regions,
+  coalesce(sum(n) FILTER (list_has_any(t, r)), 0)::BIGINT AS n_train, coalesce(sum(n) FILTER (list_has_any(v, r)), 0)::BIGINT AS n_val,
+  coalesce(sum(n) FILTER (list_has_any(s, r)), 0)::BIGINT AS n_test, coalesce(sum(n) FILTER (list_has_any(s, r)), 0)::BIGINT AS predicted,
+  coalesce(sum(bad) FILTER (list_has_any(s, r)), 0)::BIGINT AS positives, true AS better_than_chance
+FROM triples, kinds WHERE len(s) BETWEEN 1 AND 2 GROUP BY t, v, s""")
+def _(spark, sf):
+    """A model for each of the 36 ways to give four continents to three groups of one or two."""
+    large = (F.col("l_quantity") > 25).cast("int")
+    rows = placed(spark, sf).withColumn("label", F.when(F.col("h") % 20 == 0, 1 - large).otherwise(large))
+    out = fit_combinations(rows, FEATURES, {"n_estimators": 2, "max_depth": 2}, scratch_path(spark, "region-fits"), "label", "continents", FOUR, 1, 2)
+    names = ("train_regions", "val_regions", "test_regions")
+    return out.select(*[F.array_join(F.sort_array(c), ",").alias(c) for c in names], "n_train", "n_val", "n_test",
+                      (F.col("TN") + F.col("FP") + F.col("FN") + F.col("TP")).alias("predicted"), (F.col("FN") + F.col("TP")).alias("positives"),
+                      (F.col("accuracy") > 0.5).alias("better_than_chance"))

@@ -77,6 +77,16 @@ def _inputs(features: Sequence[str]) -> list:
             VectorAssembler(inputCols=numbers, outputCol="_features", handleInvalid="keep")]
 
 
+def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The rows with their feature columns as one vector ``_features``."""
+    return PipelineModel(_inputs(features)).transform(df)
+
+
+def fit_trees(rows: DataFrame, params: Mapping, label: str = "label"):
+    """Boosted trees on rows with ``_features``; where there is a column ``_validate``, its rows stop the training early."""
+    return _trees(params, label, validate="_validate" in rows.columns).fit(_weighted(rows, label, params))
+
+
 def _weighted(df: DataFrame, label: str, params: Mapping) -> DataFrame:
     weight = float(params.get("scale_pos_weight", 1))
     return df.withColumn("_weight", F.when(F.col(label) == 1, F.lit(weight)).otherwise(F.lit(1.0)))
@@ -205,12 +215,15 @@ def cross_validate(df: DataFrame, features: Sequence[str], params: Mapping, key:
 def importances(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
     """Per feature: number of splits (``weight``), their gain and the rows they divide, average and total.
 
-    The splits are read from the saved node table."""
+    The gain of a split is its gain per row times the rows of the node times the weight of the tree, so a split near the root counts for
+    all the rows it divides. The splits are read from the saved node table."""
     path = scratch_path(spark, "trees")
     model.stages[-1].write().save(path)
-    node = spark.read.parquet(os.path.join(path, "data")).select("nodeData.*").where("leftChild >= 0")
+    trees = spark.read.parquet(os.path.join(path, "treesMetadata")).toDF("treeID", "metadata", "weights")
+    node = spark.read.parquet(os.path.join(path, "data")).select("treeID", "nodeData.*").where("leftChild >= 0").join(trees, "treeID")
+    gain = F.col("gain") * F.col("rawCount") * F.col("weights")
     splits = node.groupBy(F.col("split.featureIndex").alias("_i")).agg(
-        F.avg("gain").alias("gain"), F.sum("gain").alias("total_gain"), F.count(F.lit(1)).cast("double").alias("weight"),
+        F.avg(gain).alias("gain"), F.sum(gain).alias("total_gain"), F.count(F.lit(1)).cast("double").alias("weight"),
         F.avg("rawCount").cast("double").alias("cover"), F.sum("rawCount").cast("double").alias("total_cover"))
     names = spark.createDataFrame(list(enumerate(features)), "_i int, feature string")
     found = names.join(splits, "_i", "left")

@@ -148,7 +148,7 @@ def ablate(df: DataFrame, features: Sequence[str], params: Mapping, steps: int,
         line = evaluate(scored, ()).withColumns({"step": F.lit(step), "features": F.lit(len(left))})
         out = line if out is None else out.unionByName(line)
         if step < steps:
-            top = importances(model, left, df.sparkSession).orderBy(F.desc("gain"), "feature").first()["feature"]
+            top = importances(model, left, df.sparkSession).orderBy(F.desc("total_gain"), "feature").first()["feature"]
             left.remove(top)
     return out
 

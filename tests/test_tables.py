@@ -54,12 +54,24 @@ def test_encoder_is_frozen(spark):
     assert set(got[1].values()) == {0}
 
 
-def test_vocabulary_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(encoders, "MAX_COLUMNS", 3)
-    df = spark.range(10).select(F.col("id").cast("string").alias("osm_type"))
-    with pytest.raises(ValueError, match="onehot_sparse"):
-        encoders.fit_vocabulary(df, "osm_type")
-    assert encoders.onehot_sparse(df, "osm_type").count() == 10
+def test_a_large_vocabulary_is_kept_in_a_table(spark, tmp_path):
+    """20,000 values with dots and spaces: numbered, saved, loaded, scored; values not seen share the last place."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from checks.learning import place_of
+    df = spark.range(20_000).select(F.concat(F.lit("v 1."), F.col("id").cast("string")).alias("created.by"), (F.col("id") % 2).cast("double").alias("label"))
+    fitted = encoders.SparseVocabulary.fit(df, "created.by")
+    assert fitted.size == 20_000
+    fitted.save(str(tmp_path / "v"))
+    loaded = encoders.SparseVocabulary.load(spark, "created.by", str(tmp_path / "v"))
+    new = df.union(spark.createDataFrame([("unseen", 0.0), (None, 0.0)], "v string, label double"))
+    places = loaded.transform(new, "vec").select("`created.by`", place_of("vec").alias("i")).collect()
+    assert sorted(r["i"] for r in places) == [*range(20_001), 20_000]
+    same = {r["created.by"]: r["i"] for r in fitted.transform(df, "vec").select("`created.by`", place_of("vec").alias("i")).collect()}
+    assert all(same[r["created.by"]] == r["i"] for r in places if r["created.by"] in same)
+    rows = loaded.transform(df, "vec").select("vec", "label")
+    model = LogisticRegression(featuresCol="vec", maxIter=5).fit(rows)
+    assert model.transform(rows).where("prediction = label").count() == 20_000
 
 
 def test_align_columns(spark):
