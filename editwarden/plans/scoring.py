@@ -6,7 +6,7 @@ import os
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editwarden.functions.times import month_label
@@ -16,7 +16,8 @@ from editwarden.operators.encoders import EditEncoder
 from editwarden.operators.models import load_model, save_model, score
 from editwarden.operators.rows import FLAGGED_COLUMNS, align_columns, flag
 from editwarden.operators.tables import upsert_summary
-from editwarden.plans.features import FeatureSettings, build_features, path_exists
+from editwarden.plans.features import FeatureSettings, build_features
+from editwarden.plans.ledger import folders, remove
 from editwarden.sources.writers import write_flagged, write_table
 
 CARRIED = ("contribution_key", "osm_id", "date_created")
@@ -81,8 +82,51 @@ def merge_summary(new: DataFrame, path: str) -> None:
     new.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
-def stored_summary(spark, path: str, new: DataFrame, mode: str) -> DataFrame:
-    """The stored summary with a run merged in, or the run alone when nothing is stored."""
-    if not path_exists(spark, os.path.join(path, "_SUCCESS")):
-        return new
-    return upsert_summary(spark.read.parquet(path), new, mode)
+class SummaryStore:
+    """A stored month summary to which each run is added once.
+
+    Every addition writes a new generation: the summary and the names of the runs in it, the latter last and in one job. The newest whole
+    generation counts, so a run that dies half-way changes nothing, and a repeated run finds its name and adds nothing. One writer at a
+    time; older generations go, but for the last one, which a reader may still hold."""
+
+    RUNS = "run string, added timestamp"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _numbers(self) -> list[int]:
+        """Whole generations: those whose list of runs is finished."""
+        names = folders(self.spark, os.path.join(self.path, "runs"))
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith("generation="))
+
+    def _folder(self, what: str, number: int) -> str:
+        return os.path.join(self.path, what, f"generation={number}")
+
+    def runs(self) -> set[str]:
+        numbers = self._numbers()
+        if not numbers:
+            return set()
+        return {r["run"] for r in self.spark.read.schema(self.RUNS).parquet(self._folder("runs", numbers[-1])).collect()}  # one row per run
+
+    def read(self) -> DataFrame | None:
+        """The summary after all runs, or None before the first."""
+        numbers = self._numbers()
+        return self.spark.read.parquet(self._folder("summary", numbers[-1])) if numbers else None
+
+    def add(self, run: str, new: DataFrame, mode: str = "add") -> DataFrame:
+        """The summary with this run merged in (counts added, or its months replaced); a run that was added before changes nothing."""
+        numbers, old, runs = self._numbers(), self.read(), self.runs()
+        if run in runs:
+            return old
+        number = (numbers[-1] if numbers else 0) + 1
+        merged = upsert_summary(new.limit(0) if old is None else old, new.withColumn("updated_at", F.current_timestamp()), mode)
+        for what, table in (("summary", merged), ("runs", self._named({*runs, run}))):
+            table.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self._folder(what, number))
+        for past in numbers[:-1]:
+            # first what makes the generation count, then what it holds
+            remove(self.spark, self._folder("runs", past))
+            remove(self.spark, self._folder("summary", past))
+        return self.read()
+
+    def _named(self, runs: set[str]) -> DataFrame:
+        return self.spark.createDataFrame([(r,) for r in sorted(runs)], "run string").withColumn("added", F.current_timestamp())
