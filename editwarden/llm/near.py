@@ -9,6 +9,9 @@ known to be connected already are finished, as no pair of them can change a comp
 LEVELS branchings is compared exhaustively in blocks, so no link is dropped for size. A pair at 0.8 whose nodes stay large through all
 levels is missed with probability 0.247 ** 10 = 1e-6. Links are confirmed on the full shingle sets, in integers.
 
+Members of large nodes carry the number of their shingles that no other such member has. This bounds what two of them can share: pairs and
+members that cannot reach the threshold leave, though their minwise values are alike. The member with the fewest such shingles is the pivot.
+
 Each level is three written tables (nodes, pairs, links); links of a task are reduced to a spanning forest before they are
 written. Between levels labels follow two steps along the links, which leaves work over but no link out; only before the exhaustive
 end and for the result are components followed until nothing changes.
@@ -35,6 +38,8 @@ LEVELS = 3
 SIGNATURE = 3 * TREES  # minwise values kept per class: a root for each tree, all of them to see whether a pair can link
 BRANCHES = TREES * LEVELS * CHILDREN  # further ones of the members of large nodes: each tree and level has its own
 HASH_BYTES = 6  # of a shingle when sets are compared
+BLOCK = 256  # members compared at once at the exhaustive end
+SIZE_BINS = 1.05  # ratio of neighbouring classes of set sizes
 
 
 def shingle_sets(data, offsets, shingle):
@@ -163,20 +168,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
+def unique_shingles(sets: DataFrame) -> DataFrame:
+    """(doc_id, unique): how many shingles of a document no other of these documents has; documents without one are left out."""
+    def work(batches):
+        for batch in batches:
+            for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("elements")):
+                values = _elements(blob.as_buffer()).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(values), doc, np.int64)), pa.array(values)], names=["doc_id", "shingle"])
+
+    each = sets.select("doc_id", "elements").mapInArrow(work, "doc_id long, shingle long")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    return alone.groupBy("doc_id").agg(F.count("*").alias("unique"))
+
+
 def _can_link(p, q, percent):
-    """Whether two members (doc_id, label, n_shingles, sig) can link: other labels, sizes alike, more than a quarter of the minwise values alike.
+    """Whether two members (doc_id, label, n_shingles, unique, sig) can link: other labels, enough shingles that others have, too,
+    sizes alike, more than a quarter of the minwise values alike.
 
     Of SIGNATURE values a pair at 0.8 shares a quarter or less with probability below 1e-12."""
+    most = F.least(*[m["n_shingles"] - m["unique"] for m in (p, q)], p["n_shingles"], q["n_shingles"])
+    reach = 100 * most >= percent * (p["n_shingles"] + q["n_shingles"] - most)
     alike = F.aggregate(F.zip_with(p["sig"], q["sig"], lambda v, w: (v == w).cast("int")), F.lit(0), lambda s, v: s + v)
-    sizes = 100 * F.least(p["n_shingles"], q["n_shingles"]) >= percent * F.greatest(p["n_shingles"], q["n_shingles"])
-    return (p["label"] != q["label"]) & sizes & (4 * alike > SIGNATURE)
+    return (p["label"] != q["label"]) & reach & (4 * alike > SIGNATURE)
+
+
+def _size_class(size):
+    return F.floor(F.log(size.cast("double")) / float(np.log(SIZE_BINS))).cast("int")
+
+
+def _that_can_link(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, tree, m) without members that no member of their node is of the right size to link with.
+
+    With at most ``most`` shingles shared, the other set has from percent * n / 100 to most + 100 * most / percent - n shingles.
+    Sizes of a node are kept as classes, some hundred at most."""
+    sizes = rows.groupBy("key").agg(F.collect_set(_size_class(F.col("m.n_shingles"))).alias("classes"))
+    n, most = F.col("m.n_shingles"), F.col("m.n_shingles") - F.col("m.unique")
+    low = _size_class(F.greatest(n * percent / 100, F.lit(1)))
+    high = _size_class(F.greatest(most + most * 100 / percent - n, F.lit(1)) + 1e-6)
+    return rows.join(sizes, "key").where(F.exists("classes", lambda c: (c >= low) & (c <= high))).drop("classes")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
     """Rows (key, tree, m) of nodes whose members are not known to be connected, with the node's size and pivot."""
     sizes = rows.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("m.label").alias("l1"), F.max("m.label").alias("l2"), F.min("m").alias("pivot")
-    ).where("l1 <> l2").select("key", "size", "pivot")  # a key belongs to one tree
+        F.count("*").alias("size"), F.min("m.label").alias("l1"), F.max("m.label").alias("l2"), F.min(F.struct("m.unique", "m")).alias("best")
+    ).where("l1 <> l2").select("key", "size", F.col("best.m").alias("pivot"))  # a key belongs to one tree
     return rows.join(sizes, "key")
 
 
@@ -186,17 +222,21 @@ def _pairs(nodes: DataFrame, percent: int) -> DataFrame:
     left = groups.select("ms", F.posexplode("ms").alias("i", "p"))
     both = left.select("p", F.explode(F.slice("ms", F.col("i") + 2, SMALL)).alias("q"))
     star = nodes.where(F.col("size") > SMALL).select(F.col("pivot").alias("p"), F.col("m").alias("q"))
-    return both.union(star).where(_can_link(F.col("p"), F.col("q"), percent)).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
+    return _ordered(both.union(star).where(_can_link(F.col("p"), F.col("q"), percent)))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    a, b = F.col("p.doc_id"), F.col("q.doc_id")
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def _blocks(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the nodes that stay large, in blocks of about SMALL members: the exhaustive end."""
-    rows = nodes.withColumn("blocks", F.ceil(F.col("size") / SMALL).cast("long")).withColumn(
+    """Pairs of the nodes that stay large, in blocks of about BLOCK members: the exhaustive end."""
+    rows = nodes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long")).withColumn(
         "block", F.pmod(F.xxhash64("m.doc_id"), F.col("blocks")))
     a = rows.select("key", "block", F.col("m").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     b = rows.select("key", F.col("block").alias("other"), F.col("m").alias("q"))
-    both = a.join(b, ["key", "other"]).where(F.col("p.doc_id") < F.col("q.doc_id")).where(_can_link(F.col("p"), F.col("q"), percent))
-    return both.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
+    return _ordered(a.join(b, ["key", "other"]).where(F.col("p.doc_id") < F.col("q.doc_id")).where(_can_link(F.col("p"), F.col("q"), percent)))
 
 
 def _followed(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -235,8 +275,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = stored(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*named).agg(F.min(F.struct("doc_id", "sig")).alias("c")).select(
         F.col("c.doc_id").alias("doc_id"), *named, F.col("c.sig").alias("sig")), "classes")
 
-    member = F.struct("doc_id", "label", "n_shingles", "sig").alias("m")
-    rows = classes.withColumn("label", F.col("doc_id")).select(member, F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "v")).select(
+    member = F.struct("doc_id", "label", "n_shingles", "unique", "sig").alias("m")
+    rows = classes.withColumns({"label": F.col("doc_id"), "unique": F.lit(0).cast("long")}).select(member, F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "v")).select(
         F.xxhash64("tree", "v").alias("key"), "tree", "m")
     links, sets = None, None
     for level in range(LEVELS + 1):
@@ -251,16 +291,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         links = new if links is None else links.union(new)
         if large.isEmpty():
             break
+        if level == 0:
+            pool = large.select("m.doc_id").distinct()
+            unique = stored(unique_shingles(sets.select("doc_id", "elements").join(pool, "doc_id", "left_semi")), "unique")
         at_end = level == LEVELS
         labels = components(links) if at_end else _first_labels(_both_ways(links)).withColumnRenamed("a", "doc_id")
         labels = labels.toDF("doc_id", "found")
-        members = large.select("key", "tree", "m.doc_id", "m.n_shingles", "m.sig").join(labels, "doc_id", "left").withColumn("label", F.coalesce("found", "doc_id"))
+        members = large.select("key", "tree", "m.doc_id", "m.n_shingles", "m.sig").join(labels, "doc_id", "left").join(unique, "doc_id", "left").withColumns(
+            {"label": F.coalesce("found", "doc_id"), "unique": F.coalesce("unique", F.lit(0).cast("long"))})
         if at_end:
-            links = links.union(stored(confirmed(_blocks(_sized(members.select("key", "tree", member)), percent), sets, percent), "links"))
+            links = links.union(stored(confirmed(_blocks(_sized(_that_can_link(members.select("key", "tree", member), percent)), percent), sets, percent), "links"))
             break
         place = (F.col("tree") * LEVELS + level) * CHILDREN
-        rows = members.join(sets.select("doc_id", "branches"), "doc_id").select(
-            F.col("key").alias("parent"), "tree", member, F.posexplode(F.array(*[F.get("branches", place + c) for c in range(CHILDREN)])).alias("child", "v")).select(
+        rows = _that_can_link(members.select("key", "tree", member), percent).withColumn("doc_id", F.col("m.doc_id"))
+        rows = rows.join(sets.select("doc_id", "branches"), "doc_id").select(
+            F.col("key").alias("parent"), "tree", "m", F.posexplode(F.array(*[F.get("branches", place + c) for c in range(CHILDREN)])).alias("child", "v")).select(
             F.xxhash64("parent", "child", "v").alias("key"), "tree", "m")
     labels = components(links)
     of_class = classes.select("doc_id", *named).join(labels, "doc_id", "left").select(*named, F.coalesce("component_id", "doc_id").alias("component_id"))
