@@ -40,7 +40,8 @@ from editwarden.llm.texts import U64, batch_bytes, merged, mix, pack, unpack
 
 LENGTH = 50
 GRAM = 24
-PIECE = 1 << 19  # windows handled at once
+PIECE = 1 << 17  # windows handled at once
+AT_ONCE = 1 << 20  # bytes of a slice of a block
 SAMPLE_DOCS = 2000
 SAMPLE_CONTEXTS = 50
 _PLACE_BITS = 24
@@ -177,7 +178,7 @@ def _splitters(docs: DataFrame, length: int, buckets: int) -> list:
 
     def work(batches):
         for batch in batches:
-            for part in table_batches(pa.Table.from_batches([batch])):
+            for part in table_batches(pa.Table.from_batches([batch]), AT_ONCE):
                 found = _Slice(part, length)
                 order = np.lexsort((found.key, found.row))
                 row = found.row[order]
@@ -203,14 +204,14 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame
     dealt = in_blocks(docs)
 
     def anchor_keys(key, table):
-        found = [_Slice(part, length).key for part in table_batches(table)]
+        found = [_Slice(part, length).key for part in table_batches(table, AT_ONCE)]
         return packed_keys(key[0].as_py(), np.unique(np.concatenate(found)) if found else np.zeros(0, U64), key_buckets)
 
     known = shared_keys(dealt.groupBy("block").applyInArrow(anchor_keys, PACKED))
 
     def contexts(key, table, answers):
         block, known = key[0].as_py(), received(answers)
-        slices = [_Slice(part, length) for part in table_batches(table)]
+        slices = [_Slice(part, length) for part in table_batches(table, AT_ONCE)]
         keys = np.concatenate([s.key for s in slices]) if slices else np.zeros(0, U64)
         owner = np.concatenate([s.doc[s.row] for s in slices]) if slices else np.zeros(0, np.int64)
         order = np.lexsort((owner, keys))
