@@ -9,8 +9,9 @@ import warnings
 from collections.abc import Mapping, Sequence
 from itertools import product
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -116,27 +117,86 @@ def score(df: DataFrame, model: PipelineModel, out: str = "y_prob") -> DataFrame
     return scored.withColumn(out, vector_to_array("probability")[1]).drop(*added)
 
 
-def training_curve(model: PipelineModel, df: DataFrame, label: str = "label", limit: int | None = HOT_ROWS) -> DataFrame:
-    """Log loss, error, accuracy and AUC after each round, from one pass over the rows."""
+def _signatures(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
+    """(y_true, margins, weight): the rows counted by the leaves they fall into; ``margins`` is the sum after each round.
+
+    Every round of every row follows from its leaves, so all that comes after works on one row per combination of leaves."""
     trees = model.stages[-1]
     rows = PipelineModel(model.stages[:-1]).transform(df).select("_features", F.col(label).alias("y_true"))
-    names = []
-    for i, tree in enumerate(trees.trees):
+    parts = []
+    for i, (tree, weight) in enumerate(zip(trees.trees, trees.treeWeights)):
         tree.setFeaturesCol("_features").setPredictionCol(f"_t{i}")
         rows = tree.transform(rows)
-        names.append(f"_t{i}")
-    margin, steps = F.lit(0.0), []
-    for i, (name, weight) in enumerate(zip(names, trees.treeWeights)):
-        margin = margin + F.col(name) * F.lit(float(weight))
-        steps.append(F.struct(F.lit(i).alias("round"), (1 / (1 + F.exp(-2 * margin))).alias("y_prob")))
-    # two aggregates read these rows; the trees are walked once
-    long = settle(rows.select("y_true", F.explode(F.array(*steps)).alias("_s")).select("y_true", "_s.*"))
+        parts.append(F.col(f"_t{i}") * F.lit(float(weight)))
+    counted = rows.groupBy("y_true", F.array(*parts).alias("_parts")).agg(F.count(F.lit(1)).alias("weight"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
+    added = F.aggregate("_parts", start, lambda s, v: F.struct((s["sum"] + v).alias("sum"), F.array_append(s["all"], s["sum"] + v).alias("all")))
+    # aggregates of several kinds read these rows; the trees are walked once
+    return settle(counted.select("y_true", added["all"].alias("margins"), "weight"))
+
+
+def _rounds(signatures: DataFrame) -> DataFrame:
+    probability = 1 / (1 + F.exp(-2 * F.col("_m")))
+    return signatures.select("y_true", "weight", F.posexplode("margins").alias("round", "_m")).select("round", "y_true", probability.alias("y_prob"), "weight")
+
+
+def _losses(long: DataFrame) -> DataFrame:
     p = F.least(F.greatest(F.col("y_prob"), F.lit(1e-15)), F.lit(1 - 1e-15))
     loss = -F.when(F.col("y_true") == 1, F.log(p)).otherwise(F.log(1 - p))
     wrong = ((F.col("y_prob") >= 0.5).cast("int") != F.col("y_true")).cast("double")
-    points = long.groupBy("round").agg(F.avg(loss).alias("logloss"), F.avg(wrong).alias("error"))
-    curve = areas(long, ["round"], limit=limit).select(F.col("round").alias("_r"), F.col("auc_roc").alias("auc"))
-    return points.join(curve, F.col("round") == F.col("_r")).drop("_r").withColumn("accuracy", 1 - F.col("error"))
+    total = F.sum("weight")
+    return long.groupBy("round").agg((F.sum(loss * F.col("weight")) / total).alias("logloss"), (F.sum(wrong * F.col("weight")) / total).alias("error"))
+
+
+def training_curve(model: PipelineModel, df: DataFrame, label: str = "label", limit: int | None = HOT_ROWS) -> DataFrame:
+    """Log loss, error, accuracy and AUC after each round, from one pass over the rows."""
+    long = _rounds(_signatures(model, df, label))
+    curve = areas(long, ["round"], F.col("weight"), limit).select(F.col("round").alias("_r"), F.col("auc_roc").alias("auc"))
+    return _losses(long).join(curve, F.col("round") == F.col("_r")).drop("_r").withColumn("accuracy", 1 - F.col("error"))
+
+
+def patient_round(losses: Sequence[float], patience: int) -> int:
+    """The round (from 0) with the least loss among those seen before ``patience`` rounds in a row brought nothing better."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best
+
+
+def cut_rounds(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The model of the first ``rounds`` trees."""
+    trees = model.stages[-1]
+    context = SparkContext._active_spark_context
+    ml = context._jvm.org.apache.spark.ml
+    all_trees = trees._java_obj.trees()
+    some = context._gateway.new_array(ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = context._gateway.new_array(context._jvm.double, rounds)
+    for i in range(rounds):
+        some[i], weights[i] = all_trees[i], float(trees.treeWeights[i])
+    made = ml.classification.GBTClassificationModel(trees.uid, some, weights, trees.numFeatures, 2)
+    trees._java_obj.copyValues(made, ml.param.ParamMap())
+    return PipelineModel([*model.stages[:-1], GBTClassificationModel(made)])
+
+
+def fit_patient(
+    df: DataFrame, features: Sequence[str], params: Mapping, label: str = "label", split: str = "split", patience: int = 20,
+) -> tuple[PipelineModel, DataFrame]:
+    """(model, losses): trees learnt from the rows named train and cut to the best round on the rows named val.
+
+    Boosting is additive, so the model after any round is a prefix of the full one: the losses of all prefixes come from one pass over
+    the validation rows, and rounds are taken until ``patience`` of them in a row bring no lower log loss. Without validation rows
+    all rounds stay and the table of losses is empty."""
+    rows = assembled(df.where(F.col(split).isin("train", "val")), features).select("_features", label, split)
+    model = PipelineModel([*_inputs(features), fit_trees(rows.where(F.col(split) == "train").drop(split), params, label)])
+    held = PipelineModel(model.stages[-1:])
+    losses = settle(_losses(_rounds(_signatures(held, rows.where(F.col(split) == "val"), label))))
+    found = {r["round"]: r["logloss"] for r in losses.collect()}  # one row per round
+    if found:
+        model = cut_rounds(model, patient_round([found[i] for i in sorted(found)], patience) + 1)
+    return model, losses
 
 
 def draw_parameters(grid: Mapping[str, Sequence] = SEARCH_GRID, n: int = 50, seed: int = SEED) -> list[dict]:

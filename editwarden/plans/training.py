@@ -15,7 +15,7 @@ from editwarden.operators.encoders import EditEncoder
 from editwarden.operators.joins import require_ids, require_same_labels, split_like, stack_inputs
 from editwarden.operators.metrics import best_threshold, compare_models, evaluate
 from editwarden.operators.models import (
-    PROFILE_FEATURES, cross_validate, fit_hyper, fit_meta, fit_model, importances, score, training_curve,
+    PROFILE_FEATURES, cross_validate, fit_hyper, fit_meta, fit_model, fit_patient, importances, score, training_curve,
 )
 from editwarden.operators.rows import flag
 from editwarden.operators.sampling import geographic_split, realistic_split, temporal_split
@@ -48,6 +48,7 @@ class TrainSettings:
     region_column: str = "continents"
     clusters: int = N_CLUSTERS
     params: Mapping = field(default_factory=lambda: BEST_PARAMETERS)
+    patience: int = 20  # rounds without a lower validation loss after which no further round counts
     use_changeset_id: bool = False
     features: FeatureSettings = field(default_factory=FeatureSettings)
 
@@ -90,7 +91,7 @@ def train_run(edits: DataFrame, settings: TrainSettings = TrainSettings()) -> Tr
     encoded = assign_clusters(encoded, centers)
     left_out = [label] if settings.use_changeset_id else [label, "changeset_id"]
     columns = numeric_columns(encoded, exclude=left_out)
-    model = fit_model(encoded, columns, settings.params, label, split="_keep_split")
+    model, _ = fit_patient(encoded, columns, settings.params, label, "_keep_split", settings.patience)
     scored = score(encoded, model)
     threshold = best_threshold(
         scored.where("_keep_split = 'val'").select(F.col(label).alias("y_true"), "y_prob")).first()["threshold"]
