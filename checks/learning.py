@@ -16,6 +16,7 @@ from editwarden.operators.sampling import meta_split
 from editwarden.session import scratch_path
 from editwarden.plans.features import FeatureSettings, build_features, changeset_features
 from editwarden.plans.region_fits import fit_combinations
+from editwarden.plans.runs import RunSettings, run_changesets
 from editwarden.plans.training import TrainSettings, ablate, stack_run, train_run
 
 E = with_(EDITS)
@@ -295,3 +296,34 @@ def _(spark, sf):
     return out.select(*[F.array_join(F.sort_array(c), ",").alias(c) for c in names], "n_train", "n_val", "n_test",
                       (F.col("TN") + F.col("FP") + F.col("FN") + F.col("TP")).alias("predicted"), (F.col("FN") + F.col("TP")).alias("positives"),
                       (F.col("accuracy") > 0.5).alias("better_than_chance"))
+
+
+def changeset_run(spark, sf, folder, **more):
+    """The run on the changesets that have edits, with a label that half of the edits of a changeset tell."""
+    large = F.avg((F.col("l_quantity") > 25).cast("int")) > 0.5
+    labels = edits(spark, sf).groupBy("changeset_id").agg(large.cast("int").alias("label"))
+    sessions = full_changesets(spark, sf).drop("source", "label").join(labels, "changeset_id")
+    scores = edits(spark, sf).select("changeset_id", (0.8 * F.col("l_quantity") / 50 + 0.2 * F.col("predicted_prob")).alias("predicted_prob"))
+    settings = RunSettings(train=TrainSettings(params=TREES, clusters=5), iterations=10, hyper_params=TREES, **more)
+    return run_changesets(sessions, scores, folder, settings)
+
+
+@check("M12_changeset_run", with_(EDITS) + """
+, c AS (SELECT changeset_id, (avg((l_quantity > 25)::INTEGER) > 0.5)::INTEGER AS label FROM edits GROUP BY 1),
+n AS (SELECT label, count(*) AS n, round(count(*) * 0.4::DOUBLE) AS held FROM c GROUP BY 1),
+v AS (SELECT *, round(held * 0.25::DOUBLE) AS val FROM n), m AS (SELECT *, round((held - val) * 0.5::DOUBLE) AS meta FROM v),
+s AS (SELECT unnest([{'split': 'train', 'k': n - held}, {'split': 'val', 'k': val}, {'split': 'test', 'k': held - val - meta}, {'split': 'test_meta', 'k': meta}]) AS s, label FROM m)
+SELECT s.split AS split, sum(s.k)::BIGINT AS changesets, coalesce(sum(s.k) FILTER (label = 1), 0)::BIGINT AS positives,
+  sum(s.k)::BIGINT AS main, sum(s.k)::BIGINT AS hyper, CASE WHEN s.split = 'test_meta' THEN sum(s.k) ELSE 0 END::BIGINT AS all_three, 0::BIGINT AS ran_again
+FROM s GROUP BY s.split""")
+def _(spark, sf):
+    """Counts of each split over the three models, and the steps that a second run of the same settings has to run."""
+    folder = scratch_path(spark, "changeset-run")
+    changeset_run(spark, sf, folder)
+    again = changeset_run(spark, sf, folder)
+    t = again.tables
+    per = lambda df, name: df.groupBy("split").agg(F.count(F.lit(1)).alias(name))
+    three = t["meta_scores"].where("y_prob_main IS NOT NULL AND y_prob_hyper IS NOT NULL AND y_prob_meta IS NOT NULL")
+    out = t["splits"].groupBy("split").agg(F.count(F.lit(1)).alias("changesets"), F.sum("label").cast("bigint").alias("positives"))
+    out = out.join(per(t["predictions"], "main"), "split", "left").join(per(t["hyper_scores"], "hyper"), "split", "left").join(per(three, "all_three"), "split", "left")
+    return out.fillna(0, ["main", "hyper", "all_three"]).withColumn("ran_again", F.lit(len(again.ran)).cast("bigint"))
