@@ -10,7 +10,7 @@ from checks.fixtures import (
 )
 from checks.learning import SETTINGS, small_training
 from checks.metrics import bootstrapped, scored
-from checks.registry import check
+from checks.registry import SQL, check
 from editwarden.operators import bootstrap as B
 from editwarden.operators import metrics as V
 from editwarden.operators import tables as U
@@ -204,12 +204,14 @@ def _(spark, sf):
     return spark.read.csv(os.path.join(path, "confusion"), header=True, schema="TN bigint, FP bigint, FN bigint, TP bigint")
 
 
-@check("K10_write_bootstrap")
+@check("K10_write_bootstrap", SQL["V14_bootstrap_summary"])
 def _(spark, sf):
+    """The summary file, read back."""
     path = scratch_path(spark, "bootstrap")
     df = bootstrapped(spark, sf)
     writers.write_bootstrap({"all_iterations": df, "summary": B.bootstrap_summary(df), "statistics": B.bootstrap_shape(df)}, path)
-    return spark.read.csv(os.path.join(path, "bootstrap_summary"), header=True)
+    figures = spark.read.csv(os.path.join(path, "bootstrap_summary"), header=True)
+    return figures.withColumns({c: F.round(F.col(c).cast("double"), 7) for c in ("mean", "std_dev", "ci_lower", "ci_upper")})
 
 
 @check("K11_conform", E + "SELECT ck, osm_version::INTEGER AS osm_version, NULL::VARCHAR AS note, (vandalism = 1) AS vandalism FROM edits")

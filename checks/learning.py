@@ -1,9 +1,10 @@
 """Encoders E1-E5, clusters and models M1-M12, feature assembly F19, feature removal D14."""
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from checks.features import ADDED, HAD, HAS, MODIFIED, N_TAGS, REMOVED, SAME
-from checks.fixtures import CHANGESETS, EDITS, edits, evaluations, full_changesets, table, with_
+from checks.fixtures import CHANGESETS, EDITS, EVALUATIONS, edits, evaluations, full_changesets, table, with_
 from checks.joins import PLACED, placed
 from checks.registry import check
 from editwarden.functions import places
@@ -166,10 +167,15 @@ CENTERS = [
 ]
 
 
-@check("M1_fit_clusters")
+@check("M1_fit_clusters", E + "SELECT count(*) AS points, 0::BIGINT AS nearer_to_another, 20::BIGINT AS centers FROM edits WHERE centroid_x IS NOT NULL AND centroid_y IS NOT NULL")
 def _(spark, sf):
-    centers = clusters.fit_clusters(edits(spark, sf), 20)
-    return spark.createDataFrame(centers, "id int, x double, y double")
+    """Each point against all centres: none is nearer than the one it is assigned to, and no centre is without points."""
+    rows = edits(spark, sf).select("ck", "centroid_x", "centroid_y").where("centroid_x IS NOT NULL AND centroid_y IS NOT NULL")
+    centers = clusters.fit_clusters(rows, 20)
+    away = lambda c: (F.col("centroid_x") - c[1]) ** 2 + (F.col("centroid_y") - c[2]) ** 2
+    mine = F.element_at(F.map_from_arrays(F.array(*[F.lit(c[0]) for c in centers]), F.array(*[away(c) for c in centers])), F.col("cluster_label"))
+    rows = clusters.assign_clusters(rows, centers).withColumn("nearer", mine > F.least(*[away(c) for c in centers]) + 1e-9)
+    return rows.agg(F.count(F.lit(1)).alias("points"), F.count_if("nearer").alias("nearer_to_another"), F.countDistinct("cluster_label").alias("centers"))
 
 
 @check("M2_assign_clusters", E + "SELECT ck, list_min([" + ", ".join(
@@ -179,6 +185,7 @@ def _(spark, sf):
     return clusters.assign_clusters(edits(spark, sf), CENTERS).select("ck", "cluster_label")
 
 
+LARGE_SQL = "CASE WHEN h % 20 = 0 THEN (l_quantity <= 25)::INTEGER ELSE (l_quantity > 25)::INTEGER END"
 FEATURES = ["area", "length", "area_delta", "length_delta", "osm_version", "centroid_x", "centroid_y"]
 
 
@@ -193,37 +200,87 @@ def split_rows(spark, sf):
     return meta_split(labelled(spark, sf), "ck", 0.4, 0.25, 0.0)
 
 
-@check("M3_fit_and_M4_score")
+META_COUNTS = """
+n AS (SELECT label, count(*) AS n, round(count(*) * 0.4::DOUBLE) AS held FROM {rows} GROUP BY 1),
+v AS (SELECT *, round(held * 0.25::DOUBLE) AS val FROM n), m AS (SELECT *, round((held - val) * {meta}::DOUBLE) AS meta FROM v),
+s AS (SELECT unnest([{{'split': 'train', 'k': n - held}}, {{'split': 'val', 'k': val}}, {{'split': 'test', 'k': held - val - meta}}, {{'split': 'test_meta', 'k': meta}}]) AS s, label FROM m)"""
+SPLIT_ROWS = f", labelled AS (SELECT ck, {LARGE_SQL} AS label FROM edits), " + META_COUNTS.format(rows="labelled", meta=0)
+
+
+def rebuilt(rows, model):
+    """The probability from the single trees, their weights added up."""
+    trees = model.stages[-1]
+    rows = PipelineModel(model.stages[:-1]).transform(rows)
+    margin = F.lit(0.0)
+    for i, (tree, weight) in enumerate(zip(trees.trees, trees.treeWeights)):
+        rows = tree.setFeaturesCol("_features").setPredictionCol(f"_t{i}").transform(rows)
+        margin = margin + F.col(f"_t{i}") * F.lit(weight)
+    return rows.withColumn("again", 1 / (1 + F.exp(-2 * margin)))
+
+
+@check("M3_fit_and_M4_score", with_(EDITS) + SPLIT_ROWS + """
+SELECT s.split AS split, sum(s.k)::BIGINT AS scored, 0::BIGINT AS differing, true AS better_than_chance FROM s WHERE s.k > 0 GROUP BY s.split""")
 def _(spark, sf):
+    """Scores of a weighted fit against the same trees added up one by one."""
     rows = split_rows(spark, sf)
     model = models.fit_model(rows, FEATURES, TREES | {"scale_pos_weight": 1.5}, split="split")
-    scored = flag(models.score(rows, model))
-    return evaluate(scored.select("split", F.col("label").alias("y_true"), "y_prob"))
+    both = rebuilt(models.score(rows, model), model)
+    right = F.avg(((F.col("y_prob") >= 0.5).cast("int") == F.col("label")).cast("int"))
+    return both.groupBy("split").agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.abs(F.col("y_prob") - F.col("again")) > 1e-9).alias("differing"),
+                                     (right > 0.6).alias("better_than_chance"))
+
+
+@check("M3_patience", "SELECT true AS kept_is_least, true AS curve_agrees, 6::BIGINT AS rounds")
+def _(spark, sf):
+    """The rounds that stay are those up to the least loss on the validation rows, by the curve of the full model."""
+    rows = split_rows(spark, sf)
+    params = TREES | {"n_estimators": 6, "learning_rate": 0.9}
+    model, losses = models.fit_patient(rows, FEATURES, params, patience=20)
+    full = PipelineModel([*models._inputs(FEATURES), models.fit_trees(
+        models.assembled(rows.where("split = 'train'"), FEATURES).select("_features", "label"), params)])
+    curve = models.training_curve(full, rows.where("split = 'val'")).select("round", F.col("logloss").alias("other"))
+    best = losses.agg(F.min_by("round", F.struct("logloss", "round")).alias("best"))
+    both = losses.join(curve, "round").agg(F.count(F.lit(1)).alias("rounds"), F.max(F.abs(F.col("logloss") - F.col("other"))).alias("gap"))
+    return best.crossJoin(both).select((F.col("best") + 1 == model.stages[-1].getNumTrees).alias("kept_is_least"), (F.col("gap") < 1e-9).alias("curve_agrees"), "rounds")
 
 
-@check("M5_training_curve")
+@check("M5_training_curve", "SELECT 5::BIGINT AS rounds, true AS last_auc_agrees, true AS last_error_agrees, true AS loss_falls")
 def _(spark, sf):
     rows = split_rows(spark, sf)
-    model = models.fit_model(rows, FEATURES, TREES, split="split")
-    return models.training_curve(model, rows.where("split = 'val'"))
+    model = models.fit_model(rows, FEATURES, TREES)
+    val = rows.where("split = 'val'")
+    curve = models.training_curve(model, val)
+    whole = evaluate(flag(models.score(val, model)).select("split", F.col("label").alias("y_true"), "y_pred", "y_prob"))
+    ends = curve.agg(F.count(F.lit(1)).alias("rounds"), F.max_by("auc", "round").alias("auc"), F.max_by("error", "round").alias("error"),
+                     (F.max_by("logloss", "round") < F.min_by("logloss", "round")).alias("loss_falls"))
+    return ends.crossJoin(whole).select(
+        "rounds", (F.abs(F.col("auc") - F.col("auc_roc")) < 1e-9).alias("last_auc_agrees"),
+        (F.abs(1 - F.col("error") - F.col("accuracy")) < 1e-9).alias("last_error_agrees"), "loss_falls")
+
+
+def searched(table):
+    return table.agg(
+        F.count(F.lit(1)).alias("settings"), F.countDistinct("settings").alias("different"), (F.min_by("auc_roc", "rank") == F.max("auc_roc")).alias("best_first"),
+        (F.min("auc_roc") > 0.5).alias("better_than_chance"))
 
 
-@check("M6_random_search")
+@check("M6_random_search", "SELECT 3::BIGINT AS settings, 3::BIGINT AS different, true AS best_first, true AS better_than_chance")
 def _(spark, sf):
     grid = {"learning_rate": [0.1, 0.3], "max_depth": [2, 3], "n_estimators": [3, 4], "scale_pos_weight": [1, 2]}
-    return models.random_search(labelled(spark, sf), FEATURES, "ck", grid=grid, n=3, folds=2)[1]
+    return searched(models.random_search(labelled(spark, sf), FEATURES, "ck", grid=grid, n=3, folds=2)[1])
 
 
-@check("M7_grid_search")
+@check("M7_grid_search", "SELECT 2::BIGINT AS settings, 2::BIGINT AS different, true AS best_first, true AS better_than_chance")
 def _(spark, sf):
     grid = {"n_estimators": [3], "max_depth": [2, 3]}
     df = evaluations(spark, sf).withColumn("label", F.col("y_true").cast("int"))
-    return models.grid_search(df, ["y_prob_main", "y_prob_hyper"], "changeset_id", grid=grid, folds=2)[1]
+    return searched(models.grid_search(df, ["y_prob_main", "y_prob_hyper"], "changeset_id", grid=grid, folds=2)[1])
 
 
-@check("M8_cross_validate")
+@check("M8_cross_validate", "SELECT unnest(range(3))::INTEGER AS fold, true AS better_than_chance")
 def _(spark, sf):
-    return models.cross_validate(labelled(spark, sf), FEATURES, TREES | {"n_estimators": 3}, "ck", k=3)
+    found = models.cross_validate(labelled(spark, sf), FEATURES, TREES | {"n_estimators": 3}, "ck", k=3)
+    return found.select(F.col("fold").cast("int").alias("fold"), F.col("score").between(0.5, 1).alias("better_than_chance"))
 
 
 def stacked(spark, sf):
@@ -234,22 +291,43 @@ def stacked(spark, sf):
     return stack_run(edits(spark, sf).select("changeset_id", "predicted_prob"), labels, main, TREES)
 
 
-@check("M9_fit_hyper_M10_fit_meta")
+@check("M9_fit_hyper_M10_fit_meta", with_(EDITS, EVALUATIONS) + """
+, n AS (SELECT y_true AS label, count(*) AS n, round(count(*) * 0.5::DOUBLE) AS held FROM evaluations GROUP BY 1),
+v AS (SELECT *, round(held * 0.2::DOUBLE) AS val FROM n), m AS (SELECT *, round((held - val) * 0.45::DOUBLE) AS meta FROM v)
+SELECT model, sum(meta)::BIGINT AS compared, coalesce(sum(meta) FILTER (label = 1), 0)::BIGINT AS positives FROM m, (SELECT unnest(['main', 'hyper', 'meta']) AS model) GROUP BY 1""")
 def _(spark, sf):
-    return stacked(spark, sf).comparison
+    """The ids on which the three models are compared: those of test_meta, each once."""
+    result = stacked(spark, sf)
+    ids = result.scores.agg(F.countDistinct("changeset_id").alias("ids"))
+    found = result.comparison.select("model", (F.col("TN") + F.col("FP") + F.col("FN") + F.col("TP")).alias("compared"), (F.col("FN") + F.col("TP")).alias("positives"))
+    return found.join(ids, F.col("ids") == F.col("compared")).drop("ids")
 
 
-@check("M10_fit_meta_trees")
+@check("M10_fit_meta_trees", with_(EDITS, EVALUATIONS) + "SELECT count(*) AS scored, count(*) FILTER (y_true = 1) AS positives, 0::BIGINT AS differing FROM evaluations")
 def _(spark, sf):
     e = evaluations(spark, sf).withColumn("y_true", F.col("y_true").cast("int"))
     model = models.fit_meta(e, "trees", TREES)
-    return evaluate(models.score(e, model), ())
+    both = rebuilt(models.score(e, model), model)
+    return both.agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("y_true") == 1).alias("positives"), F.count_if(F.abs(F.col("y_prob") - F.col("again")) > 1e-9).alias("differing"))
 
 
-@check("M11_importances")
+@check("M11_importances", "SELECT 7::BIGINT AS features, true AS splits_add_up, true AS gains_add_up, true AS ranked_by_gain")
 def _(spark, sf):
+    """Splits and gains of all features against the trees themselves."""
     model = models.fit_model(split_rows(spark, sf), FEATURES, TREES, split="split")
-    return importance_report(models.importances(model, FEATURES, spark))
+    trees = model.stages[-1]
+    splits = sum((t.numNodes - 1) // 2 for t in trees.trees)
+
+    def gain(node):
+        if node.numDescendants() == 0:
+            return 0.0
+        return node.gain() * node.impurityStats().rawCount() + gain(node.leftChild()) + gain(node.rightChild())
+
+    total = sum(w * gain(t._java_obj.rootNode()) for t, w in zip(trees.trees, trees.treeWeights))
+    table = importance_report(models.importances(model, FEATURES, spark))
+    found = table.agg(F.count(F.lit(1)).alias("features"), F.sum("weight").alias("w"), F.sum("total_gain").alias("g"),
+                      (F.min_by("total_gain", "rank") == F.max("total_gain")).alias("ranked_by_gain"))
+    return found.select("features", (F.col("w") == splits).alias("splits_add_up"), (F.abs(F.col("g") / total - 1) < 1e-9).alias("gains_add_up"), "ranked_by_gain")
 
 
 def small_training(spark, sf):
@@ -261,19 +339,25 @@ def small_training(spark, sf):
     return df, train_run(df, settings)
 
 
-@check("M12_train_run")
+@check("M12_train_run", with_(EDITS) + f""", labelled AS (SELECT {LARGE_SQL} AS label FROM edits), c AS (SELECT count(*) AS n, sum(label)::BIGINT AS bad FROM labelled),
+k AS (SELECT n, bad, n // 4 AS test, n // 10 AS val, floor((n // 4) * 0.2::DOUBLE)::BIGINT AS bad_test, floor((n // 10) * 0.2::DOUBLE)::BIGINT AS bad_val FROM c)
+SELECT unnest(['test', 'val', 'train']) AS split, unnest([test, val, n - test - val]) AS predicted, unnest([bad_test, bad_val, bad - bad_test - bad_val]) AS positives,
+  true AS better_than_chance FROM k""")
 def _(spark, sf):
-    return small_training(spark, sf)[1].metrics
+    metrics = small_training(spark, sf)[1].metrics
+    return metrics.select("split", (F.col("TN") + F.col("FP") + F.col("FN") + F.col("TP")).alias("predicted"), (F.col("FN") + F.col("TP")).alias("positives"),
+                          (F.col("auc_roc") > 0.6).alias("better_than_chance"))
 
 
-@check("D14_ablate")
+@check("D14_ablate", with_(EDITS) + SPLIT_ROWS + """
+SELECT unnest([0, 1, 2]) AS step, unnest([7, 6, 5]) AS features, k AS tested FROM (SELECT sum(s.k)::BIGINT AS k FROM s WHERE s.split = 'test')""")
 def _(spark, sf):
-    return ablate(split_rows(spark, sf), FEATURES, TREES | {"n_estimators": 3}, 2)
+    lines = ablate(split_rows(spark, sf), FEATURES, TREES | {"n_estimators": 3}, 2)
+    return lines.select("step", "features", (F.col("TN") + F.col("FP") + F.col("FN") + F.col("TP")).alias("tested"))
 
 
 FOUR = ["Africa", "Asia", "Europe", "North America"]
 GROUPS = "(SELECT [c] AS g FROM names UNION ALL SELECT list_sort([a.c, b.c]) FROM names a JOIN names b ON a.c < b.c)"
-LARGE_SQL = "CASE WHEN h % 20 = 0 THEN (l_quantity <= 25)::INTEGER ELSE (l_quantity > 25)::INTEGER END"
 
 
 @check("V16_region_fits", with_(EDITS, PLACED) + f"""
