@@ -5,16 +5,16 @@ a class into the node of its minwise shingle; two sets with Jaccard similarity s
 probability s, so 10 trees miss a link at 0.8 with probability 0.2 ** 10 = 1e-7. Nodes up to SMALL
 are compared exhaustively. A larger node is first compared with one pivot (its smallest class). Then its members
 branch by CHILDREN further minwise shingles each, drawn anew for each tree and level, and nodes whose members are
-known to be connected already are finished, as no pair of them can change a component. What is still large and not connected after
-LEVELS branchings is compared exhaustively in blocks, so no link is dropped for size. A pair at 0.8 whose nodes stay large through all
+known to be connected already are finished, as no pair of them can change a component. Branching does not part members that are
+nearly alike: where half of a node or more is connected, the members outside are compared with all at once. What is still large and not
+connected after LEVELS branchings is compared exhaustively in packs, so no link is dropped for size. A pair at 0.8 whose nodes stay large through all
 levels is missed with probability 0.247 ** 10 = 1e-6. Links are confirmed on the full shingle sets, in integers.
 
 Members of large nodes carry the number of their shingles that no other such member has. This bounds what two of them can share: pairs and
 members that cannot reach the threshold leave, though their minwise values are alike. The member with the fewest such shingles is the pivot.
 
 Each level is three written tables (nodes, pairs, links); links of a task are reduced to a spanning forest before they are
-written. Between levels labels follow two steps along the links, which leaves work over but no link out; only before the exhaustive
-end and for the result are components followed until nothing changes.
+written, so components settle in a few steps.
 
 Null or empty texts have no shingles, link with nothing and stay. Ties and repeated rows: the smallest
 doc_id stands for a class. Rows without doc_id link with nothing, have no component_id and are kept. Other columns of the
@@ -23,6 +23,9 @@ input are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +41,9 @@ LEVELS = 3
 SIGNATURE = 3 * TREES  # minwise values kept per class: a root for each tree, all of them to see whether a pair can link
 BRANCHES = TREES * LEVELS * CHILDREN  # further ones of the members of large nodes: each tree and level has its own
 HASH_BYTES = 6  # of a shingle when sets are compared
-BLOCK = 256  # members compared at once at the exhaustive end
-SIZE_BINS = 1.05  # ratio of neighbouring classes of set sizes
+PACK_BYTES = 1 << 18  # of sets that are compared at once in a crowd
+VOCABULARY = 4096  # shingles of two packs that are held as columns at once
+SIZE_BINS = 1.005  # ratio of neighbouring classes of set sizes
 
 
 def shingle_sets(data, offsets, shingle):
@@ -188,7 +192,7 @@ def _can_link(p, q, percent):
     Of SIGNATURE values a pair at 0.8 shares a quarter or less with probability below 1e-12."""
     most = F.least(*[m["n_shingles"] - m["unique"] for m in (p, q)], p["n_shingles"], q["n_shingles"])
     reach = 100 * most >= percent * (p["n_shingles"] + q["n_shingles"] - most)
-    alike = F.aggregate(F.zip_with(p["sig"], q["sig"], lambda v, w: (v == w).cast("int")), F.lit(0), lambda s, v: s + v)
+    alike = reduce(add, [(F.get(p["sig"], i) == F.get(q["sig"], i)).cast("int") for i in range(SIGNATURE)])
     return (p["label"] != q["label"]) & reach & (4 * alike > SIGNATURE)
 
 
@@ -200,7 +204,7 @@ def _that_can_link(rows: DataFrame, percent: int) -> DataFrame:
     """Rows (key, tree, m) without members that no member of their node is of the right size to link with.
 
     With at most ``most`` shingles shared, the other set has from percent * n / 100 to most + 100 * most / percent - n shingles.
-    Sizes of a node are kept as classes, some hundred at most."""
+    Sizes of a node are kept as classes, some thousand at most."""
     sizes = rows.groupBy("key").agg(F.collect_set(_size_class(F.col("m.n_shingles"))).alias("classes"))
     n, most = F.col("m.n_shingles"), F.col("m.n_shingles") - F.col("m.unique")
     low = _size_class(F.greatest(n * percent / 100, F.lit(1)))
@@ -230,13 +234,67 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _blocks(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the nodes that stay large, in blocks of about BLOCK members: the exhaustive end."""
-    rows = nodes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long")).withColumn(
-        "block", F.pmod(F.xxhash64("m.doc_id"), F.col("blocks")))
-    a = rows.select("key", "block", F.col("m").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    b = rows.select("key", F.col("block").alias("other"), F.col("m").alias("q"))
-    return _ordered(a.join(b, ["key", "other"]).where(F.col("p.doc_id") < F.col("q.doc_id")).where(_can_link(F.col("p"), F.col("q"), percent)))
+def _with_majority(rows: DataFrame) -> DataFrame:
+    """Rows (key, tree, m) of unfinished nodes with size, the most frequent label of the node and the number of its members."""
+    labels = rows.groupBy("key", F.col("m.label").alias("label")).agg(F.count("*").alias("n"))
+    nodes = labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size")).where("most.n < size")
+    return rows.join(nodes, "key").select("key", "tree", "m", "size", F.col("most.label").alias("major"), F.col("most.n").alias("major_size"))
+
+
+def _shared(x, y):
+    """The sizes of the intersections of each sorted set of x with each of y."""
+    flat = [np.concatenate(v) for v in (x, y)]
+    row = [np.repeat(np.arange(len(v)), [len(s) for s in v]) for v in (x, y)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    for k in range(0, len(both), VOCABULARY):
+        some = both[k:k + VOCABULARY]
+        sides = []
+        for values, rows, v in zip(flat, row, (x, y)):
+            at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+            hit = some[at] == values
+            side = np.zeros((len(v), len(some)), dtype=np.float32)
+            side[rows[hit], at[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _crowd_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of whole crowds: the members outside the largest connected part against all, pack by pack.
+
+    Nodes whose largest part is the same one are a single crowd, so that a pair is met once and not in each tree. Packs hold
+    about PACK_BYTES of sets; a pack of outsiders meets each pack of its crowd, and only links leave the comparison."""
+    mostly = 2 * F.col("major_size") >= F.col("size")
+    crowd = F.struct(F.when(mostly, F.lit(None)).otherwise(F.col("key")).alias("key"), "major")
+    members = rows.select(F.xxhash64(crowd).alias("crowd"), F.col("m.doc_id").alias("doc_id"), F.col("m.label").alias("label"),
+                          F.col("m.n_shingles").alias("n"), "major").dropDuplicates(["crowd", "doc_id"])
+    outside = F.col("label") != F.col("major")
+    packs = lambda n: F.ceil(F.sum(n) * HASH_BYTES / PACK_BYTES).cast("long")
+    sizes = members.groupBy("crowd").agg(packs(F.col("n")).alias("packs"), packs(F.when(outside, F.col("n")).otherwise(0)).alias("outer"))
+    held = F.collect_list(F.struct("doc_id", "label", "elements"))
+    full = members.join(sizes, "crowd").join(sets.select("doc_id", "elements"), "doc_id")
+    every = full.groupBy("crowd", F.pmod(F.xxhash64("doc_id"), "packs").alias("pack")).agg(held.alias("y"))
+    few = full.where(outside).groupBy("crowd", F.pmod(F.xxhash64("doc_id"), "outer").alias("number")).agg(held.alias("x"), F.first("packs").alias("packs"))
+    few = few.select("crowd", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("packs") - 1)).alias("pack"))
+
+    def work(batches):
+        links = [np.zeros((2, 0), dtype=np.int64)]
+        for batch in batches:
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                docs, labels = ([np.array([m[c] for m in side], dtype=np.int64) for side in (x, y)] for c in ("doc_id", "label"))
+                values = [[_elements(m["elements"]) for m in side] for side in (x, y)]
+                size = [np.array([len(v) for v in side]) for side in values]
+                both = _shared(*values)
+                linked = (100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)) & (labels[0][:, None] != labels[1][None, :])
+                i, j = np.nonzero(linked)
+                links.append(np.stack([docs[0][i], docs[1][j]]))
+        member, root = _forest(*np.concatenate(links, axis=1))
+        yield pa.record_batch([pa.array(root), pa.array(member)], names=["a", "b"])
+
+    pairs = few.join(every, ["crowd", "pack"]).select("x", "y")
+    # a pair of packs is a row: few rows at a time
+    return pairs.mapInArrow(work, "a long, b long")
 
 
 def _followed(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -295,15 +353,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             pool = large.select("m.doc_id").distinct()
             unique = stored(unique_shingles(sets.select("doc_id", "elements").join(pool, "doc_id", "left_semi")), "unique")
         at_end = level == LEVELS
-        labels = components(links) if at_end else _first_labels(_both_ways(links)).withColumnRenamed("a", "doc_id")
-        labels = labels.toDF("doc_id", "found")
+        labels = components(links).toDF("doc_id", "found")
         members = large.select("key", "tree", "m.doc_id", "m.n_shingles", "m.sig").join(labels, "doc_id", "left").join(unique, "doc_id", "left").withColumns(
             {"label": F.coalesce("found", "doc_id"), "unique": F.coalesce("unique", F.lit(0).cast("long"))})
+        rows = stored(_with_majority(_that_can_link(members.select("key", "tree", member), percent)), "members")
+        # branching cannot part what is alike: where most members are connected, the others are compared with all at once
+        mostly = rows.where(F.lit(at_end) | (2 * F.col("major_size") >= F.col("size")))
+        links = links.union(stored(_crowd_links(mostly, sets, percent), "links"))
         if at_end:
-            links = links.union(stored(confirmed(_blocks(_sized(_that_can_link(members.select("key", "tree", member), percent)), percent), sets, percent), "links"))
             break
         place = (F.col("tree") * LEVELS + level) * CHILDREN
-        rows = _that_can_link(members.select("key", "tree", member), percent).withColumn("doc_id", F.col("m.doc_id"))
+        rows = rows.where(2 * F.col("major_size") < F.col("size")).withColumn("doc_id", F.col("m.doc_id"))
         rows = rows.join(sets.select("doc_id", "branches"), "doc_id").select(
             F.col("key").alias("parent"), "tree", "m", F.posexplode(F.array(*[F.get("branches", place + c) for c in range(CHILDREN)])).alias("child", "v")).select(
             F.xxhash64("parent", "child", "v").alias("key"), "tree", "m")
