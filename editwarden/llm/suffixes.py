@@ -147,6 +147,8 @@ class _Slice:
 
 # a context: the bytes from the anchor on, those before it backwards, its places in one document, the bytes shared with a boundary
 _SHIPPED = "block int, right binary, left binary, doc_id long, starts binary, reach int, n int, spans binary, bucket int"
+_EDGES = ("block int, n int, spans binary, bucket int, home array<int>, right array<binary>, left array<binary>, doc_id array<long>, "
+          "starts array<binary>, reach array<int>")
 # packed spans of a block, or packed windows (hash, document, block, start) of a range of hashes
 _FOUND = "block int, n int, spans binary, windows binary"
 WINDOWS_AT_ONCE = 400_000
@@ -170,8 +172,8 @@ def _spans(table):
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def _splitters(docs: DataFrame, length: int, buckets: int) -> list:
-    """Up to ``buckets`` - 1 suffixes (right, left) that cut a sample of all contexts into even parts."""
+def _splitters(docs: DataFrame, length: int, buckets: int) -> tuple[list, list]:
+    """Up to ``buckets`` - 1 suffixes that cut a sample of all contexts into even parts: as (right, left) and as (left, right)."""
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     draw = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1_000_000_007)) / 1_000_000_007
     some = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (draw < share))
@@ -189,8 +191,9 @@ def _splitters(docs: DataFrame, length: int, buckets: int) -> list:
                                        pa.array([raw[found.first[i]:found.anchor[i]][::-1] for i in chosen], pa.binary())], names=["right", "left"])
 
     got = some.mapInArrow(work, "right binary, left binary").toArrow()
-    rows = sorted(set(zip(got.column("right").to_pylist(), got.column("left").to_pylist())))
-    return [rows[len(rows) * k // buckets] for k in range(1, buckets)] if rows else []
+    right, left = (got.column(c).to_pylist() for c in ("right", "left"))
+    orders = (sorted(set(zip(*sides))) for sides in ((right, left), (left, right)))
+    return tuple([rows[len(rows) * k // buckets] for k in range(1, buckets)] if rows else [] for rows in orders)
 
 
 def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -200,7 +203,7 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame
     buckets = parts(ready(docs.sparkSession))
     key_buckets = max(1, buckets // 2)
     ranges = max(16, 4 * isqrt(buckets))
-    splitters = _splitters(docs, length, 2 * buckets)  # a hash deals the buckets to partitions: more of them are dealt more evenly
+    splitters, second = _splitters(docs, length, 2 * buckets)  # a hash deals the buckets to partitions: more of them are dealt more evenly
     dealt = in_blocks(docs)
 
     def anchor_keys(key, table):
@@ -255,15 +258,12 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame
         if gone[0]:
             n, spans = _span_row(block, *(np.array(g, dtype=np.int64) for g in gone))
             out.append((None, None, None, None, n, spans, block % (2 * buckets)))  # rows of spans only pass through
+        out.sort(key=lambda r: (r[6], r[0] or b""))  # neighbours begin alike, which compresses well
         return _shipped(block, out)
 
     shipped = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(contexts, _SHIPPED)
-    edges = shipped.repartition(buckets, "bucket").mapInArrow(lambda b: _buckets(b, length), _SHIPPED)
-    # a shuffle of these few rows, kept apart from the next one by a step, so that sampling splitters does not run the buckets twice
-    edges = edges.repartition(buckets, F.xxhash64("block", "doc_id")).mapInArrow(lambda b: b, _SHIPPED)
-    any_place = F.md5(F.col("block").cast("string")).cast("binary")
-    found = edges.repartitionByRange(F.coalesce("left", any_place), "right").mapInArrow(
-        lambda b: _bucket(pa.Table.from_batches(list(b), schema=_SCHEMA), length, ranges), _FOUND).repartition(buckets, "block")
+    edges = shipped.repartition(buckets, "bucket").mapInArrow(lambda b: _buckets(b, length, second), _EDGES)
+    found = edges.repartition(buckets, "bucket").mapInArrow(lambda b: _second_buckets(b, length, ranges), _FOUND).repartition(buckets, "block")
 
     def windows_only(batches):
         for batch in batches:
@@ -313,25 +313,41 @@ def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame
         F.lit(None).cast("long"), F.octet_length(text).cast("long"), F.lit(0).cast("long"), F.array().cast(out.schema["spans"].dataType), text.cast("binary")))
 
 
-def _buckets(batches, length):
+def _buckets(batches, length, splitters):
     """The buckets of a partition, one after the other."""
     table = pa.Table.from_batches(list(batches), schema=_SCHEMA)
     bucket = table.column("bucket").to_numpy()
     for b in np.unique(bucket):
-        yield from _bucket(table.filter(pa.array(bucket == b)), length)
+        yield from _bucket(table.filter(pa.array(bucket == b)), length, splitters=splitters)
 
 
-def _bucket(table, length, ranges=None):
+def _second_buckets(batches, length, ranges):
+    """The buckets of the second order, unpacked one after the other; rows of spans pass."""
+    table = pa.Table.from_batches(list(batches), schema=_EDGE_SCHEMA)
+    full = pa.compute.is_valid(table.column("spans"))
+    passed = table.filter(full)
+    if passed.num_rows:
+        yield _found(list(zip(*(passed.column(c).to_pylist() for c in ("block", "n", "spans"))))).combine_chunks().to_batches()[0]
+    table = table.filter(pa.compute.invert(full))
+    bucket = table.column("bucket").to_numpy()
+    for b in np.unique(bucket):
+        part = table.filter(pa.array(bucket == b))
+        flat = [pa.compute.list_flatten(part.column(c)) for c in ("home", "right", "left", "doc_id", "starts", "reach")]
+        many = len(flat[0])
+        yield from _bucket(pa.table([*flat, *(pa.nulls(many, _SCHEMA.field(c).type) for c in ("n", "spans", "bucket"))], schema=_SCHEMA), length, ranges)
+
+
+def _bucket(table, length, ranges=None, splitters=()):
     """One bucket of contexts in the first order (by what follows the anchor) or, with ``ranges``, in the second (by what goes before it).
 
-    Yields packed spans and, of the contexts with a window that may also be in another bucket, the context (first order) or
-    the windows, packed by ranges of their hash (second order)."""
+    Yields packed spans and, of the contexts with a window that may also be in another bucket, the contexts, packed by the
+    ``splitters`` of the second order (first order), or the windows, packed by ranges of their hash (second order)."""
     second = ranges is not None
-    give = _found if second else lambda rows: _passed([r[0] for r in rows], n=[r[1] for r in rows], spans=[r[2] for r in rows], bucket=[0] * len(rows))
+    give = _found if second else _edge_spans
     full = pa.compute.is_valid(table.column("spans"))
     passed = table.filter(full)
     if passed.num_rows:
-        yield give([row for row in zip(*(passed.column(c).to_pylist() for c in ("block", "n", "spans")))]).to_batches()[0]
+        yield give(list(zip(*(passed.column(c).to_pylist() for c in ("block", "n", "spans"))))).to_batches()[0]
     table = table.filter(pa.compute.invert(full)).combine_chunks()
     if not table.num_rows:
         return
@@ -394,9 +410,11 @@ def _bucket(table, length, ranges=None):
             if length - (before - p) <= reach[i] and before - p <= shared and (i, p) not in late_windows:
                 out.append((i, p, xxhash.xxh3_128_intdigest(text[p:p + length])))
     if not second:
-        for k in range(0, len(out), 10_000):
-            part = list(zip(*out[k:k + 10_000]))
-            yield _passed(part[5], *part[:5], bucket=[0] * len(part[5])).to_batches()[0]
+        packs: dict[int, list] = {}
+        for row in out:
+            packs.setdefault(bisect_right(splitters, (row[1], row[0])), []).append(row)
+        if packs:
+            yield _edge_contexts(packs).to_batches()[0]
     elif out:
         yield _packed_windows(out, [np.frombuffer(places[mine[i]].as_py(), dtype=np.int64) for i, _, _ in out], doc, kept_block, ranges).to_batches()[0]
 
@@ -446,6 +464,26 @@ _SCHEMA = pa.schema([("block", pa.int32()), ("right", pa.binary()), ("left", pa.
                      ("reach", pa.int32()), ("n", pa.int32()), ("spans", pa.binary()), ("bucket", pa.int32())])
 
 
+_EDGE_SCHEMA = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("spans", pa.binary()), ("bucket", pa.int32()), ("home", pa.list_(pa.int32())),
+                          ("right", pa.list_(pa.binary())), ("left", pa.list_(pa.binary())), ("doc_id", pa.list_(pa.int64())),
+                          ("starts", pa.list_(pa.binary())), ("reach", pa.list_(pa.int32()))])
+
+
+def _edge_spans(rows):
+    """Rows of spans (block, n, spans); their block deals them out."""
+    block, n, spans = zip(*rows)
+    columns = [pa.array(c, f.type) for c, f in zip((block, n, spans, block), _EDGE_SCHEMA)]
+    return pa.table(columns + [pa.nulls(len(rows), f.type) for f in list(_EDGE_SCHEMA)[4:]], schema=_EDGE_SCHEMA)
+
+
+def _edge_contexts(packs):
+    """One row for each bucket of the second order, with the lists of its contexts (right, left, document, places, reach, block)."""
+    lists = [[list(c) for c in zip(*rows)] for rows in packs.values()]
+    columns = [pa.nulls(len(packs), f.type) for f in list(_EDGE_SCHEMA)[:3]] + [pa.array(list(packs), pa.int32())]
+    columns += [pa.array([p[k] for p in lists], f.type) for k, f in zip((5, 0, 1, 2, 3, 4), list(_EDGE_SCHEMA)[4:])]
+    return pa.table(columns, schema=_EDGE_SCHEMA)
+
+
 def _shipped(block, rows):
     columns = list(zip(*rows)) if rows else [()] * 7
     return _passed([block] * len(columns[0]), *columns[:4], None, *columns[4:])
