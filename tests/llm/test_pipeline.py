@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "decontamination", "mixture"]
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not there")
