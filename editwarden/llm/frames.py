@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editwarden.session import prepare, scratch_path, settle
 
-__all__ = ["WORD", "ready", "settle", "stored", "table", "parts", "words"]
+__all__ = ["WORD", "batches_of", "ready", "settle", "stored", "table", "parts", "words"]
 WORD = "[^\\x20\\x09-\\x0D]+"
 BATCH_ROWS = 512  # rows of a batch in Python workers; texts are long, so batches are kept small
 
@@ -21,6 +22,18 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Smaller Arrow batches for what runs inside: for steps whose rows hold many texts each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(os.path.join(sf, f"{name}.parquet"))
 

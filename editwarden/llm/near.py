@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editwarden.llm.frames import ready, stored
+from editwarden.llm.frames import batches_of, ready, stored
 from editwarden.llm.texts import U64, batch_bytes, lowered, mix, sequence_hashes, span_hashes, word_bounds
 
 TREES = 10
@@ -42,6 +42,7 @@ SIGNATURE = 3 * TREES  # minwise values kept per class: a root for each tree, al
 BRANCHES = TREES * LEVELS * CHILDREN  # further ones of the members of large nodes: each tree and level has its own
 HASH_BYTES = 6  # of a shingle when sets are compared
 PACK_BYTES = 1 << 18  # of sets that are compared at once in a crowd
+PAIRS_AT_ONCE = 16  # pairs of packs in a batch
 VOCABULARY = 4096  # shingles of two packs that are held as columns at once
 SIZE_BINS = 1.005  # ratio of neighbouring classes of set sizes
 
@@ -292,9 +293,7 @@ def _crowd_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         member, root = _forest(*np.concatenate(links, axis=1))
         yield pa.record_batch([pa.array(root), pa.array(member)], names=["a", "b"])
 
-    pairs = few.join(every, ["crowd", "pack"]).select("x", "y")
-    # a pair of packs is a row: few rows at a time
-    return pairs.mapInArrow(work, "a long, b long")
+    return few.join(every, ["crowd", "pack"]).select("x", "y").mapInArrow(work, "a long, b long")
 
 
 def _followed(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -327,7 +326,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept)."""
-    ready(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     sig = stored(signatures(docs, shingle), "signatures")
     named = ["d1", "d2", "n_shingles"]
     classes = stored(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*named).agg(F.min(F.struct("doc_id", "sig")).alias("c")).select(
@@ -359,7 +358,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         rows = stored(_with_majority(_that_can_link(members.select("key", "tree", member), percent)), "members")
         # branching cannot part what is alike: where most members are connected, the others are compared with all at once
         mostly = rows.where(F.lit(at_end) | (2 * F.col("major_size") >= F.col("size")))
-        links = links.union(stored(_crowd_links(mostly, sets, percent), "links"))
+        with batches_of(spark, PAIRS_AT_ONCE):
+            links = links.union(stored(_crowd_links(mostly, sets, percent), "links"))
         if at_end:
             break
         place = (F.col("tree") * LEVELS + level) * CHILDREN
