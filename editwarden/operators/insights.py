@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from editwarden.functions import places
 from editwarden.functions.texts import reverted_changeset, tells_of_revert
-from editwarden.operators.running import BROADCAST_KEYS, HOT_ROWS
 from editwarden.session import settle
 
 
