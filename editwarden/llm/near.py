@@ -42,6 +42,7 @@ SIGNATURE = 3 * TREES  # minwise values kept per class: a root for each tree, al
 BRANCHES = TREES * LEVELS * CHILDREN  # further ones of the members of large nodes: each tree and level has its own
 HASH_BYTES = 6  # of a shingle when sets are compared
 PACK_BYTES = 1 << 18  # of sets that are compared at once in a crowd
+BROADCAST_IDS = 1_000_000  # most ids that are broadcast to filter the sets
 PAIRS_AT_ONCE = 16  # pairs of packs in a batch
 VOCABULARY = 4096  # shingles of two packs that are held as columns at once
 SIZE_BINS = 1.005  # ratio of neighbouring classes of set sizes
@@ -168,11 +169,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         member, root = _forest(*np.concatenate(links, axis=1))
         yield pa.record_batch([pa.array(root), pa.array(member)], names=["a", "b"])
 
-    x = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
+    some = _only(sets.select("doc_id", "elements"), _ends(pairs))
+    x = some.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
+    y = some.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of the documents ``ids`` (doc_id): a filter in the scan while the ids, which are counted, are few enough to be broadcast."""
+    return sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
 def unique_shingles(sets: DataFrame) -> DataFrame:
     """(doc_id, unique): how many shingles of a document no other of these documents has; documents without one are left out."""
     def work(batches):
@@ -274,7 +285,8 @@ def _crowd_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     packs = lambda n: F.ceil(F.sum(n) * HASH_BYTES / PACK_BYTES).cast("long")
     sizes = members.groupBy("crowd").agg(packs(F.col("n")).alias("packs"), packs(F.when(outside, F.col("n")).otherwise(0)).alias("outer"))
     held = F.collect_list(F.struct("doc_id", "label", "elements"))
-    full = members.join(sizes, "crowd").join(sets.select("doc_id", "elements"), "doc_id")
+    some = _only(sets.select("doc_id", "elements"), members.select("doc_id").distinct())
+    full = members.join(sizes, "crowd").join(some, "doc_id")
     every = full.groupBy("crowd", F.pmod(F.xxhash64("doc_id"), "packs").alias("pack")).agg(held.alias("y"))
     few = full.where(outside).groupBy("crowd", F.pmod(F.xxhash64("doc_id"), "outer").alias("number")).agg(held.alias("x"), F.first("packs").alias("packs"))
     few = few.select("crowd", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("packs") - 1)).alias("pack"))
@@ -342,7 +354,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         large = nodes.where(F.col("size") > SMALL)
         if sets is None:
             # members of large nodes are compared at each level: one pass over the texts writes the sets of all
-            ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(large.select("m.doc_id")).distinct()
+            ids = _ends(pairs).union(large.select("m.doc_id")).distinct()
             sets = stored(full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
         new = stored(confirmed(pairs, sets, percent), "links")
         links = new if links is None else links.union(new)
@@ -350,7 +362,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             break
         if level == 0:
             pool = large.select("m.doc_id").distinct()
-            unique = stored(unique_shingles(sets.select("doc_id", "elements").join(pool, "doc_id", "left_semi")), "unique")
+            unique = stored(unique_shingles(_only(sets.select("doc_id", "elements"), pool)), "unique")
         at_end = level == LEVELS
         labels = components(links).toDF("doc_id", "found")
         members = large.select("key", "tree", "m.doc_id", "m.n_shingles", "m.sig").join(labels, "doc_id", "left").join(unique, "doc_id", "left").withColumns(
