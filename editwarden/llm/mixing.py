@@ -8,7 +8,9 @@ share, long ones fill up to a rest below FIT_WORDS, and a bounded-knapsack table
 sum that still fits. Which documents of a length are taken follows a seeded hash, so reruns agree.
 
 One row per source and length goes to one task: with S words there are at most sqrt(2 S) lengths.
-Null texts have size 0; such documents are taken without words. Null sources are one source. Other columns are ignored.
+Null texts have size 0; such documents are taken without words. Null sources are one source. Each row is a document of its own,
+also without a doc_id or with one that repeats; such rows are told apart by a hash of the text, and rows alike in doc_id, source
+and text are interchangeable. Other columns are ignored by ``mix_sources`` and kept by ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ SEED = 9
 SUB_BUCKETS = 4096  # a length group is ranked in so many parts
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+def _size():
+    return F.size(words(F.col("text"))).cast("long").alias("size")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -95,27 +97,42 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"number": rows["number"], "size": rows["size"], "whole": whole, "extra": extra})
 
 
-def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken): how often each document is in the mix."""
-    spark = ready(docs.sparkSession)
-    sizes = stored(word_counts(docs), "sizes")
+def _row_hash(seed: int):
+    """A seeded hash of doc_id; of the text where there is no doc_id."""
+    return F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.xxhash64("text")))
+
+
+def _with_copies(sizes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, source, size, h, tie and others) with source_size, target, copies and taken; ``sizes`` (source, size, h) are those of the same rows."""
     targets = stored(source_targets(sizes), "targets")
-    h = F.xxhash64(F.lit(seed), "doc_id")
-    rows = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", "number", "size", "source_size", "target", h.alias("h"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(SUB_BUCKETS)).alias("sub"))
-    counts = rows.groupBy("number", "size", "sub", "source_size", "target").agg(F.count("*").alias("count"))
+    sub = F.pmod(F.shiftrightunsigned("h", 40), F.lit(SUB_BUCKETS)).alias("sub")
+    # one row per source: Spark broadcasts it while it is small
+    numbered = lambda r: r.join(targets.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source"))).select(
+        *r.columns, "number", "source_size", "target", sub)
+    counts = numbered(sizes).groupBy("number", "size", "sub", "source_size", "target").agg(F.count("*").alias("count"))
     plan = counts.groupBy("number", "size", "source_size", "target").agg(F.sum("count").alias("count")).groupBy("number").applyInPandas(
         _fit, "number int, size long, whole int, extra long")
     earlier = Window.partitionBy("number", "size").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("number", "size", "sub", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before")).join(plan, ["number", "size"])
-    rank = F.row_number().over(Window.partitionBy("number", "size", "sub").orderBy("h", "doc_id"))
-    out = rows.withColumn("rank", rank).join(offsets, ["number", "size", "sub"])
+    rank = F.row_number().over(Window.partitionBy("number", "size", "sub").orderBy("h", "doc_id", "tie"))
+    out = numbered(rows).withColumn("rank", rank).join(offsets, ["number", "size", "sub"])
     copies = F.col("whole") + (F.col("before") + F.col("rank") <= F.col("extra")).cast("int")
-    return out.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return out.withColumn("copies", copies.cast("long")).withColumn("taken", (F.col("size") * copies).cast("long"))
+
+
+def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken): how often each document is in the mix."""
+    ready(docs.sparkSession)
+    sizes = stored(docs.select("doc_id", "source", _size(), _row_hash(seed).alias("h"), F.xxhash64("text").alias("tie")), "sizes")
+    return _with_copies(sizes, sizes).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The documents of the mix with the columns ``copies`` and ``taken``; one row each, those with no copy go."""
-    chosen = mix_sources(docs, seed).where("copies > 0").select("doc_id", F.col("copies").alias("__copies"), F.col("taken").alias("__taken"))
-    names = [c for c in docs.columns if c not in ("copies", "taken")]
-    return docs.join(chosen, "doc_id").select(*names, F.col("__copies").alias("copies"), F.col("__taken").alias("taken"))
+    """The documents of the mix with the columns ``copies`` and ``taken``; one row each, those with no copy go.
+
+    Rows carry their columns to the place where their copies are decided, so the texts are shuffled once."""
+    ready(docs.sparkSession)
+    names = [c for c in docs.columns if c.lower() not in ("copies", "taken")]
+    sizes = stored(docs.select("source", _size(), _row_hash(seed).alias("h")), "sizes")
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), "doc_id", "source", _size(), _row_hash(seed).alias("h"), F.xxhash64("text").alias("tie"))
+    return _with_copies(sizes, rows).where("copies > 0").select(*[F.col("row")[c].alias(c) for c in names], "copies", "taken")
