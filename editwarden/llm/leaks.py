@@ -6,8 +6,10 @@ within the budget holds one piece unchanged. All pieces are found at once by a s
 the whole item is compared with Myers' bit-parallel distance. Items are a query set: they are read in
 blocks of a bounded number of characters, each block meets all documents.
 
-A null or empty text matches nothing. Items under SHORTEST characters (null ones too) say too little and match nothing.
-Repeated items count each; repeated documents each get the result. Other columns are passed through or ignored.
+Items under SHORTEST characters have no budget: they match where they stand unchanged between word ends, so a one-word
+item matches every document with that word. A null or empty text, of an item or a document, matches nothing.
+Repeated items count each; items without item_id count as one and are not listed in item_ids. Each row of the documents is judged
+by its own text, also without a doc_id or with one that repeats. Other columns are passed through or ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,14 @@ def normal(text: str | None) -> str:
 
 
 def budget(item: str) -> int:
-    return max(1, len(item) // EDIT_PERIOD)
+    return max(1, len(item) // EDIT_PERIOD) if len(item) >= SHORTEST else 0
+
+
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether the part from start to end is not cut out of a longer word."""
+    left = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    right = end < len(text) and text[end - 1].isalnum() and text[end].isalnum()
+    return not left and not right
 
 
 def pieces(item: str):
@@ -99,6 +108,10 @@ class Finder:
                 start = end + 1 - length - offset
                 if out.get(k) == 0 or (k, start) in tried:
                     continue
+                if len(self.items[k][1]) < SHORTEST:
+                    if stands_alone(text, start, end + 1):
+                        out[k] = 0
+                    continue
                 tried.add((k, start))
                 _, item, masks = self.items[k]
                 edits = budget(item)
@@ -116,7 +129,7 @@ def item_blocks(items: DataFrame):
     rows = items.select("item_id", "text").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, many))))
     for block in range(many):
         got = [(r["item_id"], normal(r["text"])) for r in rows.where(F.col("block") == block).select("item_id", "text").collect()]
-        yield sorted(((k, t) for k, t in got if len(t) >= SHORTEST), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield sorted(((k, t) for k, t in got if t), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def leak_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -138,11 +151,23 @@ def leak_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, contaminated, n_items, item_ids): one row for each document."""
-    hits = leak_hits(docs, items).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    out = docs.select("doc_id").join(hits, "doc_id", "left")
-    ids = F.coalesce("item_ids", F.array().cast("array<bigint>"))
-    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
+    """(doc_id, contaminated, n_items, item_ids): one row for each row of ``docs``; one pass for each block of items, no shuffle."""
+    ready(docs.sparkSession)
+    out = docs.select("doc_id", "text", F.array().cast("array<bigint>").alias("item_ids"), F.lit(False).alias("unnamed"))
+    for block in item_blocks(items):
+        def work(batches, block=block):
+            finder = Finder(block)
+            for batch in batches:
+                ids, unnamed = batch.column("item_ids").to_pylist(), batch.column("unnamed").to_pylist()
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    found = {finder.items[k][0] for k in finder.find(text)}
+                    unnamed[i] |= None in found
+                    ids[i] = sorted({*ids[i], *found} - {None})
+                yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.list_(pa.int64())), pa.array(unnamed, pa.bool_())],
+                                      names=["doc_id", "text", "item_ids", "unnamed"])
+        out = out.mapInArrow(work, out.schema)
+    n_items = (F.size("item_ids") + F.col("unnamed").cast("int")).cast("long")
+    return out.select("doc_id", (n_items > 0).alias("contaminated"), n_items.alias("n_items"), "item_ids")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
