@@ -132,6 +132,93 @@ def test_licences(spark):
     assert licences(documents(spark, [])).count() == 0
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "BSD-3-Clause": """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Unlicense": "This is free and unencumbered software released into the\npublic domain.",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- "])
+def test_wrapped_licence_texts(spark, mark):
+    rows = []
+    for i, text in enumerate(WRAPPED.values()):
+        lines = "\n".join((mark + line).rstrip() for line in text.split("\n"))
+        rows += [(2 * i, lines), (2 * i + 1, "code()\n\n" + lines.replace("\n", "\r\n") + "\n\nmore code")]
+    rows += [(100, None), (None, rows[0][1]), (101, rows[0][1]), (101, rows[2][1])]
+    got = [(r.doc_id, r.licences) for r in licences(documents(spark, rows)).collect()]
+    expected = [(2 * i + k, name) for i, name in enumerate(WRAPPED) for k in (0, 1)]
+    assert sorted(got, key=str) == sorted([*expected, (100, None), (None, "MIT"), (101, "MIT"), (101, "Apache-2.0")], key=str)
+
+
 def test_rules_and_sentences_fit_together(spark):
     import re
 
@@ -218,7 +305,25 @@ def test_mix(spark):
     stage = mixed(docs)
     assert [c for c in stage.columns if c not in ("copies", "taken")] == [c for c in docs.columns if c != "copies"]
     assert {(r.doc_id, r.taken) for r in stage.collect()} == {(r.doc_id, r.taken) for r in got if r.copies}
-    assert mix_sources(docs.limit(0)).count() == 0
+    assert mix_sources(docs.limit(0)).count() == 0 and mixed(docs.limit(0)).count() == 0
+
+
+def test_mix_of_repeated_and_unnamed_rows(spark):
+    rows = [(None, "w " * 9, "a")] * 40 + [(5, "w " * 7, "a")] * 40 + [(5, "v " * 7, "a")] * 30 + [(i, "w w w", "b") for i in range(100, 300)] + [(None, None, None)]
+    docs = spark.createDataFrame([(d, t, "en", s, 0, "x", "y", 1) for d, t, s in rows], DOCS).withColumnRenamed("number", "SUB")
+    all_rows = mix_sources(docs).collect()
+    assert len(all_rows) == len(rows)
+    taken = Counter()
+    stage = mixed(docs)
+    assert [c for c in stage.columns if c not in ("copies", "taken")] == [c for c in docs.columns if c != "copies"]
+    got = stage.collect()
+    for r in got:
+        assert r.copies in (1, 2) and r.taken == r.copies * len((r.text or "").split())
+        taken[r.source] += r.taken
+    assert Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in all_rows if r.copies)
+    wanted = {r.source_size: r.target for r in all_rows}
+    assert abs(taken["a"] - wanted[850]) <= 7 and abs(taken["b"] - wanted[600]) <= 2
+    assert Counter((r.doc_id, r.text, r.taken) for r in mixed(docs.repartition(5)).collect()) == Counter((r.doc_id, r.text, r.taken) for r in got)
 
 
 def test_length_counts_meet_the_budget():
@@ -278,6 +383,7 @@ def test_leaks_against_brute_force(spark):
     expected = {}
     for d, t in rows:
         found = {k for k, x in items if len(normal(x)) >= 24 and least_by_table(normal(x), normal(t)) <= budget(normal(x))}
+        found |= {14} if "too short" in normal(t) else set()
         expected[d] = (bool(found), len(found), sorted(found))
     docs = documents(spark, rows)
     bench = spark.createDataFrame([(k, t, 1) for k, t in items], "item_id long, text string, doc_id long")
@@ -289,6 +395,19 @@ def test_leaks_against_brute_force(spark):
     assert without_leaks(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_short_and_unnamed_items_and_rows(spark):
+    items = [(1, "What is 2 + 2?"), (2, "né"), (None, "an item of no name, but long enough"), (3, " \n ")]
+    long = "an item of no name, but long enough"
+    rows = [(1, "so WHAT is\n2 + 2? Four"), (2, "somewhat is 2 + 2?"), (3, "what is 2 + 22"), (4, "(né)"), (5, "néé né1 1né"), (None, f"x {long} y"), (None, "clean"),
+            (6, long), (6, "clean"), (7, f"né, {long}")]
+    expected = [(1, True, 1, [1]), (2, False, 0, []), (3, False, 0, []), (4, True, 1, [2]), (5, False, 0, []), (None, True, 1, []), (None, False, 0, []),
+                (6, True, 1, []), (6, False, 0, []), (7, True, 2, [2])]
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(str, map(tuple, leaked(docs, bench).collect()))) == sorted(map(str, expected))
+    kept = [t for (_, t), e in zip(rows, expected) if not e[1]]
+    assert sorted(r.text for r in without_leaks(docs, bench).collect()) == sorted(kept)
+
+
 def test_pieces_cover_the_item():
     for many in range(24, 300):
         item = "x" * many
