@@ -2,7 +2,8 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. The model: a document is good with a prior probability; a rule
 that votes has one accuracy on good documents and one on bad ones (most rules pass most bad documents, so one number for both
-would let five passes outvote a clear failure). Votes are counted by pattern first (at most 3 ** rules rows, whatever the corpus),
+would let five passes outvote a clear failure). Each kind of junk has two rules: one bad vote can be outvoted, how far follows from the
+accuracies found, two seldom. Votes are counted by pattern first (at most 3 ** rules rows, whatever the corpus),
 so each of the ROUNDS of expectation-maximisation is one aggregate over that small table. A document is kept if it passes the
 base conditions and its posterior probability of being good is at least a half.
 
@@ -19,9 +20,8 @@ from editwarden.llm.frames import ready, stored, words
 
 ROUNDS = 15
 PRIOR, ON_GOOD, ON_BAD = 0.5, 0.98, 0.2  # where the rounds begin
-# rules are written so that good documents seldom fail them: without this bound the rounds may call one kind of
-# junk good because its failures go with no other rule's
-PRIOR_RANGE, GOOD_RANGE, BAD_RANGE = (0.05, 0.95), (0.993, 0.999), (0.05, 0.95)
+# bounds for the logarithms only: what a rule is worth is estimated
+PRIOR_RANGE, GOOD_RANGE, BAD_RANGE = (0.05, 0.95), (0.5, 0.999), (0.05, 0.95)
 SMOOTH = 1.0
 # name: (good if, bad if), over the counts below; whole numbers, so that no rounding decides
 RULES = {
@@ -31,6 +31,13 @@ RULES = {
     "repeats": ("50 * n_repeat_words <= n_words", "5 * n_repeat_words > n_words"),
     "length": ("n_words >= 50", "n_words < 10"),
     "shouting": ("100 * n_shouts <= n_words", "5 * n_shouts > n_words"),
+    # a second view on each kind of junk, so that junk fails two rules where a good document may fail one
+    "symbol_chars": ("500 * n_symbols <= word_chars", "40 * n_symbols > word_chars"),
+    "long_words": ("word_chars BETWEEN 2 * n_words AND 11 * n_words", "word_chars < 2 * n_words OR 2 * word_chars > 23 * n_words"),
+    "same_lines": ("n_dup_lines = 0", "5 * n_dup_lines > 2 * n_lines"),
+    "same_words": ("n_repeat_words = 0", "10 * n_repeat_words > 3 * n_words"),
+    "short": ("n_words >= 40", "n_words < 15"),
+    "shouts": ("50 * n_shouts <= n_words", "10 * n_shouts > n_words"),
 }
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 WINDOW = 5

@@ -109,6 +109,18 @@ def test_quality_counts_and_verdict(spark):
     assert judged(documents(spark, [])).count() == 0
 
 
+def test_one_bad_vote_is_outvoted(spark):
+    random.seed(6)
+    vocabulary = ["".join(random.choices("abcdefgh", k=random.randint(4, 8))) for _ in range(800)]
+    text = lambda n, symbols=0: " ".join(w + ("#" if i < symbols else "") for i, w in enumerate(random.choices(vocabulary, k=n)))
+    rows = [(i, text(80)) for i in range(300)] + [(1000 + i, text(12)) for i in range(15)] + [(2000 + i, text(80, 60)) for i in range(40)]
+    got = {r.doc_id: r for r in judged(documents(spark, rows)).collect()}
+    bad = {d: sum(v == -1 for k, v in r.asDict().items() if k.startswith("vote_")) for d, r in got.items()}
+    assert all(bad[i] == 0 and got[i].kept for i in range(300))
+    assert all(bad[1000 + i] == 1 and got[1000 + i].kept for i in range(15))
+    assert all(bad[2000 + i] == 2 and not got[2000 + i].kept for i in range(40))
+
+
 # --- licences
 
 def test_licences(spark):
