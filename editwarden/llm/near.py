@@ -14,7 +14,8 @@ Members of large nodes carry the number of their shingles that no other such mem
 members that cannot reach the threshold leave, though their minwise values are alike. The member with the fewest such shingles is the pivot.
 
 Each level is three written tables (nodes, pairs, links); links of a task are reduced to a spanning forest before they are
-written, so components settle in a few steps.
+written. Components of up to LINKS_AT_ONCE links, which are counted, are found without a shuffle; of more links by steps of joins. Of all
+links found so far a level passes on one for each linked document, to the least of its component.
 
 Null or empty texts have no shingles, link with nothing and stay. Ties and repeated rows: the smallest
 doc_id stands for a class. Rows without doc_id link with nothing, have no component_id and are kept. Other columns of the
@@ -43,6 +44,7 @@ BRANCHES = TREES * LEVELS * CHILDREN  # further ones of the members of large nod
 HASH_BYTES = 6  # of a shingle when sets are compared
 PACK_BYTES = 1 << 18  # of sets that are compared at once in a crowd
 BROADCAST_IDS = 1_000_000  # most ids that are broadcast to filter the sets
+LINKS_AT_ONCE = 1_000_000  # most links that one task reduces to a forest
 PAIRS_AT_ONCE = 16  # pairs of packs in a batch
 VOCABULARY = 4096  # shingles of two packs that are held as columns at once
 SIZE_BINS = 1.005  # ratio of neighbouring classes of set sizes
@@ -175,9 +177,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets of the documents ``ids`` (doc_id): a filter in the scan while the ids, which are counted, are few enough to be broadcast."""
-    return sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+def _only(sets: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
+    """The sets of the documents ``ids`` (doc_id): a filter in the scan while the ids are few enough to be broadcast.
+
+    ``most`` says how many they are at most; without it they are counted."""
+    return sets.join(F.broadcast(ids) if (ids.count() if most is None else most) <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -327,6 +331,8 @@ def _first_labels(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, component_id): smallest doc_id reachable over the links (a, b), for documents with a link."""
+    if links.count() <= LINKS_AT_ONCE:
+        return stored(_components_at_once(links), "labels")
     edges = stored(_both_ways(links), "edges")
     labels = _first_labels(edges)
     while True:
@@ -336,6 +342,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("doc_id"), F.col("label").alias("component_id"))
 
 
+def _components_at_once(links: DataFrame) -> DataFrame:
+    def work(batches):
+        some = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
+        if some:
+            member, root = _forest(*[np.concatenate(side) for side in zip(*some)])
+            roots = np.unique(root)
+            yield pa.record_batch([pa.array(np.concatenate([member, roots])), pa.array(np.concatenate([root, roots]))], names=["doc_id", "component_id"])
+
+    return links.coalesce(1).mapInArrow(work, "doc_id long, component_id long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept)."""
     spark = ready(docs.sparkSession)

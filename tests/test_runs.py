@@ -74,3 +74,18 @@ def test_edit_run(spark, tmp_path):
 def test_unknown_steps_are_refused():
     with pytest.raises(ValueError, match="unknown steps"):
         RunSettings(skip=("trainig",))
+
+
+def test_comments_are_not_stored_with_the_features(spark, tmp_path):
+    # ids that repeat or are missing keep their own comments
+    rows = [(1, "x" * 5000, 1.0, 0), (1, "short", 2.0, 1), (2, None, None, 0), (None, "without id", 3.0, 1)]
+    changesets = spark.createDataFrame(rows, "changeset_id long, comment string, min_lon double, label int").withColumns({
+        "max_lon": F.col("min_lon") + 1, "min_lat": F.lit(10.0), "max_lat": F.lit(11.0)})
+    scores = spark.createDataFrame([(1, 0.5)], "changeset_id long, predicted_prob double")
+    found = runs.run_changesets(changesets, scores, str(tmp_path), RunSettings(skip=("data_splitting",)))
+    assert found.ran == ["data_loading", "feature_engineering"]
+    (folder,) = [p for p in tmp_path.iterdir() if p.name.startswith("feature_engineering-")]
+    stored, whole = spark.read.parquet(str(folder)), found.tables["features"]
+    assert "comment" not in stored.columns and whole.columns[:2] == ["changeset_id", "comment"]
+    assert [r.asDict() for r in whole.drop("comment").orderBy("min_lon").collect()] == [r.asDict() for r in stored.orderBy("min_lon").collect()]
+    assert sorted((r.comment or "", r.changeset_comment_length) for r in whole.collect()) == [("", 0), ("short", 5), ("without id", 10), ("x" * 5000, 5000)]
