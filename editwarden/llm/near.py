@@ -44,6 +44,7 @@ BRANCHES = TREES * LEVELS * CHILDREN  # further ones of the members of large nod
 HASH_BYTES = 6  # of a shingle when sets are compared
 PACK_BYTES = 1 << 18  # of sets that are compared at once in a crowd
 BROADCAST_IDS = 1_000_000  # most ids that are broadcast to filter the sets
+BROADCAST_ROWS = 250_000  # most rows of two numbers that are broadcast to a join
 LINKS_AT_ONCE = 1_000_000  # most links that one task reduces to a forest
 PAIRS_AT_ONCE = 16  # pairs of packs in a batch
 VOCABULARY = 4096  # shingles of two packs that are held as columns at once
@@ -171,17 +172,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         member, root = _forest(*np.concatenate(links, axis=1))
         yield pa.record_batch([pa.array(root), pa.array(member)], names=["a", "b"])
 
-    some = _only(sets.select("doc_id", "elements"), _ends(pairs))
+    some = _only(sets.select("doc_id", "elements"), _ends(pairs), 2 * pairs.count())
     x = some.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
     y = some.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def _only(sets: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
-    """The sets of the documents ``ids`` (doc_id): a filter in the scan while the ids are few enough to be broadcast.
+def _only(sets: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """The sets of the documents ``ids`` (doc_id), at most ``most``: a filter in the scan while the ids are few enough to be broadcast.
 
-    ``most`` says how many they are at most; without it they are counted."""
-    return sets.join(F.broadcast(ids) if (ids.count() if most is None else most) <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    They are counted only where ``most`` does not tell already."""
+    few = most <= BROADCAST_IDS or ids.count() <= BROADCAST_IDS
+    return sets.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """A written table, broadcast in joins where it is small: the rows it is joined to are not shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -289,7 +296,7 @@ def _crowd_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     packs = lambda n: F.ceil(F.sum(n) * HASH_BYTES / PACK_BYTES).cast("long")
     sizes = members.groupBy("crowd").agg(packs(F.col("n")).alias("packs"), packs(F.when(outside, F.col("n")).otherwise(0)).alias("outer"))
     held = F.collect_list(F.struct("doc_id", "label", "elements"))
-    some = _only(sets.select("doc_id", "elements"), members.select("doc_id").distinct())
+    some = _only(sets.select("doc_id", "elements"), members.select("doc_id").distinct(), rows.count())
     full = members.join(sizes, "crowd").join(some, "doc_id")
     every = full.groupBy("crowd", F.pmod(F.xxhash64("doc_id"), "packs").alias("pack")).agg(held.alias("y"))
     few = full.where(outside).groupBy("crowd", F.pmod(F.xxhash64("doc_id"), "outer").alias("number")).agg(held.alias("x"), F.first("packs").alias("packs"))
@@ -374,29 +381,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             ids = _ends(pairs).union(large.select("m.doc_id")).distinct()
             sets = stored(full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
         new = stored(confirmed(pairs, sets, percent), "links")
-        links = new if links is None else links.union(new)
+        links = new if links is None else links.unionByName(new)
         if large.isEmpty():
             break
         if level == 0:
             pool = large.select("m.doc_id").distinct()
-            unique = stored(unique_shingles(_only(sets.select("doc_id", "elements"), pool)), "unique")
+            unique = _few(stored(unique_shingles(_only(sets.select("doc_id", "elements"), pool, large.count())), "unique"))
         at_end = level == LEVELS
-        labels = components(links).toDF("doc_id", "found")
+        labels = components(links)
+        # one link for each linked document says as much as all links
+        links = labels.where("doc_id <> component_id").toDF("b", "a")
+        labels = _few(labels).toDF("doc_id", "found")
         members = large.select("key", "tree", "m.doc_id", "m.n_shingles", "m.sig").join(labels, "doc_id", "left").join(unique, "doc_id", "left").withColumns(
             {"label": F.coalesce("found", "doc_id"), "unique": F.coalesce("unique", F.lit(0).cast("long"))})
         rows = stored(_with_majority(_that_can_link(members.select("key", "tree", member), percent)), "members")
         # branching cannot part what is alike: where most members are connected, the others are compared with all at once
         mostly = rows.where(F.lit(at_end) | (2 * F.col("major_size") >= F.col("size")))
-        with batches_of(spark, PAIRS_AT_ONCE):
-            links = links.union(stored(_crowd_links(mostly, sets, percent), "links"))
+        if not mostly.isEmpty():
+            with batches_of(spark, PAIRS_AT_ONCE):
+                links = links.unionByName(stored(_crowd_links(mostly, sets, percent), "links"))
         if at_end:
             break
         place = (F.col("tree") * LEVELS + level) * CHILDREN
         rows = rows.where(2 * F.col("major_size") < F.col("size")).withColumn("doc_id", F.col("m.doc_id"))
+        if rows.isEmpty():
+            break
         rows = rows.join(sets.select("doc_id", "branches"), "doc_id").select(
             F.col("key").alias("parent"), "tree", "m", F.posexplode(F.array(*[F.get("branches", place + c) for c in range(CHILDREN)])).alias("child", "v")).select(
             F.xxhash64("parent", "child", "v").alias("key"), "tree", "m")
-    labels = components(links)
+    labels = _few(components(links))
     of_class = classes.select("doc_id", *named).join(labels, "doc_id", "left").select(*named, F.coalesce("component_id", "doc_id").alias("component_id"))
     out = sig.join(of_class, named, "left").select("doc_id", "n_shingles", F.when(
         F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
