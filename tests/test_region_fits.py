@@ -109,3 +109,28 @@ def test_ledger_and_steps(spark, tmp_path):
     assert steps(2)[0] == ["a", "b"] and steps(1)[0] == []
     ran, n, a = steps(3, skip=["a"])
     assert ran == [] and n is None and a is None
+
+
+def test_a_fit_reads_the_folders_of_its_regions_only(spark, rows, tmp_path):
+    seen = []
+
+    def fit(encoded, masks, params, label, threshold):
+        side = encoded.where(region_fits._within(masks[0])).select("_features", label, F.lit(False).alias("_validate"))
+        both = side.unionByName(encoded.where(region_fits._within(masks[1])).select("_features", label, F.lit(True).alias("_validate")))
+        files = [r[0] for r in both.where("NOT _validate").select(F.input_file_name()).distinct().collect()]
+        seen.append((masks[0], {int(f.split("_bits=")[1].split("/")[0]) for f in files}))
+        plan = both.where("NOT _validate")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan and "Generate" not in plan
+        return {"n_train": 0, "n_val": 0, "n_test": 0, "TN": 0, "FP": 0, "FN": 0, "TP": 0, "rounds": 1}
+
+    out = run(rows, str(tmp_path), fit=fit)
+    assert out.where("error IS NOT NULL").count() == 0
+    # rows of A and C have the bits 5
+    assert len(seen) == 36 and all(found == {b for b in (1, 2, 4, 5, 8) if b & mask} for mask, found in seen)
+
+
+def test_fewer_fits_run_side_by_side_on_more_rows(rows, monkeypatch):
+    assert region_fits._side_by_side(rows, 4) == 4
+    for held, fits in ((1800, 3), (1199, 1), (10, 1)):
+        monkeypatch.setattr(region_fits, "ROWS_HELD", held)
+        assert region_fits._side_by_side(rows, 4) == fits
