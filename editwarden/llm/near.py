@@ -15,7 +15,8 @@ members that cannot reach the threshold leave, though their minwise values are a
 
 Each level is three written tables (nodes, pairs, links); links of a task are reduced to a spanning forest before they are
 written. Components of up to LINKS_AT_ONCE links, which are counted, are found without a shuffle; of more links by steps of joins. Of all
-links found so far a level passes on one for each linked document, to the least of its component.
+links found so far a level passes on one for each linked document, to the least of its component. The rows of a step are counted or bounded first, and a step of few rows is written
+by as many tasks as there are cores, not by one for each shuffle partition.
 
 Null or empty texts have no shingles, link with nothing and stay. Ties and repeated rows: the smallest
 doc_id stands for a class. Rows without doc_id link with nothing, have no component_id and are kept. Other columns of the
@@ -46,6 +47,8 @@ PACK_BYTES = 1 << 18  # of sets that are compared at once in a crowd
 BROADCAST_IDS = 1_000_000  # most ids that are broadcast to filter the sets
 BROADCAST_ROWS = 250_000  # most rows of two numbers that are broadcast to a join
 LINKS_AT_ONCE = 1_000_000  # most links that one task reduces to a forest
+ROWS_A_TASK = 20_000  # rows of a step that are worth a task and a file of their own
+PAIRS_A_TASK = 2_000  # the same for pairs that are confirmed on their sets
 PAIRS_AT_ONCE = 16  # pairs of packs in a batch
 VOCABULARY = 4096  # shingles of two packs that are held as columns at once
 SIZE_BINS = 1.005  # ratio of neighbouring classes of set sizes
@@ -154,6 +157,14 @@ def _forest(a, b):
     return names[moved], names[label[moved]]
 
 
+def _tasks(rows: DataFrame, many: int, each: int = ROWS_A_TASK) -> DataFrame:
+    """``rows`` of a step that reads ``many`` rows, in no more partitions than these are worth, but in one for each core at least.
+
+    Partitions are merged without a shuffle; their number only falls."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(cores, -(-many // each)))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect what the pairs connect whose full sets have 100 * intersection >= percent * union."""
     def work(batches):
@@ -172,10 +183,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         member, root = _forest(*np.concatenate(links, axis=1))
         yield pa.record_batch([pa.array(root), pa.array(member)], names=["a", "b"])
 
-    some = _only(sets.select("doc_id", "elements"), _ends(pairs), 2 * pairs.count())
+    many = pairs.count()
+    some = _only(sets.select("doc_id", "elements"), _ends(pairs), 2 * many)
     x = some.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
     y = some.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    both = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
+    return _tasks(both, many, PAIRS_A_TASK).mapInArrow(work, "a long, b long")
 
 
 def _only(sets: DataFrame, ids: DataFrame, most: int) -> DataFrame:
@@ -365,16 +378,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     spark = ready(docs.sparkSession)
     sig = stored(signatures(docs, shingle), "signatures")
     named = ["d1", "d2", "n_shingles"]
-    classes = stored(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*named).agg(F.min(F.struct("doc_id", "sig")).alias("c")).select(
-        F.col("c.doc_id").alias("doc_id"), *named, F.col("c.sig").alias("sig")), "classes")
+    classes = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*named).agg(F.min(F.struct("doc_id", "sig")).alias("c")).select(
+        F.col("c.doc_id").alias("doc_id"), *named, F.col("c.sig").alias("sig"))
+    classes = stored(_tasks(classes, sig.count()), "classes")
 
     member = F.struct("doc_id", "label", "n_shingles", "unique", "sig").alias("m")
     rows = classes.withColumns({"label": F.col("doc_id"), "unique": F.lit(0).cast("long")}).select(member, F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "v")).select(
         F.xxhash64("tree", "v").alias("key"), "tree", "m")
-    links, sets = None, None
+    links, sets, many = None, None, classes.count() * TREES
     for level in range(LEVELS + 1):
-        nodes = stored(_sized(rows), "nodes")
-        pairs = stored(_pairs(nodes, percent), "pairs")
+        nodes = stored(_tasks(_sized(rows), many), "nodes")
+        pairs = stored(_tasks(_pairs(nodes, percent), nodes.count()), "pairs")
         large = nodes.where(F.col("size") > SMALL)
         if sets is None:
             # members of large nodes are compared at each level: one pass over the texts writes the sets of all
@@ -394,7 +408,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         labels = _few(labels).toDF("doc_id", "found")
         members = large.select("key", "tree", "m.doc_id", "m.n_shingles", "m.sig").join(labels, "doc_id", "left").join(unique, "doc_id", "left").withColumns(
             {"label": F.coalesce("found", "doc_id"), "unique": F.coalesce("unique", F.lit(0).cast("long"))})
-        rows = stored(_with_majority(_that_can_link(members.select("key", "tree", member), percent)), "members")
+        rows = stored(_tasks(_with_majority(_that_can_link(members.select("key", "tree", member), percent)), large.count()), "members")
         # branching cannot part what is alike: where most members are connected, the others are compared with all at once
         mostly = rows.where(F.lit(at_end) | (2 * F.col("major_size") >= F.col("size")))
         if not mostly.isEmpty():
@@ -404,7 +418,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             break
         place = (F.col("tree") * LEVELS + level) * CHILDREN
         rows = rows.where(2 * F.col("major_size") < F.col("size")).withColumn("doc_id", F.col("m.doc_id"))
-        if rows.isEmpty():
+        many = rows.count() * CHILDREN
+        if not many:
             break
         rows = rows.join(sets.select("doc_id", "branches"), "doc_id").select(
             F.col("key").alias("parent"), "tree", "m", F.posexplode(F.array(*[F.get("branches", place + c) for c in range(CHILDREN)])).alias("child", "v")).select(

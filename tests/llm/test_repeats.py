@@ -240,6 +240,36 @@ def test_components_of_few_links_take_no_shuffle(spark, monkeypatch):
     assert near.components(frame.where("a < 0")).isEmpty()
 
 
+def test_steps_of_few_rows_are_written_by_few_tasks(spark, monkeypatch):
+    from editwarden.llm import near
+
+    chance = random.Random(5)
+    passage = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(passage[:chance.randint(20, 60)] + [f"x{i}y{k}" for k in range(20)]), None) for i in range(300)]
+    files, stored = {}, near.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near, "stored", counted)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=4).collect()}
+        cores = spark.sparkContext.defaultParallelism
+        assert all(max(files[name]) <= cores for name in ("classes", "nodes", "pairs", "members"))
+        assert near._tasks(spark.range(0, 100, 1, 50), near.ROWS_A_TASK * (cores + 3)).rdd.getNumPartitions() == min(50, cores + 3)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=4).collect()} and len(got) == 300
+
+
 def test_one_of_each_group_stays_with_its_columns(spark):
     docs = frame(spark, corpus(3, words=120))
     out = without_near_duplicates(docs)
