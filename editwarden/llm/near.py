@@ -16,7 +16,8 @@ members that cannot reach the threshold leave, though their minwise values are a
 Each level is three written tables (nodes, pairs, links); links of a task are reduced to a spanning forest before they are
 written. Components of up to LINKS_AT_ONCE links, which are counted, are found without a shuffle; of more links by steps of joins. Of all
 links found so far a level passes on one for each linked document, to the least of its component. The rows of a step are counted or bounded first, and a step of few rows is written
-by as many tasks as there are cores, not by one for each shuffle partition.
+by as many tasks as there are cores, not by one for each shuffle partition. Rows that are the work of one task are grouped in one partition,
+without a shuffle, and few rows are broadcast to the sets. The texts are shuffled only where a doc_id is repeated or the documents to compare are too many to be broadcast.
 
 Null or empty texts have no shingles, link with nothing and stay. Ties and repeated rows: the smallest
 doc_id stands for a class. Rows without doc_id link with nothing, have no component_id and are kept. Other columns of the
@@ -49,6 +50,7 @@ BROADCAST_ROWS = 250_000  # most rows of two numbers that are broadcast to a joi
 LINKS_AT_ONCE = 1_000_000  # most links that one task reduces to a forest
 ROWS_A_TASK = 20_000  # rows of a step that are worth a task and a file of their own
 PAIRS_A_TASK = 2_000  # the same for pairs that are confirmed on their sets
+PACKS_A_TASK = 8  # the same for pairs of packs
 PAIRS_AT_ONCE = 16  # pairs of packs in a batch
 VOCABULARY = 4096  # shingles of two packs that are held as columns at once
 SIZE_BINS = 1.005  # ratio of neighbouring classes of set sizes
@@ -165,8 +167,13 @@ def _tasks(rows: DataFrame, many: int, each: int = ROWS_A_TASK) -> DataFrame:
     return rows.coalesce(max(cores, -(-many // each)))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what the pairs connect whose full sets have 100 * intersection >= percent * union."""
+def _together(rows: DataFrame, many: int) -> DataFrame:
+    """``rows`` of a written table that has ``many``: in one partition where these are the work of one task, so that no grouping of them shuffles."""
+    return rows.coalesce(1) if many <= ROWS_A_TASK else rows
+
+
+def confirmed(pairs: DataFrame, many: int, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what those of the ``many`` pairs connect whose full sets have 100 * intersection >= percent * union."""
     def work(batches):
         held = (None, None)
         links = [np.zeros((2, 0), dtype=np.int64)]
@@ -183,29 +190,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         member, root = _forest(*np.concatenate(links, axis=1))
         yield pa.record_batch([pa.array(root), pa.array(member)], names=["a", "b"])
 
-    many = pairs.count()
-    some = _only(sets.select("doc_id", "elements"), _ends(pairs), 2 * many)
+    full = sets.select("doc_id", "elements")
+    if many <= BROADCAST_ROWS:
+        # few pairs go to the sets of their second members, so that only what they meet is shuffled
+        some, pairs = _only(full, pairs.select(F.col("a").alias("doc_id")), many), F.broadcast(pairs)
+    else:
+        some = full = _only(full, _ends(pairs), 2 * many)
     x = some.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    y = some.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
+    y = full.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
     return _tasks(both, many, PAIRS_A_TASK).mapInArrow(work, "a long, b long")
 
 
 def _only(sets: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """The sets of the documents ``ids`` (doc_id), at most ``most``: a filter in the scan while the ids are few enough to be broadcast.
+    """The sets of the documents ``ids`` (doc_id, may repeat), at most ``most``: a filter in the scan while the ids are few enough to be broadcast.
 
-    They are counted only where ``most`` does not tell already."""
+    They are made distinct and counted only where ``most`` does not tell already that they are few."""
+    ids = ids if most <= BROADCAST_ROWS else ids.distinct()
     few = most <= BROADCAST_IDS or ids.count() <= BROADCAST_IDS
     return sets.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """A written table, broadcast in joins where it is small: the rows it is joined to are not shuffled."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+def _few(rows: DataFrame, many: int | None = None) -> DataFrame:
+    """A written table of ``many`` rows (counted if not given), broadcast in joins where it is small: the rows it is joined to are not shuffled."""
+    return F.broadcast(rows) if (rows.count() if many is None else many) <= BROADCAST_ROWS else rows
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
 
 
 def unique_shingles(sets: DataFrame) -> DataFrame:
@@ -296,21 +308,26 @@ def _shared(x, y):
     return out.astype(np.int64)
 
 
-def _crowd_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of whole crowds: the members outside the largest connected part against all, pack by pack.
+def _crowd_links(rows: DataFrame, many: int, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of whole crowds, of ``many`` rows: the members outside the largest connected part against all, pack by pack.
 
     Nodes whose largest part is the same one are a single crowd, so that a pair is met once and not in each tree. Packs hold
     about PACK_BYTES of sets; a pack of outsiders meets each pack of its crowd, and only links leave the comparison."""
     mostly = 2 * F.col("major_size") >= F.col("size")
     crowd = F.struct(F.when(mostly, F.lit(None)).otherwise(F.col("key")).alias("key"), "major")
-    members = rows.select(F.xxhash64(crowd).alias("crowd"), F.col("m.doc_id").alias("doc_id"), F.col("m.label").alias("label"),
-                          F.col("m.n_shingles").alias("n"), "major").dropDuplicates(["crowd", "doc_id"])
+    members = _together(rows, many).select(F.xxhash64(crowd).alias("crowd"), F.col("m.doc_id").alias("doc_id"), F.col("m.label").alias("label"),
+                                           F.col("m.n_shingles").alias("n"), "major").dropDuplicates(["crowd", "doc_id"])
+    members = stored(_tasks(members, many), "crowds")
     outside = F.col("label") != F.col("major")
     packs = lambda n: F.ceil(F.sum(n) * HASH_BYTES / PACK_BYTES).cast("long")
-    sizes = members.groupBy("crowd").agg(packs(F.col("n")).alias("packs"), packs(F.when(outside, F.col("n")).otherwise(0)).alias("outer"))
+    sizes = _together(members, many).groupBy("crowd").agg(packs(F.col("n")).alias("packs"), packs(F.when(outside, F.col("n")).otherwise(0)).alias("outer"))
+    sizes = stored(_tasks(sizes, many), "sizes")
+    meetings = sizes.agg(F.sum(F.col("packs") * F.col("outer"))).first()[0]
     held = F.collect_list(F.struct("doc_id", "label", "elements"))
-    some = _only(sets.select("doc_id", "elements"), members.select("doc_id").distinct(), rows.count())
-    full = members.join(sizes, "crowd").join(some, "doc_id")
+    some, wide = sets.select("doc_id", "elements"), 3 * many  # six numbers a row
+    if wide > BROADCAST_ROWS:
+        some = _only(some, members.select("doc_id"), many)
+    full = _few(members.join(_few(sizes, wide), "crowd"), wide).join(some, "doc_id")
     every = full.groupBy("crowd", F.pmod(F.xxhash64("doc_id"), "packs").alias("pack")).agg(held.alias("y"))
     few = full.where(outside).groupBy("crowd", F.pmod(F.xxhash64("doc_id"), "outer").alias("number")).agg(held.alias("x"), F.first("packs").alias("packs"))
     few = few.select("crowd", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("packs") - 1)).alias("pack"))
@@ -329,7 +346,7 @@ def _crowd_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         member, root = _forest(*np.concatenate(links, axis=1))
         yield pa.record_batch([pa.array(root), pa.array(member)], names=["a", "b"])
 
-    return few.join(every, ["crowd", "pack"]).select("x", "y").mapInArrow(work, "a long, b long")
+    return _tasks(few.join(every, ["crowd", "pack"]).select("x", "y"), meetings, PACKS_A_TASK).mapInArrow(work, "a long, b long")
 
 
 def _followed(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -380,7 +397,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     named = ["d1", "d2", "n_shingles"]
     classes = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*named).agg(F.min(F.struct("doc_id", "sig")).alias("c")).select(
         F.col("c.doc_id").alias("doc_id"), *named, F.col("c.sig").alias("sig"))
-    classes = stored(_tasks(classes, sig.count()), "classes")
+    copies = sig.groupBy("doc_id").agg(F.count("*").alias("n"))
+    of_all, of_id = copies.agg(F.sum("n"), F.max(F.when(F.col("doc_id").isNotNull(), F.col("n")))).first()
+    classes = stored(_tasks(classes, of_all or 0), "classes")
 
     member = F.struct("doc_id", "label", "n_shingles", "unique", "sig").alias("m")
     rows = classes.withColumns({"label": F.col("doc_id"), "unique": F.lit(0).cast("long")}).select(member, F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "v")).select(
@@ -388,42 +407,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links, sets, many = None, None, classes.count() * TREES
     for level in range(LEVELS + 1):
         nodes = stored(_tasks(_sized(rows), many), "nodes")
-        pairs = stored(_tasks(_pairs(nodes, percent), nodes.count()), "pairs")
+        of_nodes, of_large = nodes.agg(F.count("*"), F.count_if(F.col("size") > SMALL)).first()
+        pairs = stored(_tasks(_pairs(_together(nodes, of_nodes), percent), of_nodes), "pairs")
+        of_pairs = pairs.count()
         large = nodes.where(F.col("size") > SMALL)
         if sets is None:
             # members of large nodes are compared at each level: one pass over the texts writes the sets of all
-            ids = _ends(pairs).union(large.select("m.doc_id")).distinct()
-            sets = stored(full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
-        new = stored(confirmed(pairs, sets, percent), "links")
+            texts = _only(docs.select("doc_id", "text"), _ends(pairs).union(large.select("m.doc_id")), 2 * of_pairs + of_large)
+            # the texts are shuffled by doc_id only where one is repeated
+            sets = stored(full_sets(texts if (of_id or 0) <= 1 else texts.dropDuplicates(["doc_id"]), shingle), "sets")
+        new = stored(confirmed(pairs, of_pairs, sets, percent), "links")
         links = new if links is None else links.unionByName(new)
-        if large.isEmpty():
+        if not of_large:
             break
         if level == 0:
-            pool = large.select("m.doc_id").distinct()
-            unique = _few(stored(unique_shingles(_only(sets.select("doc_id", "elements"), pool, large.count())), "unique"))
+            unique = unique_shingles(_only(sets.select("doc_id", "elements"), large.select("m.doc_id"), of_large))
+            unique = _few(stored(_tasks(unique, of_large), "unique"))
         at_end = level == LEVELS
         labels = components(links)
         # one link for each linked document says as much as all links
         links = labels.where("doc_id <> component_id").toDF("b", "a")
         labels = _few(labels).toDF("doc_id", "found")
-        members = large.select("key", "tree", "m.doc_id", "m.n_shingles", "m.sig").join(labels, "doc_id", "left").join(unique, "doc_id", "left").withColumns(
+        members = _together(large, of_large).select("key", "tree", "m.doc_id", "m.n_shingles", "m.sig").join(labels, "doc_id", "left").join(unique, "doc_id", "left").withColumns(
             {"label": F.coalesce("found", "doc_id"), "unique": F.coalesce("unique", F.lit(0).cast("long"))})
-        rows = stored(_tasks(_with_majority(_that_can_link(members.select("key", "tree", member), percent)), large.count()), "members")
+        rows = stored(_tasks(_with_majority(_that_can_link(members.select("key", "tree", member), percent)), of_large), "members")
         # branching cannot part what is alike: where most members are connected, the others are compared with all at once
-        mostly = rows.where(F.lit(at_end) | (2 * F.col("major_size") >= F.col("size")))
-        if not mostly.isEmpty():
+        alike = F.lit(at_end) | (2 * F.col("major_size") >= F.col("size"))
+        of_mostly, of_others = rows.agg(F.count_if(alike), F.count_if(~alike)).first()
+        if of_mostly:
             with batches_of(spark, PAIRS_AT_ONCE):
-                links = links.unionByName(stored(_crowd_links(mostly, sets, percent), "links"))
-        if at_end:
+                links = links.unionByName(stored(_crowd_links(rows.where(alike), of_mostly, sets, percent), "links"))
+        if not of_others:
             break
         place = (F.col("tree") * LEVELS + level) * CHILDREN
-        rows = rows.where(2 * F.col("major_size") < F.col("size")).withColumn("doc_id", F.col("m.doc_id"))
-        many = rows.count() * CHILDREN
-        if not many:
-            break
-        rows = rows.join(sets.select("doc_id", "branches"), "doc_id").select(
+        rows = rows.where(~alike).withColumn("doc_id", F.col("m.doc_id"))
+        many = of_others * CHILDREN
+        rows = (F.broadcast(rows) if many <= ROWS_A_TASK else rows).join(sets.select("doc_id", "branches"), "doc_id").select(
             F.col("key").alias("parent"), "tree", "m", F.posexplode(F.array(*[F.get("branches", place + c) for c in range(CHILDREN)])).alias("child", "v")).select(
             F.xxhash64("parent", "child", "v").alias("key"), "tree", "m")
+        if many <= ROWS_A_TASK:
+            # the work of one task, as in _together, but the sets are read by many
+            rows = rows.repartition(1)
     labels = _few(components(links))
     of_class = classes.select("doc_id", *named).join(labels, "doc_id", "left").select(*named, F.coalesce("component_id", "doc_id").alias("component_id"))
     out = sig.join(of_class, named, "left").select("doc_id", "n_shingles", F.when(

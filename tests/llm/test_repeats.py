@@ -270,6 +270,39 @@ def test_steps_of_few_rows_are_written_by_few_tasks(spark, monkeypatch):
     assert got == {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=4).collect()} and len(got) == 300
 
 
+def test_few_rows_are_grouped_without_a_shuffle(spark, monkeypatch):
+    """Each shuffle costs a task for each of its partitions, however few rows it has; with more rows than a task may hold the result is the same."""
+    from editwarden.llm import near
+
+    monkeypatch.setattr(near, "SMALL", 3)
+    chance = random.Random(6)
+    passage, other = [f"p{i}" for i in range(200)], [f"q{i}" for i in range(70)]
+    rows = [(d, " ".join(passage + [f"o{d}x{i}" for i in range(chance.choice([24, 27, 60]))])) for d in range(60)]  # a crowd
+    rows += [(d, " ".join(other + [f"o{d // 2}x{i}" for i in range(60)] + [f"o{d}y"])) for d in range(60, 160)]  # pairs in nodes that branch
+    docs = frame(spark, rows)
+    shuffles, stored = {}, near.stored
+
+    def counted(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffles.setdefault(name, []).append(plan.count("Exchange hashpartitioning"))
+        return stored(df, name)
+
+    monkeypatch.setattr(near, "stored", counted)
+    found = lambda docs: {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, shingle=4).collect()}
+    got = found(docs)
+    assert got == classes(rows, 4)
+    assert {"pairs", "sets", "members", "crowds", "sizes"} <= set(shuffles) and len(shuffles["nodes"]) > 1
+    assert all(not any(shuffles[name]) for name in ("pairs", "sets", "crowds", "sizes"))
+    assert max(shuffles["members"]) <= 2 and max(shuffles["links"]) <= 3
+    # texts are shuffled where a doc_id is repeated
+    shuffles.clear()
+    assert found(docs.union(docs.where("doc_id = 7"))) == got and any(shuffles["sets"])
+    for name in ("ROWS_A_TASK", "BROADCAST_ROWS", "BROADCAST_IDS"):
+        monkeypatch.setattr(near, name, 10)
+    shuffles.clear()
+    assert found(docs) == got and min(shuffles["pairs"] + shuffles["crowds"]) > 0
+
+
 def test_one_of_each_group_stays_with_its_columns(spark):
     docs = frame(spark, corpus(3, words=120))
     out = without_near_duplicates(docs)
