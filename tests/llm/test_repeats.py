@@ -275,6 +275,7 @@ def test_few_rows_are_grouped_without_a_shuffle(spark, monkeypatch):
     from editwarden.llm import near
 
     monkeypatch.setattr(near, "SMALL", 3)
+    monkeypatch.setattr(near, "LEVELS", 1)
     chance = random.Random(6)
     passage, other = [f"p{i}" for i in range(200)], [f"q{i}" for i in range(70)]
     rows = [(d, " ".join(passage + [f"o{d}x{i}" for i in range(chance.choice([24, 27, 60]))])) for d in range(60)]  # a crowd
@@ -298,7 +299,7 @@ def test_few_rows_are_grouped_without_a_shuffle(spark, monkeypatch):
     shuffles.clear()
     assert found(docs.union(docs.where("doc_id = 7"))) == got and any(shuffles["sets"])
     for name in ("ROWS_A_TASK", "BROADCAST_ROWS", "BROADCAST_IDS"):
-        monkeypatch.setattr(near, name, 10)
+        monkeypatch.setattr(near, name, 50)
     shuffles.clear()
     assert found(docs) == got and min(shuffles["pairs"] + shuffles["crowds"]) > 0
 
