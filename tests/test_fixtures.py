@@ -3,7 +3,9 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from checks import fixtures
 from checks.fixtures import edits, full_changesets
 
 DAY = datetime.datetime(1996, 5, 1)
@@ -51,3 +53,28 @@ def test_texts_of_changesets_come_last(spark, tables):
     assert "_doc" in joins[0]
     assert sorted((r["changeset_id"], r["label"], r["comment"], r["num_changes"]) for r in df.collect()) == [
         (10, 1, "Revert vandalism in changeset 100010", 2), (12, 0, "zero", 4), (12, 0, "zero", 4)]
+
+
+def test_edits_are_dealt_once_where_the_side_tables_are_few(spark, tables, monkeypatch):
+    """Orders of many rows are joined by their number; suppliers, customers and documents of few rows do not deal the edits anew."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(fixtures, "_few", lambda df, rows: F.broadcast(df) if rows < 3 else df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = edits(spark, tables, place=True, comment=True)
+        exchanges = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+        # edits and orders, and the orders of that number again
+        assert sum("(l_orderkey#" in e for e in exchanges) == 3
+        assert not any(word in e for e in exchanges for word in ("l_suppkey", "user_id", "_doc", "%"))
+        assert df.count() == 18
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_of_many_bytes_are_not_broadcast(spark, tables, monkeypatch):
+    def sent():
+        return [line for line in plan(edits(spark, tables, comment=True)) if "Join " in line and "_doc" in line and "strategy=broadcast" in line]
+
+    assert len(sent()) == 1
+    monkeypatch.setattr(fixtures, "BROADCAST_BYTES", 10)
+    assert not sent()
