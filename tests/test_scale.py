@@ -2,10 +2,11 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from checks import all_checks, jobs
-from editwarden.operators import bootstrap, models
+from editwarden.operators import bootstrap, models, sampling
 from editwarden.sources import writers
 
 
@@ -49,3 +50,25 @@ def test_user_documents_are_parsed_on_all_cores(spark, tmp_path):
     spark.range(40).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     found = all_checks()[0]["F26_user_info"](spark, str(tmp_path))
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 40
+
+
+@pytest.mark.parametrize("n", [1, 701])
+def test_packed_draws_count_like_single_ones(spark, n):
+    df = spark.range(n).select(
+        F.when(F.col("id") != 5, F.concat(F.lit("k"), F.col("id").cast("string"))).alias("ck"),  # numbered first, and left out
+        F.when(F.col("id") % 50 != 3, F.col("id") % 2).alias("y_true"), (F.col("id") % 3 % 2).cast("int").alias("y_pred"),
+        F.when(F.col("id") % 40 != 7, F.col("id") % 10 / 10).alias("y_prob"))
+    single = bootstrap.resampled_counts(df, "ck", 4)
+    skipped, sizes = sampling.bucket_sizes(df, "ck")
+    assert (skipped, sum(sizes)) == (n > 5, n - (n > 5))
+    for rows, most in ((10 ** 6, 10 ** 6), (40, 300)):
+        packed = bootstrap.packed_counts(df, "ck", sizes, 4, skipped=skipped, rows=rows, most=most)
+        assert packed.exceptAll(single).count() == 0 and packed.count() == single.count() and packed.dtypes == single.dtypes
+
+
+def test_many_draws_are_packed(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("ck"), (F.col("id") % 2).alias("y_true"), (F.col("id") % 3 % 2).alias("y_pred"), (F.col("id") % 10 / 10).alias("y_prob"))
+    few, many = (bootstrap.resampled_counts(df, "ck", 2, single=single) for single in (6000, 5999))
+    names = [d._jdf.queryExecution().executedPlan().toString() for d in (few, many)]
+    assert "FlatMapCoGroupsInArrow" in names[1] and "FlatMapCoGroupsInArrow" not in names[0] and "Join" not in names[1]
+    assert few.exceptAll(many).count() == 0 == many.exceptAll(few).count()
