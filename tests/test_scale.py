@@ -1,12 +1,15 @@
 """Work that must not end in one task, however large the table is."""
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks import all_checks, jobs
 from editwarden.operators import bootstrap, models, sampling
+from editwarden.plans import training
+from editwarden.session import scratch_path
 from editwarden.sources import writers
 
 
@@ -72,3 +75,27 @@ def test_many_draws_are_packed(spark, monkeypatch):
     names = [d._jdf.queryExecution().executedPlan().toString() for d in (few, many)]
     assert "FlatMapCoGroupsInArrow" in names[1] and "FlatMapCoGroupsInArrow" not in names[0] and "Join" not in names[1]
     assert few.exceptAll(many).count() == 0 == many.exceptAll(few).count()
+
+
+def test_training_builds_its_features_once_and_scores_once(spark, monkeypatch):
+    """The features are stored while they are needed, vectors in a folder for each split; threshold, metrics and predictions read stored scores."""
+    rows = spark.range(400).select(
+        F.col("id").cast("string").alias("contribution_key"), (F.col("id") % 40).alias("changeset_id"), (F.col("id") % 2).alias("vandalism"),
+        (F.col("id") % 2 * 3 + F.col("id") % 5 % 2).cast("double").alias("x"), (F.col("id") % 20).cast("double").alias("centroid_x"),
+        (F.col("id") % 9).cast("double").alias("centroid_y"), F.when(F.col("id") % 3 == 0, "node").otherwise("way").alias("osm_type"))
+    seen, paths, scored = spark.sparkContext.accumulator(0), [], []
+    monkeypatch.setattr(training, "build_features", lambda edits, settings: edits.rdd.map(lambda r: seen.add(1) or r).toDF(edits.schema))
+    monkeypatch.setattr(training, "scratch_path", lambda s, name: paths.append(scratch_path(s, name)) or paths[-1])
+    monkeypatch.setattr(training, "score", lambda df, model: scored.append(df) or models.score(df, model))
+    result = training.train_run(rows, training.TrainSettings(test=80, val=40, ratio=0.5, clusters=3, params={"n_estimators": 2, "max_depth": 2}))
+    found = result.predictions.groupBy("split").count().collect()
+    assert seen.value == 400 and {r["split"]: r["count"] for r in found} == {"train": 280, "val": 40, "test": 80}
+    assert [r["auc_roc"] for r in result.metrics.collect()] == [1.0] * 3
+    features, predictions = paths
+    assert not os.path.exists(features) and spark.read.parquet(predictions).count() == 400
+    folders = {f.split("_keep_split=")[1].split("/")[0] for f in scored[0].inputFiles()}
+    assert len(scored) == 1 and folders == {"train", "val", "test"}
+    # the model takes rows with the feature columns, as before
+    again = models.score(scored[0].select(F.col("_keep_contribution_key").alias("contribution_key")).join(
+        rows, "contribution_key").withColumns({"osm_type_node": F.lit(0), "osm_type_way": F.lit(0), "cluster_label": F.lit(0)}), result.scorer.model)
+    assert again.where((F.col("y_prob") > 0.5) == (F.col("vandalism") == 1)).count() == 400
