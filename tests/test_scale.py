@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import all_checks, jobs
 from editwarden.operators import bootstrap, models, sampling
-from editwarden.plans import training
+from editwarden.plans import features, training
 from editwarden.session import scratch_path
 from editwarden.sources import writers
 
@@ -99,3 +99,10 @@ def test_training_builds_its_features_once_and_scores_once(spark, monkeypatch):
     again = models.score(scored[0].select(F.col("_keep_contribution_key").alias("contribution_key")).join(
         rows, "contribution_key").withColumns({"osm_type_node": F.lit(0), "osm_type_way": F.lit(0), "cluster_label": F.lit(0)}), result.scorer.model)
     assert again.where((F.col("y_prob") > 0.5) == (F.col("vandalism") == 1)).count() == 400
+
+
+def test_stored_features_are_packed_tightly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(features, "build_features", lambda df, settings: df)
+    path = str(tmp_path / "features")
+    assert features.features_or_load(spark.range(10), path).count() == 10
+    assert all(name.endswith(".zstd.parquet") for name in os.listdir(path) if name.startswith("part-"))
