@@ -106,3 +106,16 @@ def test_stored_features_are_packed_tightly(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "features")
     assert features.features_or_load(spark.range(10), path).count() == 10
     assert all(name.endswith(".zstd.parquet") for name in os.listdir(path) if name.startswith("part-"))
+
+
+def test_a_search_fits_each_setting_on_each_fold_and_no_more(spark, monkeypatch):
+    df = spark.range(600).select(F.col("id").cast("string").alias("k"), (F.col("id") % 10).cast("double").alias("x"), F.rand(1).alias("y"),
+                                 (F.col("id") % 10 > 4).cast("int").alias("label"))
+    fits, trees = [], models._trees
+    monkeypatch.setattr(models, "_trees", lambda params, *more, **named: fits.append(dict(params)) or trees(params, *more, **named))
+    settings = [{"n_estimators": 1, "max_depth": d, "scale_pos_weight": w} for d, w in ((1, 1), (2, 1), (2, 3))]
+    best, table = models.search(df, ["x", "y"], settings, "k", folds=3)
+    assert sorted(map(str, fits)) == sorted(str(s) for s in settings * 3)
+    assert table.count() == 3 and best in settings and table.agg(F.min("auc_roc")).first()[0] == 1.0
+    with pytest.raises(ValueError, match="folds"):
+        models.search(df.where("x < 0"), ["x", "y"], settings, "k", folds=3)
